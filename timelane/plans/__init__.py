@@ -1,4 +1,4 @@
-from timelane.plans import expressions  # noqa: F401
+from timelane.plans import expressions, keyframes, mixes  # noqa: F401
 from timelane.plans.registry import REGISTRY
 
 __all__ = ["REGISTRY"]

@@ -167,7 +167,7 @@ def _(t):
             || lpad(cast(cast(floor(z % 60) as bigint) as varchar), 2, '0') as readout,
         cast(floor(z / 60) as bigint) || ':' || lpad(cast(h // 100 as varchar), 2, '0') || '.'
             || lpad(cast(h % 100 as varchar), 2, '0') as precise
-    from (select *, cast(floor((z % 60) * 100 + 0.5) as bigint) as h from f)""",
+    from (select *, cast(round(printf('%.20f', z % 60)::decimal(30, 20), 2) * 100 as bigint) as h from f)""",
 )
 def _(t):
     s = (c("value") - 100) * 3.1
