@@ -92,7 +92,7 @@ def main(argv):
     spark = build_session(
         "oracle", master="local[8]",
         **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false",
-           "spark.driver.memory": "8g"},
+           "spark.driver.memory": "8g", "spark.ui.showConsoleProgress": "false"},
     )
     spark.sparkContext.setLogLevel("ERROR")
     if hot:
@@ -103,7 +103,7 @@ def main(argv):
         try:
             problem, rows, took = compare(spark, con, folder, name)
         except Exception as e:  # keep going, report at the end
-            problem, rows, took = f"{type(e).__name__}: {str(e)[:900]}", -1, 0.0
+            problem, rows, took = f"{type(e).__name__}: {str(e)[:300]}", -1, 0.0
         mark = "ok  " if problem is None else "FAIL"
         oracle = "" if REGISTRY[name].sql else " (no sql)"
         print(f"{mark} {name}{oracle} rows={rows} {took:.2f}s {problem or ''}", flush=True)

@@ -1,4 +1,10 @@
-from timelane.plans import expressions, keyframes, mixes  # noqa: F401
+from timelane.plans import (  # noqa: F401
+    expressions,
+    keyframes,
+    mixes,
+    records,
+    states,
+)
 from timelane.plans.registry import REGISTRY
 
 __all__ = ["REGISTRY"]
