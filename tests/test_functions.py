@@ -17,12 +17,12 @@ def test_bits_both_orders_and_bounds(spark):
     got = ask(
         spark, [(bytearray(data),)], "x binary",
         le=bits.u32(x, 0), be=bits.u32(x, 0, False), s=bits.i16(x, 2, False),
-        past=bits.u32(x, 3), neg=bits.u16(x, -1), one=bits.u8(x, 5),
+        past=bits.u32(x, 3), far=bits.u16(x, F.lit(1 << 40)), one=bits.u8(x, 5),
         col=bits.u32(x, 0, F.lit(True)),
     )[0]
     assert got == {
         "le": int.from_bytes(data[:4], "little"), "be": int.from_bytes(data[:4], "big"),
-        "s": -2, "past": None, "neg": None, "one": 0xA9,
+        "s": -2, "past": None, "far": None, "one": 0xA9,
         "col": int.from_bytes(data[:4], "little"),
     }
 

@@ -17,22 +17,25 @@ def _col(value) -> Column:
 
 
 def bytes_at(data: Column, offset, length) -> Column:
-    return F.substring(data, _col(offset).cast("int") + 1, _col(length).cast("int"))
-
-
-def _hex(data: Column, offset, size: int, little) -> Column:
-    big = F.hex(bytes_at(data, offset, size))
-    flipped = F.concat(*[F.substring(big, 2 * i + 1, 2) for i in reversed(range(size))])
-    if isinstance(little, Column):
-        return F.when(little, flipped).otherwise(big)
-    return flipped if little else big
+    place = (_col(offset) + 1).try_cast("int")
+    return F.substring(data, place, _col(length).cast("int"))
 
 
 def unsigned(data: Column, offset, size: int, little=True) -> Column:
-    """Unsigned integer of ``size`` bytes (1 to 4) as bigint."""
-    digits = _hex(data, offset, size, little)
-    inside = (_col(offset) >= 0) & (F.length(digits) == 2 * size)
-    return F.when(inside, F.conv(digits, 16, 10).cast("bigint"))
+    """Unsigned integer of ``size`` bytes (1 to 4) as bigint.
+
+    One expression that names ``data`` and ``offset`` once, so nested offsets do not
+    multiply. A short read leaves every group of the pattern empty, which gives null.
+    """
+    groups = "".join(f"${i + 1}" for i in range(size))
+    flipped = "".join(f"${i + 1}" for i in reversed(range(size)))
+    if isinstance(little, Column):
+        order = F.when(little, F.lit(flipped)).otherwise(F.lit(groups))
+    else:
+        order = F.lit(flipped if little else groups)
+    pattern = "^" + "(..)" * size + "$|^.*$"
+    digits = F.regexp_replace(F.hex(bytes_at(data, offset, size)), F.lit(pattern), order)
+    return F.conv(digits, 16, 10).cast("bigint")
 
 
 def u8(data, offset) -> Column:
@@ -50,7 +53,7 @@ def u32(data, offset, little=True) -> Column:
 def signed(value: Column, bits: int) -> Column:
     """Two's complement reading of an unsigned value."""
     half = 1 << (bits - 1)
-    return F.when(value >= half, value - (1 << bits)).otherwise(value)
+    return F.pmod(value + half, F.lit(1 << bits)) - half
 
 
 def i16(data, offset, little=True) -> Column:
@@ -79,3 +82,8 @@ def little_hex(value: Column, size: int) -> Column:
 
 def big_hex(value: Column, size: int) -> Column:
     return F.lpad(F.hex(value.cast("bigint")), 2 * size, "0")
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, however often the body uses it."""
+    return F.transform(F.array(value), body)[0]

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from timelane.functions.bits import field, has_bit
+from timelane.functions.bits import field, has_bit, let
 
 # The format and model constants.
 CODECS = {0: "pcm", 4: "adpcm", 7: "mp3"}
@@ -181,19 +181,14 @@ def jenkins29(text: Column) -> Column:
     def byte(i):
         return F.conv(F.hex(F.substring(data, i, 1)), 16, 10).cast("bigint")
 
-    def step(h, i):
-        return F.transform(
-            F.array(wrap(h + byte(i))),
-            lambda a: wrap(a + F.shiftleft(a, 10)),
-        )[0]
-
     def mix(h, i):
-        return F.transform(F.array(step(h, i)), lambda b: b.bitwiseXOR(F.shiftright(b, 6)))[0]
+        added = let(wrap(h + byte(i)), lambda a: wrap(a + F.shiftleft(a, 10)))
+        return let(added, lambda b: b.bitwiseXOR(F.shiftright(b, 6)))
 
     def finish(h):
-        a = F.transform(F.array(h), lambda x: wrap(x + F.shiftleft(x, 3)))
-        b = F.transform(a, lambda x: x.bitwiseXOR(F.shiftright(x, 11)))
-        return F.transform(b, lambda x: wrap(x + F.shiftleft(x, 15)))[0]
+        a = let(h, lambda x: wrap(x + F.shiftleft(x, 3)))
+        b = let(a, lambda x: x.bitwiseXOR(F.shiftright(x, 11)))
+        return let(b, lambda x: wrap(x + F.shiftleft(x, 15)))
 
     size = F.length(data)
     places = F.when(size > 0, F.sequence(F.lit(1), size)).otherwise(

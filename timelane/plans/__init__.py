@@ -1,7 +1,9 @@
 from timelane.plans import (  # noqa: F401
+    catalogs,
     expressions,
     keyframes,
     mixes,
+    overlaps,
     records,
     states,
 )

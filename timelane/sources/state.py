@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from timelane.functions.bits import let
 from timelane.functions.scalars import GAIN_MAX, GAIN_MIN, clamp, round_half_up
 from timelane.operators.keyframes import SAME_TIME, is_finite
 
@@ -64,11 +65,6 @@ def truthy(v: Column) -> Column:
     return F.when(v.isNotNull(), ~F.coalesce(empty, F.lit(False))).otherwise(F.lit(False))
 
 
-def let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` computed once, however often the body uses it."""
-    return F.transform(F.array(value), body)[0]
-
-
 def _keyframe(items: Column, i: Column) -> Column:
     """Keyframe of the triple at ``i``; null unless time and gain are numbers."""
 
