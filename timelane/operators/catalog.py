@@ -110,9 +110,9 @@ def resolve_labels(
 def codec_breakdown(streams: DataFrame, key: str, part_size: int = 10_000) -> DataFrame:
     """``n × CODEC`` in first-seen order, joined with ``+``."""
     counts = streams.groupBy(key, F.upper("codec").alias("codec")).agg(
-        F.count(F.lit(1)).alias("_n"), F.min("idx").alias("_first")
+        F.count(F.lit(1)).alias("_count"), F.min("idx").alias("_first")
     )
-    item = F.concat(c("_n").cast("string"), F.lit(" × "), c("codec"))
+    item = F.concat(c("_count").cast("string"), F.lit(" × "), c("codec"))
     parts = collect_parts(counts, key, "_first", item, "items", part_size)
     return parts.select(key, "part", F.array_join("items", " + ").alias("breakdown"))
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -58,10 +59,14 @@ def fold_by_key(
         rows = pdf.sort_values(order, kind="stable").drop(columns=CHUNK)
         return step(state, rows)[1][names]
 
-    by = [*keys, CHUNK]
-    return (
-        chunked.groupBy(*by).cogroup(entries.groupBy(*by)).applyInPandas(piece, schema)
-    )
+    return _beside(chunked, entries, [*keys, CHUNK]).applyInPandas(piece, schema)
+
+
+def _beside(rows: DataFrame, states: DataFrame, by):
+    """Rows and states of each piece together; the states come from the same rows, so
+    their columns are renamed to keep the two sides apart."""
+    named = states.select(*[c(n).alias(f"_p_{n}") for n in by], "_entry")
+    return rows.groupBy(*by).cogroup(named.groupBy(*[f"_p_{n}" for n in by]))
 
 
 def _entry_states(chunked: DataFrame, keys, order, step) -> DataFrame:
@@ -85,7 +90,7 @@ def _entry_states(chunked: DataFrame, keys, order, step) -> DataFrame:
         return pd.DataFrame({**first, "_entry": [text], "_exit": [json.dumps(state)]})
 
     def ends(wanted: DataFrame) -> DataFrame:
-        return hot.groupBy(*by).cogroup(wanted.groupBy(*by)).applyInPandas(run, states)
+        return _beside(hot, wanted, by).applyInPandas(run, states)
 
     pieces = hot.select(*by).distinct().withColumn("_entry", F.lit("null"))
     known = ends(pieces).checkpoint()
@@ -97,12 +102,8 @@ def _entry_states(chunked: DataFrame, keys, order, step) -> DataFrame:
         if wrong.isEmpty():
             return known.select(*by, "_entry")
         fixed = ends(wrong)
-        kept = known.join(wrong.select(*by), _same(known, wrong, by), "left_anti")
+        redone = wrong.select(*[c(n).alias(f"_p_{n}") for n in by])
+        same = [c(n).eqNullSafe(c(f"_p_{n}")) for n in by]
+        kept = known.join(redone, reduce(lambda a, b: a & b, same), "left_anti")
         known = kept.unionByName(fixed).checkpoint()
 
-
-def _same(left: DataFrame, right: DataFrame, names):
-    out = F.lit(True)
-    for n in names:
-        out = out & left[n].eqNullSafe(right[n])
-    return out

@@ -206,9 +206,9 @@ def collect_parts(
     parts hold every item, while no list outgrows a row.
     """
     keys = _names(keys)
-    numbered = ordered(df, keys, order).scan(number="_n").df
-    part = F.floor((F.col("_n") - 1) / size).cast("bigint").alias("part")
-    listed = F.array_sort(F.collect_list(F.struct(F.col("_n"), item.alias("v"))))
+    numbered = ordered(df, keys, order).scan(number="_place").df
+    part = F.floor((F.col("_place") - 1) / size).cast("bigint").alias("part")
+    listed = F.array_sort(F.collect_list(F.struct(F.col("_place"), item.alias("v"))))
     return (
         numbered.groupBy(*keys, part)
         .agg(listed.alias("_list"))

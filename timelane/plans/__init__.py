@@ -6,6 +6,7 @@ from timelane.plans import (  # noqa: F401
     overlaps,
     records,
     states,
+    streams,
 )
 from timelane.plans.registry import REGISTRY
 

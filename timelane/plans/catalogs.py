@@ -11,6 +11,7 @@ from timelane.operators import catalog as A
 from timelane.operators import quality as Q
 from timelane.operators import sessions as Z
 from timelane.operators import trees as T
+from timelane.operators.mix import positions
 from timelane.operators.ordered import collect_parts
 from timelane.plans.inputs import PLACED_SQL, members
 from timelane.plans.registry import query
@@ -89,7 +90,9 @@ def container_files(t):
         put(c("flags"), 2), put(n, 4), put(c("body"), 4), F.repeat(F.lit("00"), skipped),
         joined(stream), F.array_join(F.transform("lines", records), ""), joined(payload),
     )
-    return rows.select(c("l_orderkey").alias("ok"), "part", F.unhex(text).alias("content"))
+    # The bytes stand in for stored files, so they are made once.
+    ensure_checkpoint_dir(t.spark)
+    return rows.select(c("l_orderkey").alias("ok"), "part", F.unhex(text).alias("content")).checkpoint()
 
 
 KEYS = ("ok", "part")
@@ -194,8 +197,6 @@ ARCHIVE_SQL = f"""{PLACED_SQL}, leaves as (select mix as nation, idx // {PER_ARC
 def archive_files(t):
     placed = members(t)
     k = c("track")
-    from timelane.operators.mix import positions
-
     numbered = positions(placed, "mix", "track")
     parts = collect_parts(
         numbered.select("mix", "track", "idx"), "mix", "idx", k, "tracks", PER_ARCHIVE
@@ -230,7 +231,8 @@ def archive_files(t):
         F.array_join(F.transform("tracks", entry), ""), blob,
     )
     file = F.concat_ws("/", c("mix").cast("string"), c("part").cast("string"))
-    return parts.select(file.alias("file"), F.unhex(text).alias("content"))
+    ensure_checkpoint_dir(t.spark)
+    return parts.select(file.alias("file"), F.unhex(text).alias("content")).checkpoint()
 
 
 @query(
@@ -349,15 +351,15 @@ def _(t):
 
 @query(
     "archive_names",
-    """select doc_id, case when doc_id % 50 < octet_length(encode(text))
-        then left(split_part(substring(text, (doc_id % 50 + 1)::integer), chr(10), 1), 256) else '' end as name
-    from documents where strlen(text) = length(text)""",
+    r"""with d as (select doc_id, upper(hex(encode(text))) as h, octet_length(encode(text)) as n from documents)
+    select doc_id, case when doc_id % 50 < n then regexp_extract(h[2 * (doc_id % 50) + 1 :],
+        '^((?:0[0-9B-F]|[1-9A-F][0-9A-F]){0,256})', 1) else '' end as name from d""",
 )
 def _(t):
-    docs = t.documents.where(F.octet_length("text") == F.length("text"))
-    blob = F.encode(F.translate("text", "\n", "\0"), "ISO-8859-1")
+    lines_end = F.regexp_replace(F.decode(c("text").cast("binary"), "ISO-8859-1"), "\n", "\0")
+    blob = t.documents.select("doc_id", F.encode(lines_end, "ISO-8859-1").alias("blob"))
     name = C.archive_name(c("blob"), F.lit(0), F.length("blob").cast("bigint"), c("doc_id") % 50)
-    return docs.select("doc_id", blob.alias("blob")).select("doc_id", name.alias("name"))
+    return blob.select("doc_id", F.hex(F.encode(name, "ISO-8859-1")).alias("name"))
 
 
 PCM_SQL = """raw as (select doc_id, hex(encode(text)) as h, octet_length(encode(text)) // 2 as n from documents),
@@ -433,7 +435,7 @@ def _(t):
 
 
 LINES_SQL = """lines as (select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice,
-        cast(l_quantity as bigint) as q, cast(l_discount * 100 + 0.5 as bigint) as d from lineitem)"""
+        cast(l_quantity as bigint) as q, cast(floor(l_discount * 100 + 0.5) as bigint) as d from lineitem)"""
 
 
 def lines(t):
@@ -507,7 +509,7 @@ def _(t):
     """select f.l_orderkey, f.stream, f.samples, d.size from
         (select l_orderkey, l_partkey % 5 as stream, cast(max(l_quantity) as bigint) as samples from lineitem
             where l_returnflag <> 'N' group by 1, 2) f
-        join (select l_orderkey, l_partkey % 5 as stream, cast(max(l_tax * 100 + 0.5) as bigint) as size from lineitem
+        join (select l_orderkey, l_partkey % 5 as stream, cast(floor(max(l_tax) * 100 + 0.5) as bigint) as size from lineitem
             where l_returnflag = 'N' group by 1, 2) d on f.l_orderkey = d.l_orderkey and f.stream = d.stream""",
 )
 def _(t):
@@ -517,17 +519,12 @@ def _(t):
         F.max("l_quantity").cast("bigint").alias("samples")
     )
     data = rows.where("l_returnflag = 'N'").groupBy(*keys).agg(
-        F.round(F.max(c("l_tax") * 100 + 0.5)).cast("bigint").alias("size")
+        F.floor(F.max("l_tax") * 100 + 0.5).alias("size")
     )
     return A.join_format_data(formats, data, keys)
 
 
-LABEL_SQL = """hashes as (select p_partkey as file, 'song' || p_partkey as base, n,
-        case when s = 1 then 'left' else 'right' end as side
-        from (select p_partkey, unnest(range(1, p_partkey % 4 + 1)) as n from part), (values (1), (2)) v(s))"""
-
-
-@query("resolve_labels", None)
+@query("resolve_labels")
 def _(t):
     """Streams hashed from their own names plus noise; the labels must come back."""
     p = c("p_partkey")
@@ -684,10 +681,10 @@ def _(t):
     return checked.select(*IDENT, F.array_join("violations", ",").alias("violations"))
 
 
-BOUNDS_SQL = """x as (select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_partkey % 60 - 3 as at,
+BOUNDS_SQL = """x as (select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_partkey % 60 - 3 as o,
         cast(l_quantity as bigint) - 2 as size from lineitem),
-    b as (select *, case when at < 0 or at > 50 then 'offset_out_of_range'
-        when size < 0 or at + size > 50 then 'size_past_end' end as reason from x)"""
+    b as (select *, case when o < 0 or o > 50 then 'offset_out_of_range'
+        when size < 0 or o + size > 50 then 'size_past_end' end as reason from x)"""
 
 
 def bounded(t):
@@ -699,7 +696,7 @@ def bounded(t):
 @query(
     "bounds_check",
     f"""with {BOUNDS_SQL} select l_orderkey, l_linenumber, l_partkey, l_suppkey, reason,
-        case when reason is not null then at end as at from b""",
+        case when reason is not null then o end as "at" from b""",
 )
 def _(t):
     return bounded(t).select(*IDENT, "reason", "at")
@@ -707,11 +704,11 @@ def _(t):
 
 @query(
     "quarantine",
-    f"""with {BOUNDS_SQL} select l_orderkey, l_linenumber, l_partkey, l_suppkey, reason, at from b
+    f"""with {BOUNDS_SQL} select l_orderkey, l_linenumber, l_partkey, l_suppkey, reason, o as "at" from b
         where reason is not null
     union all select l_orderkey, l_linenumber, l_partkey, l_suppkey, null, null from b where reason is null""",
 )
 def _(t):
-    rows = bounded(t)
-    good, bad = Q.quarantine(rows.drop("at", "reason"), rows["reason"], c("o"))
+    rows = bounded(t).drop("at").withColumnRenamed("reason", "why")
+    good, bad = Q.quarantine(rows, c("why"), c("o"))
     return good.select(*IDENT).unionByName(bad.select(*IDENT, "reason", "at"), allowMissingColumns=True)
