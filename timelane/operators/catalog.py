@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from timelane.functions.scalars import jenkins29
 from timelane.functions.text import strip_extension
-from timelane.operators.ordered import collect_parts, ordered
+from timelane.operators.ordered import Ordered, biggest, collect_parts, ordered
 
 c = F.col
 
@@ -34,10 +34,14 @@ def global_rank(df: DataFrame, order, name: str, **columns: Column) -> DataFrame
     return ordered(rows, "_all", order).scan(number=name).df.drop("_all", *columns)
 
 
-def frame_offsets(frames: DataFrame, keys, order) -> DataFrame:
-    """First sample and number of each frame."""
+def frames_in_order(frames: DataFrame, keys, order) -> Ordered:
+    """First sample and number of each frame, still ordered."""
     out = ordered(frames, keys, order).scan(before={"sample_offset": c("sample_count")}, number="_n")
-    return out.df.withColumn("number", c("_n") - 1).drop("_n")
+    return out.map(lambda d: d.withColumn("number", c("_n") - 1).drop("_n"))
+
+
+def frame_offsets(frames: DataFrame, keys, order) -> DataFrame:
+    return frames_in_order(frames, keys, order).df
 
 
 def block_output_offsets(blocks: DataFrame, keys, order) -> DataFrame:
@@ -46,14 +50,14 @@ def block_output_offsets(blocks: DataFrame, keys, order) -> DataFrame:
     return ordered(blocks.withColumn("kept", kept), keys, order).scan(before={"cursor": c("kept")}).df
 
 
-def frame_at_sample(frames: DataFrame, probes: DataFrame, keys) -> DataFrame:
+def frame_at_sample(frames: Ordered, probes: DataFrame, keys) -> DataFrame:
     """Start of the frame that holds ``sample``; -1 past the end.
 
     A sample on a border belongs to the later frame. Frames and probes are sorted together
     once; empty frames never hold a sample.
     """
     keys = _list(keys)
-    f = frames.where(c("sample_count") > 0).select(
+    f = frames.df.where(c("sample_count") > 0).select(
         *keys, c("sample_offset").alias("_t"), F.lit(0).alias("_kind"),
         F.struct(c("sample_offset").alias("start"), c("sample_count").alias("n")).alias("_frame"),
     )
@@ -62,7 +66,8 @@ def frame_at_sample(frames: DataFrame, probes: DataFrame, keys) -> DataFrame:
         F.struct(*[c(x) for x in probes.columns]).alias("_row"),
     )
     both = f.unionByName(p, allowMissingColumns=True)
-    found = ordered(both, keys, ["_t", "_kind"]).scan(fill={"_f": c("_frame")}).df
+    bound = frames.top + biggest(probes, keys)
+    found = ordered(both, keys, ["_t", "_kind"], bound=bound).scan(fill={"_f": c("_frame")}).df
     x = c("_f")
     inside = c("_t") < x["start"] + x["n"]
     start = F.when(F.coalesce(inside, F.lit(False)), x["start"]).otherwise(F.lit(-1))

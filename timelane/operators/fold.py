@@ -1,6 +1,6 @@
 """Sequential folds per key, for results that no window expression gives.
 
-A key that fits a task is one pandas group. A larger key is cut along its order and the
+Keys that fit a task are streamed through it in order. A larger key is cut along its order and the
 pieces run in parallel: every piece first assumes the state its predecessor ended with in
 the round before, and only the pieces whose assumption was wrong run again. When a round
 changes nothing, every piece started from its true state, so the result is that of the
@@ -14,6 +14,7 @@ import json
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -43,12 +44,12 @@ def fold_by_key(
     )
     names = schema.names
 
-    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
-        return step(None, pdf.sort_values(order, kind="stable"))[1][names]
-
     chunked = split_hot_keys(df, keys, order, rows_per_chunk)
     if chunked is None:
-        return df.groupBy(*keys).applyInPandas(whole, schema)
+        # Sorted partitions are streamed batch by batch: a task holds one Arrow batch, and
+        # many small keys share one.
+        placed = df.repartition(*keys).sortWithinPartitions(*keys, *order)
+        return placed.mapInPandas(_along(keys, step, names), schema)
 
     entries = _entry_states(chunked, keys, order, step)
 
@@ -62,6 +63,33 @@ def fold_by_key(
     return _beside(chunked, entries, [*keys, CHUNK]).applyInPandas(piece, schema)
 
 
+def _along(keys, step: Step, names):
+    """Fold over batches sorted by key; the state survives from batch to batch."""
+
+    def run(batches):
+        last, state = None, None
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            cols = [pdf[k] for k in keys]
+            opens = np.zeros(len(pdf), dtype=bool)
+            for col in cols:
+                before = col.shift()
+                opens |= ((col != before) & ~(col.isna() & before.isna())).to_numpy()
+            opens[0] = True
+            at = [*np.flatnonzero(opens), len(pdf)]
+            out = []
+            for begin, end in zip(at[:-1], at[1:]):
+                key = tuple(None if pd.isna(v) else v for v in (col.iloc[begin] for col in cols))
+                if key != last:
+                    last, state = key, None
+                state, rows = step(state, pdf.iloc[begin:end])
+                out.append(rows)
+            yield pd.concat(out)[names]
+
+    return run
+
+
 def _beside(rows: DataFrame, states: DataFrame, by):
     """Rows and states of each piece together; the states come from the same rows, so
     their columns are renamed to keep the two sides apart."""

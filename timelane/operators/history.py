@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from timelane.operators.fold import fold_by_key
-from timelane.operators.ordered import mark_runs, ordered
+from timelane.operators.ordered import biggest, mark_runs, ordered
 
 c = F.col
 COALESCE_MS = 500
@@ -58,7 +58,8 @@ def last_transport(states: DataFrame, probes: DataFrame, keys, at: str = "at") -
         F.struct(*[c(x) for x in probes.columns]).alias("_row"),
     )
     both = s.unionByName(p, allowMissingColumns=True)
-    found = ordered(both, keys, ["_t", "_kind", "_ord"]).scan(fill={"_s": c("_state")}).df
+    bound = biggest(states, keys) + biggest(probes, keys)
+    found = ordered(both, keys, ["_t", "_kind", "_ord"], bound=bound).scan(fill={"_s": c("_state")}).df
     x = c("_s")
     moving = F.greatest(F.lit(0.0), x["offset"] + (c("_t") - x["started"]))
     return found.where(c("_kind") == 1).select(

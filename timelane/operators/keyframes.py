@@ -18,7 +18,7 @@ from timelane.functions.scalars import (
     envelope_value,
     round_half_up,
 )
-from timelane.operators.ordered import Ordered, collect_parts, ordered
+from timelane.operators.ordered import Ordered, biggest, collect_parts, ordered
 
 SAME_TIME = 1e-9
 MOVED_TIME = 1e-6
@@ -54,8 +54,10 @@ def dedupe_last(data: Ordered) -> Ordered:
     return marked.map(lambda d: d.where(apart).drop("_next"))
 
 
-def normal_order(df: DataFrame, keys, order=("time", "ord")) -> Ordered:
-    return dedupe_last(ordered(clean(df), keys, order))
+def normal_order(df: DataFrame, keys, order=("time", "ord"), bound: int | None = None) -> Ordered:
+    """Normal form, still ordered: operators below take it in place of a plain table and
+    need not count or sort its rows again."""
+    return dedupe_last(ordered(clean(df), keys, order, bound=bound))
 
 
 def normalize_keyframes(df: DataFrame, keys) -> DataFrame:
@@ -73,19 +75,19 @@ def renumber(df: DataFrame, keys) -> DataFrame:
     return indexed(normal_order(df, keys)).df
 
 
-def segments(keyframes: DataFrame, keys) -> DataFrame:
+def segments(keyframes: DataFrame | Ordered, keys) -> DataFrame:
     """Every keyframe with its neighbours; null at the ends."""
-    return (
-        ordered(keyframes, keys, ["time", "ord"])
-        .scan(
-            lag={"prev_time": c("time"), "prev_gain": c("gain")},
-            lead={"next_time": c("time"), "next_gain": c("gain"), "next_easing": c("easing")},
-        )
-        .df
+    return _neighbours(ordered(keyframes, keys, ["time", "ord"])).df
+
+
+def _neighbours(data: Ordered) -> Ordered:
+    return data.scan(
+        lag={"prev_time": c("time"), "prev_gain": c("gain")},
+        lead={"next_time": c("time"), "next_gain": c("gain"), "next_easing": c("easing")},
     )
 
 
-def fill_hold(keyframes: DataFrame, keys) -> DataFrame:
+def fill_hold(keyframes: DataFrame | Ordered, keys) -> DataFrame:
     """Gain of the latest hold keyframe up to each row."""
     held = F.when(c("easing") == "hold", c("gain"))
     return ordered(keyframes, keys, ["time", "ord"]).scan(fill={"held": held}).df
@@ -99,7 +101,9 @@ def time_extent(keyframes: DataFrame, keys) -> DataFrame:
     )
 
 
-def envelope_at(probes: DataFrame, keyframes: DataFrame, keys, at: str = "at") -> DataFrame:
+def envelope_at(
+    probes: DataFrame, keyframes: DataFrame | Ordered, keys, at: str = "at"
+) -> DataFrame:
     """Envelope of each probe's key at the probe's time.
 
     Adds ``envelope`` (first or last gain outside the range, null without keyframes) and
@@ -108,7 +112,8 @@ def envelope_at(probes: DataFrame, keyframes: DataFrame, keys, at: str = "at") -
     ``keyframes`` must be in normal form.
     """
     keys = _list(keys)
-    seg = segments(keyframes.select(*keys, *FIELDS), keys)
+    frames = ordered(keyframes, keys, ["time", "ord"])
+    seg = _neighbours(frames).df
     here = F.struct(
         c("time").alias("t0"), c("gain").alias("g0"), c("next_time").alias("t1"),
         c("next_gain").alias("g1"), c("next_easing").alias("easing"),
@@ -131,7 +136,8 @@ def envelope_at(probes: DataFrame, keyframes: DataFrame, keys, at: str = "at") -
         F.struct(*[c(x) for x in probes.columns]).alias("_row"),
     )
     both = rows.unionByName(pieces, allowMissingColumns=True)
-    found = ordered(both, keys, ["_t", "_kind"]).scan(fill={"_s": c("_seg")}).df
+    bound = frames.top + 1 + biggest(probes, keys)
+    found = ordered(both, keys, ["_t", "_kind"], bound=bound).scan(fill={"_s": c("_seg")}).df
     s, t = c("_s"), c("_t")
     inner = envelope_value(t, s["t0"], s["g0"], s["t1"], s["g1"], s["easing"])
     value = F.when(s["t0"].isNull() | s["t1"].isNull(), s["g0"]).otherwise(inner)
@@ -161,7 +167,7 @@ def clear_groups(current: DataFrame, cleared: DataFrame | None, keys) -> DataFra
     return current.join(cleared, _list(keys), "left_anti")
 
 
-def patch_rows(current: DataFrame, patches: DataFrame, keys) -> DataFrame:
+def patch_rows(current: DataFrame | Ordered, patches: DataFrame, keys) -> DataFrame:
     """Update the named fields of ``idx``; a null patch field keeps the value.
 
     ``patches`` holds at most one row per (key, idx).
@@ -171,22 +177,24 @@ def patch_rows(current: DataFrame, patches: DataFrame, keys) -> DataFrame:
         *keys, "idx", *[c(x).alias(f"_p_{x}") for x in ("time", "gain", "easing")],
         F.lit(1).alias("_hit"),
     )
+    current, top = _table(current)
     joined = current.join(p, [*keys, "idx"], "left")
     edited = joined.select(
         *keys,
         *[F.coalesce(c(f"_p_{x}"), c(x)).alias(x) for x in ("time", "gain", "easing")],
         "ord", F.coalesce(c("_hit"), F.lit(0)).alias("_pushed"),
     )
-    return _settle(edited, keys)
+    return _settle(edited, keys, top)
 
 
-def insert_rows(current: DataFrame, new: DataFrame, keys) -> DataFrame:
+def insert_rows(current: DataFrame | Ordered, new: DataFrame, keys) -> DataFrame:
     """Add rows; ``idx`` tells where each ended up in the normal form."""
     keys = _list(keys)
+    current, top = _table(current)
     both = current.select(*keys, *FIELDS, F.lit(0).alias("_pushed")).unionByName(
         new.select(*keys, *FIELDS, F.lit(1).alias("_pushed"))
     )
-    return _settle(both, keys)
+    return _settle(both, keys, None if top is None else top + biggest(new, keys))
 
 
 def inserted_index(settled: DataFrame, new: DataFrame, keys) -> DataFrame:
@@ -201,21 +209,23 @@ def inserted_index(settled: DataFrame, new: DataFrame, keys) -> DataFrame:
     )
 
 
-def delete_rows(current: DataFrame, refs: DataFrame, keys) -> DataFrame:
+def delete_rows(current: DataFrame | Ordered, refs: DataFrame, keys) -> DataFrame:
     """Remove (key, idx) refs and close the gaps."""
     keys = _list(keys)
+    current, top = _table(current)
     rest = current.join(refs.select(*keys, "idx"), [*keys, "idx"], "left_anti").drop("idx")
-    return indexed(ordered(rest, keys, ["time", "ord"])).df
+    return indexed(ordered(rest, keys, ["time", "ord"], bound=top)).df
 
 
-def shift_rows(current: DataFrame, moved: DataFrame, keys) -> DataFrame:
+def shift_rows(current: DataFrame | Ordered, moved: DataFrame, keys) -> DataFrame:
     """Move the rows named in ``moved`` (keys, idx, delta); times stay at or above 0."""
     keys = _list(keys)
     m = moved.select(*keys, "idx", "delta")
+    current, top = _table(current)
     joined = current.join(m, [*keys, "idx"], "left")
     target = F.greatest(F.lit(0.0), c("time") + c("delta"))
     placed = joined.withColumn("time", F.when(c("delta").isNotNull(), target).otherwise(c("time")))
-    return _settle(placed.select(*keys, *FIELDS, F.lit(0).alias("_pushed")), keys)
+    return _settle(placed.select(*keys, *FIELDS, F.lit(0).alias("_pushed")), keys, top)
 
 
 def reresolve_by_value(settled: DataFrame, wanted: DataFrame, keys) -> DataFrame:
@@ -259,13 +269,14 @@ def clamped_shift(selected: DataFrame, keys, delta: Column, duration: Column) ->
     return bounds.select(*_list(keys), d.alias("delta"))
 
 
-def add_fades(current: DataFrame, requests: DataFrame, keys) -> DataFrame:
+def add_fades(current: DataFrame | Ordered, requests: DataFrame, keys) -> DataFrame:
     """Fade in, fade out or duplicate one keyframe per key.
 
     ``requests``: keys, ``source`` (idx), ``kind`` (``in``, ``out``, ``duplicate``),
     ``playhead``, ``duration``.
     """
     keys = _list(keys)
+    current, top = _table(current)
     joined = current.join(
         requests.select(*keys, "source", "kind", "playhead", "duration"), keys, "left"
     )
@@ -304,7 +315,7 @@ def add_fades(current: DataFrame, requests: DataFrame, keys) -> DataFrame:
     rows = joined.select(*keys, "ord", F.explode(added).alias("r")).select(
         *keys, "r.time", "r.gain", "r.easing", "ord", "r._pushed"
     )
-    return _settle(rows, keys)
+    return _settle(rows, keys, None if top is None else top + 1)
 
 
 def encode_keyframes(keyframes: DataFrame, keys, part_size: int = 10_000) -> DataFrame:
@@ -340,8 +351,14 @@ def replay_snapshot(tracks: DataFrame, stored: DataFrame, track_keys, fields) ->
     )
 
 
-def _settle(df: DataFrame, keys) -> DataFrame:
-    done = indexed(normal_order(df, keys, ("time", "_pushed", "ord")))
+def _table(current: DataFrame | Ordered) -> tuple[DataFrame, int | None]:
+    if isinstance(current, Ordered):
+        return current.df, current.top
+    return current, None
+
+
+def _settle(df: DataFrame, keys, bound: int | None = None) -> DataFrame:
+    done = indexed(normal_order(df, keys, ("time", "_pushed", "ord"), bound))
     return done.df.drop("_pushed")
 
 

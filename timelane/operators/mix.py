@@ -15,8 +15,8 @@ from timelane.functions.scalars import (
     equal_power_pan,
     round_half_up,
 )
-from timelane.operators.keyframes import FIELDS, segments
-from timelane.operators.ordered import collect_parts, ordered
+from timelane.operators.keyframes import segments
+from timelane.operators.ordered import Ordered, collect_parts, ordered
 
 c = F.col
 
@@ -143,7 +143,7 @@ def track_frames(blocks: DataFrame) -> DataFrame:
     )
 
 
-def gain_pieces(tracks: DataFrame, keyframes: DataFrame, frames: DataFrame, rate: float,
+def gain_pieces(keyframes: DataFrame | Ordered, frames: DataFrame, rate: float,
                 block_size: int) -> DataFrame:
     """Gain over time of automated tracks, cut at keyframes and block borders.
 
@@ -151,7 +151,7 @@ def gain_pieces(tracks: DataFrame, keyframes: DataFrame, frames: DataFrame, rate
     number of rows is at most the blocks plus the keyframes, so the join to the blocks
     stays an equi-join on (mix, track, block) without any pair search.
     """
-    seg = segments(keyframes.select("mix", "track", *FIELDS), ["mix", "track"])
+    seg = segments(keyframes, ["mix", "track"])
 
     def first_frame(t):
         return F.ceil(t * rate).cast("bigint")
@@ -188,7 +188,7 @@ def gain_pieces(tracks: DataFrame, keyframes: DataFrame, frames: DataFrame, rate
 
 
 def mixdown(
-    blocks: DataFrame, tracks: DataFrame, keyframes: DataFrame | None = None, *,
+    blocks: DataFrame, tracks: DataFrame, keyframes: DataFrame | Ordered | None = None, *,
     rate: float, block_size: int, master: Column | float = 1.0,
 ) -> DataFrame:
     """Stereo sum per (mix, frame) of the audible tracks.
@@ -208,9 +208,10 @@ def mixdown(
     plain = voices
     parts = []
     if keyframes is not None:
-        automated = keyframes.select("mix", "track").distinct()
+        table = keyframes.df if isinstance(keyframes, Ordered) else keyframes
+        automated = table.select("mix", "track").distinct()
         plain = voices.join(automated, ["mix", "track"], "left_anti")
-        pieces = gain_pieces(tracks, keyframes, frames, rate, block_size)
+        pieces = gain_pieces(keyframes, frames, rate, block_size)
         cut = (
             at.join(pieces, ["mix", "track", "block"])
             .join(voices, ["mix", "track"])

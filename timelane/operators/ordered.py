@@ -33,6 +33,7 @@ class Ordered:
     keys: tuple[str, ...]
     order: tuple[str, ...]
     split: bool
+    top: int | None = None  # no key holds more rows than this
 
     @property
     def df(self) -> DataFrame:
@@ -131,27 +132,54 @@ class Ordered:
 
 
 def ordered(
-    df: DataFrame, keys, order, rows_per_chunk: int | None = None
+    df: DataFrame | Ordered, keys, order, rows_per_chunk: int | None = None,
+    bound: int | None = None,
 ) -> Ordered:
-    """Prepare ``df`` for running computations per ``keys`` in the order of ``order``."""
+    """Prepare ``df`` for running computations per ``keys`` in the order of ``order``.
+
+    The rows per key are counted once, here. ``bound`` is a known upper limit of them: when
+    it fits a task nothing is counted. An ``Ordered`` of the same keys is taken as it is.
+    """
     keys, order = _names(keys), _names(order)
-    chunked = split_hot_keys(df, keys, order, rows_per_chunk)
+    if isinstance(df, Ordered):
+        if df.keys != keys:
+            raise ValueError(f"rows are ordered per {df.keys}, not {keys}")
+        return df
+    limit = rows_per_chunk or hot_rows(df.sparkSession)
+    if bound is not None and bound <= limit:
+        return Ordered(df, keys, order, False, bound)
+    total, top = _row_counts(df, keys)
+    chunked = _split(df, keys, order, limit, total, top)
     if chunked is None:
-        return Ordered(df, keys, order, False)
-    return Ordered(chunked, keys, order, True)
+        return Ordered(df, keys, order, False, top)
+    return Ordered(chunked, keys, order, True, top)
+
+
+def biggest(df: DataFrame | Ordered, keys) -> int:
+    """Rows of the largest key."""
+    if isinstance(df, Ordered) and df.top is not None:
+        return df.top
+    return _row_counts(df, _names(keys))[1]
+
+
+def _row_counts(df: DataFrame, keys) -> tuple[int, int]:
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    total, top = counts.agg(F.sum("_rows"), F.max("_rows")).first()
+    return total or 0, top or 0
 
 
 def split_hot_keys(df: DataFrame, keys, order, rows_per_chunk: int | None = None):
     """``df`` with a ``_chunk`` column: 0 for keys that fit a task, else 1, 2, ... along
     the order. ``None`` when every key fits."""
     limit = rows_per_chunk or hot_rows(df.sparkSession)
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    total, top = counts.agg(F.sum("_rows"), F.max("_rows")).first()
-    if not total:
-        return None
+    return _split(df, keys, order, limit, *_row_counts(df, keys))
+
+
+def _split(df: DataFrame, keys, order, limit: int, total: int, top: int):
     limit = max(limit, total // MAX_CHUNKS)
     if top <= limit:
         return None
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
     hot = counts.where(F.col("_rows") > limit).select(
         *[F.col(k).alias(f"_k_{k}") for k in keys]
     )

@@ -15,7 +15,7 @@ from timelane.operators.mix import positions
 from timelane.operators.ordered import collect_parts
 from timelane.plans.inputs import PLACED_SQL, members
 from timelane.plans.registry import query
-from timelane.session import ensure_checkpoint_dir
+from timelane.session import ensure_checkpoint_dir, widen
 from timelane.sources import containers as C
 
 c = F.col
@@ -372,7 +372,7 @@ PCM_SQL = """raw as (select doc_id, hex(encode(text)) as h, octet_length(encode(
 
 
 def pcm_blocks(t):
-    return t.documents.select(
+    return widen(t.documents).select(
         "doc_id", c("text").cast("binary").alias("bytes"), (c("doc_id") % 2 == 0).alias("little")
     )
 
@@ -497,10 +497,10 @@ def _(t):
 )
 def _(t):
     rows = lines(t).withColumn("sample_count", c("q")).withColumn("stream", c("l_orderkey"))
-    frames = A.frame_offsets(rows, "stream", LINE_ORDER)
+    frames = A.frames_in_order(rows, "stream", LINE_ORDER)
     probes = t.orders.select("o_orderkey", c("o_orderkey").alias("stream"),
                              (c("o_orderkey") % 97).alias("sample"))
-    known = probes.join(frames.select("stream").distinct(), "stream", "left_semi")
+    known = probes.join(rows.select("stream").distinct(), "stream", "left_semi")
     return A.frame_at_sample(frames, known, "stream").select("o_orderkey", "frame_start")
 
 
@@ -528,7 +528,7 @@ def _(t):
 def _(t):
     """Streams hashed from their own names plus noise; the labels must come back."""
     p = c("p_partkey")
-    pairs = t.part.where("p_partkey % 4 > 0").select(
+    pairs = widen(t.part).where("p_partkey % 4 > 0").select(
         p.alias("file"), F.concat(F.lit("Song"), p.cast("string"), F.lit(".AWC")).alias("name"),
         F.explode(F.sequence(F.lit(0).cast("bigint"), p % 4 * 2 - 1)).alias("idx"),
     )

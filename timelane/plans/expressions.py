@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from timelane.functions import scalars as S
 from timelane.functions import text as X
 from timelane.plans.registry import query
-from timelane.session import epoch_micros
+from timelane.session import epoch_micros, widen
 
 c = F.col
 
@@ -268,7 +268,7 @@ def _(t):
 )
 def _(t):
     name = F.concat(c("p_name"), F.lit("_"), c("p_partkey").cast("string"))
-    return t.part.select("p_partkey", S.jenkins29(name).alias("hash"))
+    return widen(t.part).select("p_partkey", S.jenkins29(name).alias("hash"))
 
 
 # A header word per order line: sync bits set, the other bits from the keys.
@@ -324,7 +324,7 @@ FRAME_SQL = f"""with w as (select l_orderkey, l_partkey, l_suppkey, l_linenumber
 
 def frame_fields(t):
     fields = S.frame_header_fields(header_word())
-    return t.lineitem.select(
+    return widen(t.lineitem).select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
         *[f.alias(n) for n, f in fields.items()],
     )

@@ -22,12 +22,20 @@ c = F.col
 COLS = ["series", "time", "gain", "easing", "ord", "idx"]
 
 
+def in_order(t):
+    return K.normal_order(raw_keyframes(t), "series")
+
+
 def normal(t):
-    return K.normalize_keyframes(raw_keyframes(t), "series")
+    return in_order(t).df
+
+
+def placed(t):
+    return K.indexed(in_order(t))
 
 
 def numbered(t):
-    return K.renumber(raw_keyframes(t), "series")
+    return placed(t).df
 
 
 def series(t):
@@ -80,7 +88,7 @@ def _(t):
     from nk window w as (partition by series order by time, ord)""",
 )
 def _(t):
-    return K.segments(normal(t), "series").select(
+    return K.segments(in_order(t), "series").select(
         "series", "ord", "time", "gain", "prev_time", "prev_gain", "next_time", "next_gain",
         "next_easing",
     )
@@ -93,7 +101,7 @@ def _(t):
             (partition by series order by time, ord rows unbounded preceding) as held from nk""",
 )
 def _(t):
-    return K.fill_hold(normal(t), "series").select("series", "ord", "held")
+    return K.fill_hold(in_order(t), "series").select("series", "ord", "held")
 
 
 @query(
@@ -134,7 +142,7 @@ def probes(t):
         floor(envelope * 1e6 + 0.5) / 1e6 as envelope, inside from env""",
 )
 def _(t):
-    found = K.envelope_at(probes(t), normal(t), "series")
+    found = K.envelope_at(probes(t), in_order(t), "series")
     return found.select("event_id", "series", fixed(c("envelope")).alias("envelope"), "inside")
 
 
@@ -147,7 +155,7 @@ def _(t):
 )
 def _(t):
     rows = probes(t)
-    found = K.envelope_at(rows, normal(t), "series")
+    found = K.envelope_at(rows, in_order(t), "series")
     slider = c("series") % 16 / 10.0
     gate = F.when(c("event_id") % 5 == 0, 0.0).otherwise(1.0)
     at = c("at")
@@ -188,7 +196,7 @@ def _(t):
         "series", (s % 5).alias("idx"), F.when(s % 2 == 0, 100.0).alias("time"),
         F.lit(0.7).alias("gain"), F.lit(None).cast("string").alias("easing"),
     )
-    return K.patch_rows(numbered(t), patches, "series").select(*COLS)
+    return K.patch_rows(placed(t), patches, "series").select(*COLS)
 
 
 INSERT_SQL = f"""{NORMAL_SQL}, {SERIES_SQL},
@@ -211,7 +219,7 @@ def fresh(t):
 
 @query("insert_row", f"with {INSERT_SQL} select series, time, gain, easing, ord, idx from ins")
 def _(t):
-    return K.insert_rows(normal(t), fresh(t), "series").select(*COLS)
+    return K.insert_rows(in_order(t), fresh(t), "series").select(*COLS)
 
 
 @query(
@@ -221,7 +229,7 @@ def _(t):
 )
 def _(t):
     new = fresh(t)
-    return K.inserted_index(K.insert_rows(normal(t), new, "series"), new, "series")
+    return K.inserted_index(K.insert_rows(in_order(t), new, "series"), new, "series")
 
 
 @query(
@@ -231,8 +239,8 @@ def _(t):
     from nk where idx % 3 <> 1""",
 )
 def _(t):
-    rows = numbered(t)
-    return K.delete_rows(rows, rows.where("idx % 3 = 1"), "series").select(*COLS)
+    rows = placed(t)
+    return K.delete_rows(rows, rows.df.where("idx % 3 = 1"), "series").select(*COLS)
 
 
 @query("clear_groups", f"with {NORMAL_SQL} select series, ord from nk where series % 4 <> 2")
@@ -248,8 +256,9 @@ SHIFT_SQL = f"""{NORMAL_SQL}, moved as (select series,
 
 
 def moved(t):
-    rows = numbered(t)
-    return rows, rows.where("idx % 4 = 1").select("series", "idx", F.lit(-30.25).alias("delta"))
+    rows = placed(t)
+    shifts = rows.df.where("idx % 4 = 1").select("series", "idx", F.lit(-30.25).alias("delta"))
+    return rows, shifts
 
 
 @query("shift_rows", f"with {SHIFT_SQL} select series, time, gain, easing, ord, idx from sn")
@@ -270,7 +279,7 @@ def _(t):
 def _(t):
     rows, shifts = moved(t)
     settled = K.shift_rows(rows, shifts, "series")
-    want = rows.where("idx % 4 = 1").select(
+    want = rows.df.where("idx % 4 = 1").select(
         "series", c("idx").alias("ref"),
         F.greatest(F.lit(0.0), c("time") - 30.25).alias("time"), "gain", "easing",
     )
@@ -305,7 +314,7 @@ def _(t):
         F.when(s % 3 == 0, "in").when(s % 3 == 1, "out").otherwise("duplicate").alias("kind"),
         F.lit(50.0).alias("playhead"), F.lit(600.0).alias("duration"),
     )
-    return K.add_fades(numbered(t), requests, "series").select(*COLS)
+    return K.add_fades(placed(t), requests, "series").select(*COLS)
 
 
 @query(

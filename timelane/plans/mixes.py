@@ -222,7 +222,7 @@ def _(t):
     from gained group by mix, frame""",
 )
 def mixdown(t):
-    kfs = K.normalize_keyframes(track_keyframes(t), ["mix", "track"])
+    kfs = K.normal_order(track_keyframes(t), ["mix", "track"])
     out = M.mixdown(blocks(t), tracks(t), kfs, rate=RATE, block_size=BLOCK, master=0.8)
     return out.select(
         "mix", "frame", fixed(c("left_value")).alias("left_value"),

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from timelane.plans.inputs import PLACED_SQL, members
-from timelane.plans.keyframes import normal
-from timelane.plans.inputs import NORMAL_SQL
-from timelane.plans.registry import query
 from timelane.operators import mix as M
 from timelane.operators.keyframes import encode_keyframes
+from timelane.plans.inputs import NORMAL_SQL, PLACED_SQL, members
+from timelane.plans.keyframes import normal
+from timelane.plans.registry import query
+from timelane.session import widen
 from timelane.sources import state as S
 
 c = F.col
@@ -83,7 +83,7 @@ def _(t):
         nth([F.lit("#s="), F.lit("x=1&s="), F.lit("")], k), S.write_compact_state(_state_text(k)),
         nth([F.lit(""), F.lit("&y=2"), F.lit("")], k),
     )
-    rows = t.orders.select(KEY, S.read_compact_state(_broken(k, link)).alias("s"))
+    rows = widen(t.orders).select(KEY, S.read_compact_state(_broken(k, link)).alias("s"))
     return rows.select(KEY, *_flat(c("s")))
 
 
@@ -98,7 +98,7 @@ def _(t):
 )
 def _(t):
     s = S.decode_state(F.try_parse_json(_state_text(c(KEY))))
-    pairs = t.orders.select(KEY, s.alias("s")).select(
+    pairs = widen(t.orders).select(KEY, s.alias("s")).select(
         KEY, F.posexplode("s.automation").alias("n", "keyframes")
     )
     rows = pairs.select(KEY, (c("n") + 1).cast("bigint").alias("pair"), F.explode("keyframes").alias("k"))
@@ -113,7 +113,7 @@ def _(t):
 def _(t):
     s = S.decode_state(F.try_parse_json(_state_text(c(KEY)))).alias("s")
     zipped = F.posexplode(F.arrays_zip("s.m", "s.g", "s.p")).alias("n", "x")
-    rows = t.orders.select(KEY, s).select(KEY, zipped)
+    rows = widen(t.orders).select(KEY, s).select(KEY, zipped)
     return rows.select(KEY, (c("n") + 1).cast("bigint").alias("pair"), "x.m", "x.g", "x.p")
 
 
@@ -124,7 +124,7 @@ def _(t):
 )
 def _(t):
     s = S.decode_state(F.try_parse_json(_state_text(c(KEY))))
-    return t.orders.select(KEY, s["legacy_v1"].alias("warned"))
+    return widen(t.orders).select(KEY, s["legacy_v1"].alias("warned"))
 
 
 def _mix_text(k, status, price):
@@ -163,7 +163,7 @@ MIX_ERRORS = (
 )
 def _(t):
     text = _mix_text(c(KEY), c("o_orderstatus"), c("o_totalprice"))
-    mix = t.orders.select(KEY, S.parse_mix_file(text).alias("x"))
+    mix = widen(t.orders).select(KEY, S.parse_mix_file(text).alias("x"))
     ok = c("x.error").isNull()
     flat = mix.select(KEY, "x.error", "x.name", "x.size", "x.stream_count", *_flat(c("x.state")))
     return flat.select(
@@ -245,7 +245,7 @@ PAIRS_SQL = """pairs as (select l_orderkey as mix, l_linenumber::bigint as pair,
 
 def _saved(t):
     s = S.decode_state(F.try_parse_json(_state_text(c(KEY))))
-    return t.orders.select(c(KEY).alias("mix"), (c(KEY) % 9).alias("stream_count"), s.alias("state"))
+    return widen(t.orders).select(c(KEY).alias("mix"), (c(KEY) % 9).alias("stream_count"), s.alias("state"))
 
 
 @query(

@@ -50,6 +50,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="timelane-checkpoint-"))
 
 
+def widen(df: DataFrame) -> DataFrame:
+    """Spread a scan with fewer partitions than cores before work that is heavy per row.
+
+    A table of many files or row groups already has enough and is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def epoch_micros(ts: Column) -> Column:
     """Microseconds since 1970 of a zone-less timestamp, whatever the session zone is."""
     origin = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
