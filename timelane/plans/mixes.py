@@ -22,6 +22,7 @@ from timelane.plans.inputs import (
     tracks,
 )
 from timelane.plans.registry import query
+from timelane.sources.pairs import named_pairs
 
 c = F.col
 
@@ -374,3 +375,26 @@ def _(t):
     )
     out = K.replay_snapshot(rows, stored, ["mix", "track"], ["gain", "pan", "muted"])
     return out.select("mix", "track", "gain", "pan", "muted", "solo")
+
+
+@query(
+    "write_pairs",
+    f"""with {SAMPLES_SQL},
+    st as (select track // 2 as pair, frame, max(case when track % 2 = 0 then value end) as l,
+        max(case when track % 2 = 1 then value end) as r from samples group by 1, 2),
+    q as (select pair, frame, greatest(-1.0, least(1.0, coalesce(l, 0.0))) as l,
+        greatest(-1.0, least(1.0, coalesce(r, 0.0))) as r from st)
+    select 'pair_' || case when pair < 10 then '0' else '' end || pair || case when pair % 3 = 0
+            then '_pair' when pair % 3 = 1 then '_' || pair || '_left+right' else '_-' end as name, frame,
+        trunc(case when l < 0 then l * 32768 else l * 32767 end)::smallint as left_pcm,
+        trunc(case when r < 0 then r * 32768 else r * 32767 end)::smallint as right_pcm from q""",
+)
+def _(t):
+    rows = L.sample_rows(blocks(t), "track").withColumn("pair", F.floor(c("track") / 2))
+    stereo = M.stereo_join(rows.where("track % 2 = 0"), rows.where("track % 2 = 1"))
+    pair = c("pair")
+    labels = rows.select("pair").distinct().where("pair % 3 <> 2").select(
+        "pair", F.when(pair % 3 == 0, F.lit("!!")).otherwise(
+            F.concat(pair.cast("string"), F.lit(" LEFT+RIGHT"))).alias("label")
+    )
+    return named_pairs(stereo, labels)
