@@ -17,22 +17,27 @@ def sample_rows(blocks: DataFrame, *keep: str) -> DataFrame:
     ).select(*keep, (c("start") + c("_pos")).alias("frame"), c("_v").cast("double").alias("value"))
 
 
-def waveform_peaks(blocks: DataFrame, bins: int, total_seconds=None, seconds=None) -> DataFrame:
+def waveform_peaks(
+    blocks: DataFrame, bins: int, total_seconds=None, seconds=None, frames=None
+) -> DataFrame:
     """Largest magnitude per bin; ``floor(n / bins)`` samples a bin, the rest is left out.
 
     With fewer samples than bins the bins past the end have peak 0. When the columns
     ``seconds`` (of the track) and ``total_seconds`` are given the track gets its share of
-    the bins.
+    the bins. ``frames`` (track, frames) is what the catalogue knows of the lengths;
+    without it the blocks are read once more.
     """
     share = F.lit(bins)
-    aggs = [F.max(c("start") + F.size("values")).alias("_n")]
+    source = blocks if frames is None else blocks.drop("values", "frames").join(frames, "track")
+    size = c("start") + F.size("values") if frames is None else c("frames")
+    aggs = [F.max(size).alias("_n")]
     if total_seconds is not None:
         aggs += [F.max(seconds).alias("_s"), F.max(total_seconds).alias("_t")]
         total = F.when(c("_t") > 0, c("_t")).otherwise(c("_s"))
         share = F.when(
             total > 0, F.greatest(F.lit(1), F.floor(c("_s") / total * bins))
         ).otherwise(F.lit(bins))
-    sizes = blocks.groupBy("track").agg(*aggs).select(
+    sizes = source.groupBy("track").agg(*aggs).select(
         "track", "_n", share.cast("bigint").alias("_bins")
     )
     per_bin = F.greatest(F.lit(1), F.floor(c("_n") / c("_bins")))

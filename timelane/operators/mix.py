@@ -138,125 +138,117 @@ def order_tracks(streams: DataFrame, tracks: DataFrame) -> DataFrame:
 
 
 def track_frames(blocks: DataFrame) -> DataFrame:
+    """Length of each track, read from the blocks themselves."""
     return blocks.groupBy("mix", "track").agg(
         F.max(c("start") + F.size("values")).alias("frames")
     )
 
 
-def gain_pieces(keyframes: DataFrame | Ordered, frames: DataFrame, rate: float,
-                block_size: int) -> DataFrame:
-    """Gain over time of automated tracks, cut at keyframes and block borders.
+def _piece(low, high, t0=None, g0=None, t1=None, g1=None, easing="slider") -> Column:
+    def double(x):
+        return F.lit(None).cast("double") if x is None else x
 
-    One row per (track, block, piece): ``low``..``high`` are frames, both included. The
-    number of rows is at most the blocks plus the keyframes, so the join to the blocks
-    stays an equi-join on (mix, track, block) without any pair search.
-    """
-    seg = segments(keyframes, ["mix", "track"])
+    return F.struct(
+        low.cast("bigint").alias("low"), high.cast("bigint").alias("high"),
+        double(t0).alias("t0"), double(g0).alias("g0"), double(t1).alias("t1"),
+        double(g1).alias("g1"),
+        (easing if isinstance(easing, Column) else F.lit(easing)).alias("easing"),
+    )
 
-    def first_frame(t):
-        return F.ceil(t * rate).cast("bigint")
 
-    far = F.lit(1 << 60).cast("bigint")
+FAR = 1 << 60
 
-    def piece(low, high, t0, g0, t1, g1, easing):
-        return F.struct(
-            low.alias("low"), high.alias("high"), t0.alias("t0"), g0.alias("g0"),
-            t1.alias("t1"), g1.alias("g1"), easing.alias("easing"),
-        )
 
-    t, g = c("time"), c("gain")
-    slider = F.lit("slider")
-    nothing = F.lit(None).cast("double")
-    before = piece(F.lit(0).cast("bigint"), first_frame(t) - 1, nothing, nothing, nothing,
-                   nothing, slider)
-    inner = piece(first_frame(t), first_frame(c("next_time")) - 1, t, g, c("next_time"),
-                  c("next_gain"), c("next_easing"))
-    last_frame = F.floor(t * rate).cast("bigint")
-    point = piece(first_frame(t), last_frame, t, g, t, g, F.lit("hold"))
-    after = piece(last_frame + 1, far, nothing, nothing, nothing, nothing, slider)
-    head = F.when(c("prev_time").isNull(), F.array(before)).otherwise(F.array())
-    tail = F.when(c("next_time").isNull(), F.array(point, after)).otherwise(F.array(inner))
-    pieces = (
-        seg.select("mix", "track", F.explode(F.concat(head, tail)).alias("p"))
-        .select("mix", "track", "p.*")
-        .join(frames, ["mix", "track"])
+def gain_pieces(
+    voices: DataFrame, keyframes: DataFrame | Ordered | None, rate: float, block_size: int
+) -> DataFrame:
+    """Gain over time of each voice, cut at keyframes and at block borders.
+
+    ``voices``: mix, track, frames and anything to carry along. One row per (track, block,
+    piece); ``low``..``high`` are frames, both included. There are at most as many rows as
+    blocks and keyframes together, so the samples meet them in one equi-join on
+    (mix, track, block), whatever the keyframes look like.
+    """
+    keys = ["mix", "track"]
+    whole = _piece(F.lit(0), F.lit(FAR)).alias("p")
+    if keyframes is None:
+        pieces = voices.select("*", whole)
+    else:
+        t, g = c("time"), c("gain")
+
+        def first_frame(x):
+            return F.ceil(x * rate)
+
+        before = _piece(F.lit(0), first_frame(t) - 1)
+        inner = _piece(
+            first_frame(t), first_frame(c("next_time")) - 1, t, g, c("next_time"),
+            c("next_gain"), c("next_easing"),
+        )
+        last = F.floor(t * rate)
+        point = _piece(first_frame(t), last, t, g, t, g, "hold")
+        after = _piece(last + 1, F.lit(FAR))
+        head = F.when(c("prev_time").isNull(), F.array(before)).otherwise(F.array())
+        tail = F.when(c("next_time").isNull(), F.array(point, after)).otherwise(F.array(inner))
+        cut = segments(keyframes, keys).select(*keys, F.explode(F.concat(head, tail)).alias("p"))
+        joined = voices.join(cut, keys, "left")
+        pieces = joined.withColumn("p", F.coalesce("p", whole))
+    rows = (
+        pieces.select(*voices.columns, "p.*")
         .withColumn("high", F.least(c("high"), c("frames") - 1))
         .where(c("high") >= c("low"))
     )
     low, high = F.floor(c("low") / block_size), F.floor(c("high") / block_size)
-    return pieces.select("*", F.explode(F.sequence(low, high)).alias("block")).drop("frames")
+    return rows.select("*", F.explode(F.sequence(low, high)).alias("block"))
 
 
 def mixdown(
     blocks: DataFrame, tracks: DataFrame, keyframes: DataFrame | Ordered | None = None, *,
-    rate: float, block_size: int, master: Column | float = 1.0,
+    rate: float, block_size: int, master: float = 1.0, frames: DataFrame | None = None,
 ) -> DataFrame:
     """Stereo sum per (mix, frame) of the audible tracks.
 
     Each track is weighted by its gain (piecewise by its keyframes where it has some) and
     panned at equal power. Frames where nothing sounds are 0 up to the longest track.
-    The gate is applied on the small track table, so silent tracks are dropped before
-    their samples are touched; the sum is combined on the map side.
+
+    Silent tracks are dropped on the small track table. The samples are scanned once, meet
+    their gain pieces in one join and are summed on the map side before the only exchange
+    by (mix, frame). ``frames`` (mix, track, frames) is what the catalogue knows of the
+    lengths; without it the blocks are read once more to find them.
     """
     left, right = equal_power_pan(c("pan"))
-    voices = (
-        gated(tracks).where(c("gate") > 0)
-        .select("mix", "track", c("gain").alias("slider"), left.alias("l"), right.alias("r"))
+    sized = gated(tracks).join(track_frames(blocks) if frames is None else frames, ["mix", "track"])
+    longest = sized.groupBy("mix").agg(
+        F.max_by("track", F.struct("frames", "track")).alias("_longest")
     )
-    at = blocks.withColumn("block", F.floor(c("start") / block_size))
-    frames = track_frames(blocks)
-    plain = voices
-    parts = []
-    if keyframes is not None:
-        table = keyframes.df if isinstance(keyframes, Ordered) else keyframes
-        automated = table.select("mix", "track").distinct()
-        plain = voices.join(automated, ["mix", "track"], "left_anti")
-        pieces = gain_pieces(keyframes, frames, rate, block_size)
-        cut = (
-            at.join(pieces, ["mix", "track", "block"])
-            .join(voices, ["mix", "track"])
-            .withColumn("_from", F.greatest(c("low"), c("start")))
-            .withColumn("_to", F.least(c("high"), c("start") + F.size("values") - 1))
-            .where(c("_to") >= c("_from"))
-        )
-        part = F.slice(
-            c("values"), (c("_from") - c("start") + 1).cast("int"),
-            (c("_to") - c("_from") + 1).cast("int"),
-        )
-        rows = cut.select(
-            "mix", "slider", "l", "r", "t0", "g0", "t1", "g1", "easing", "_from",
-            F.posexplode(part).alias("pos", "value"),
-        ).withColumn("frame", c("_from") + c("pos"))
-        envelope = envelope_value(
-            c("frame") / F.lit(float(rate)), c("t0"), c("g0"), c("t1"), c("g1"), c("easing")
-        )
-        gain = F.when(c("easing") == "slider", c("slider")).otherwise(envelope)
-        parts.append(rows.select("mix", "frame", (c("value") * gain).alias("v"), "l", "r"))
-    rows = at.join(plain.where(c("slider") != 0), ["mix", "track"]).select(
-        "mix", "slider", "l", "r", "start", F.posexplode("values").alias("pos", "value")
+    on = c("gate") > 0
+    # The longest track stays even when silent: its zeros give the mix its length.
+    voices = sized.join(longest, "mix").where(on | (c("track") == c("_longest"))).select(
+        "mix", "track", "frames", c("gain").alias("slider"),
+        (c("gate") * left).alias("l"), (c("gate") * right).alias("r"),
     )
-    parts.append(
-        rows.select(
-            "mix", (c("start") + c("pos")).alias("frame"),
-            (c("value") * c("slider")).alias("v"), "l", "r",
-        )
-    )
-    longest = frames.groupBy("mix").agg(
-        F.max_by("track", F.struct("frames", "track")).alias("track")
+    pieces = gain_pieces(voices, keyframes, rate, block_size)
+    at = blocks.withColumn("block", F.floor(c("start") / block_size))
+    cut = (
+        at.join(pieces, ["mix", "track", "block"])
+        .withColumn("_from", F.greatest(c("low"), c("start")))
+        .withColumn("_to", F.least(c("high"), c("start") + F.size("values") - 1))
+        .where(c("_to") >= c("_from"))
     )
-    silence = blocks.join(longest, ["mix", "track"], "left_semi").select(
-        "mix", "start", F.posexplode("values").alias("pos", "value")
+    part = F.slice(
+        c("values"), (c("_from") - c("start") + 1).cast("int"),
+        (c("_to") - c("_from") + 1).cast("int"),
     )
-    zero = F.lit(0.0)
-    parts.append(
-        silence.select("mix", (c("start") + c("pos")).alias("frame"), zero.alias("v"),
-                       zero.alias("l"), zero.alias("r"))
+    rows = cut.select(
+        "mix", "slider", "l", "r", "t0", "g0", "t1", "g1", "easing", "_from",
+        F.posexplode(part).alias("pos", "value"),
+    ).withColumn("frame", c("_from") + c("pos"))
+    envelope = envelope_value(
+        c("frame") / F.lit(float(rate)), c("t0"), c("g0"), c("t1"), c("g1"), c("easing")
     )
-    whole = parts[0]
-    for p in parts[1:]:
-        whole = whole.unionByName(p)
-    m = master if isinstance(master, Column) else F.lit(float(master))
-    return whole.groupBy("mix", "frame").agg(
+    gain = F.when(c("easing") == "slider", c("slider")).otherwise(envelope)
+    m = F.lit(float(master))
+    weighted = rows.select("mix", "frame", (c("value") * gain).alias("v"), "l", "r")
+    return weighted.groupBy("mix", "frame").agg(
         (F.sum(c("v") * c("l")) * m).alias("left_value"),
         (F.sum(c("v") * c("r")) * m).alias("right_value"),
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -35,8 +37,11 @@ def prune_ids(sessions: DataFrame, owner, key: str, created: str, ord: str, keep
     owner = _list(owner)
     if keep <= 0:
         return sessions.select(*owner, key)
-    kept = keep_newest(sessions.select(*owner, key, created, ord), owner, created, ord, keep)
-    return sessions.select(*owner, key).join(kept.select(*owner, key), [*owner, key], "left_anti")
+    columns = list(dict.fromkeys([*owner, key, created, ord]))
+    kept = keep_newest(sessions.select(*columns), owner, created, ord, keep)
+    ids = kept.select(*[c(x).alias(f"_k_{x}") for x in (*owner, key)])
+    same = [c(x).eqNullSafe(c(f"_k_{x}")) for x in (*owner, key)]
+    return sessions.select(*owner, key).join(ids, reduce(lambda a, b: a & b, same), "left_anti")
 
 
 def lookup_session(sessions: DataFrame, key: str, value) -> DataFrame:
