@@ -171,31 +171,26 @@ def pair_zone(peak: Column) -> Column:
 
 
 def jenkins29(text: Column) -> Column:
-    """One-at-a-time hash of the lower-cased UTF-8 bytes, low 29 bits."""
-    data = F.encode(F.lower(text), "UTF-8")
-    mask = F.lit(0xFFFFFFFF).cast("bigint")
+    """One-at-a-time hash of the lower-cased UTF-8 bytes, low 29 bits.
 
-    def wrap(x):
-        return x.bitwiseAND(mask)
+    The running value is kept one step short: the shift-xor that ends a byte is applied
+    when the next byte (or the end) reads it. ``h + (h << 10)`` is ``h * 1025``.
+    """
+    mask = F.lit(0xFFFFFFFF).cast("bigint")
+    # One character per byte.
+    letters = F.split(F.decode(F.encode(F.lower(text), "UTF-8"), "ISO-8859-1"), "")
 
-    def byte(i):
-        return F.conv(F.hex(F.substring(data, i, 1)), 16, 10).cast("bigint")
+    def shifted(h):
+        return h.bitwiseXOR(F.shiftright(h, 6))
 
-    def mix(h, i):
-        added = let(wrap(h + byte(i)), lambda a: wrap(a + F.shiftleft(a, 10)))
-        return let(added, lambda b: b.bitwiseXOR(F.shiftright(b, 6)))
+    def step(h, letter):
+        return ((shifted(h) + F.ascii(letter)) * 1025).bitwiseAND(mask)
 
     def finish(h):
-        a = let(h, lambda x: wrap(x + F.shiftleft(x, 3)))
-        b = let(a, lambda x: x.bitwiseXOR(F.shiftright(x, 11)))
-        return let(b, lambda x: wrap(x + F.shiftleft(x, 15)))
+        spread = (shifted(h) * 9).bitwiseAND(mask)
+        return let(spread, lambda x: (x.bitwiseXOR(F.shiftright(x, 11)) * 32769).bitwiseAND(mask))
 
-    size = F.length(data)
-    places = F.when(size > 0, F.sequence(F.lit(1), size)).otherwise(
-        F.array().cast("array<int>")
-    )
-    start = F.lit(0).cast("bigint")
-    whole = F.aggregate(places, start, mix, finish)
+    whole = F.aggregate(letters, F.lit(0).cast("bigint"), step, finish)
     return whole.bitwiseAND(F.lit(0x1FFFFFFF).cast("bigint"))
 
 

@@ -71,9 +71,13 @@ class Tables:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder
+        self._read: dict[str, DataFrame] = {}
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(os.path.join(self.folder, f"{name}.parquet"))
+        if name not in self._read:
+            path = os.path.join(self.folder, f"{name}.parquet")
+            self._read[name] = self.spark.read.parquet(path)
+        return self._read[name]
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in TABLES:

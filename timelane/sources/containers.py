@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from timelane.functions import scalars as S
 from timelane.functions.bits import bytes_at, field, has_bit, i16, i32, let, u8, u16, u32
-from timelane.operators.ordered import ordered
+from timelane.operators.ordered import biggest, ordered
 
 c = F.col
 
@@ -345,7 +345,8 @@ def block_ranges(headers: DataFrame, keys=("file", "block"), rows_per_chunk=None
     )
     padded = F.shiftleft(F.shiftright(c("_head") + (BLOCK_PAD - 1), 11), 11)
     sized = headers.join(total.select(*keys, padded.alias("_pad")), keys)
-    placed = ordered(sized, keys, ["channel"], rows_per_chunk).scan(
+    bound = biggest(headers, keys)
+    placed = ordered(sized, keys, ["channel"], rows_per_chunk, bound).scan(
         before={"_before": c("audio_bytes")}, number="_n"
     ).df
     raw = c("_pad") + c("_before")
