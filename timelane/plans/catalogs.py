@@ -524,7 +524,28 @@ def _(t):
     return A.join_format_data(formats, data, keys)
 
 
-@query("resolve_labels")
+LABEL_SQL = """streams as (select file, idx, 'song' || file || '_' || (idx // 2 + 1)
+            || case when idx % 2 = 0 then '_left' else '_right' end as own
+        from (select p_partkey as file, unnest(range(0, p_partkey % 4 * 2)) as idx from part
+            where p_partkey % 4 > 0)),
+    bytes as (select file, idx, list_transform(range(1, length(own) + 1),
+        lambda i: ascii(substring(own, i, 1))::bigint) as b from streams),
+    mixed as (select file, idx, list_reduce(list_prepend(0::bigint, b), lambda h, x:
+        xor((h + x) * 1025 & 4294967295, ((h + x) * 1025 & 4294967295) >> 6)) as h from bytes),
+    f1 as (select file, idx, (h + (h << 3)) & 4294967295 as h from mixed),
+    f2 as (select file, idx, xor(h, h >> 11) as h from f1),
+    hashed as (select file, idx, (h + (h << 15)) & 4294967295 & 536870911 as hash from f2)"""
+
+
+@query(
+    "resolve_labels",
+    f"""with {LABEL_SQL} select file, 'Song' || file || '.AWC' as name, idx,
+        case when idx % 5 = 3 then file + idx else hash end as hash,
+        case when idx % 5 <> 3 then idx // 2 + 1 end as pair,
+        case when idx % 5 <> 3 then case when idx % 2 = 0 then 'L' else 'R' end end as side,
+        case when idx % 5 <> 3 then (idx // 2 + 1) || case when idx % 2 = 0 then ' LEFT' else ' RIGHT' end
+            end as label from hashed""",
+)
 def _(t):
     """Streams hashed from their own names plus noise; the labels must come back."""
     p = c("p_partkey")
