@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,11 +42,16 @@ def hot_rows(spark: SparkSession) -> int:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's ``spark.checkpoint.dir``; pick a folder only where none is set."""
+    """Use the cluster's ``spark.checkpoint.dir``; without it, a folder in the warehouse.
+
+    The warehouse is where executors read and write tables, so it is shared wherever Spark
+    runs on more than one machine.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         configured = spark.conf.get("spark.checkpoint.dir", "")
-        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="timelane-checkpoint-"))
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        sc.setCheckpointDir(configured or f"{warehouse}/timelane-steps")
 
 
 def widen(df: DataFrame) -> DataFrame:
