@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from timelane.llm.packing import best_fit_windows, cut_windows
+from timelane.llm.quality_rules import adaptive_limits, judge, measure_texts, quantile_sketches
+from timelane.llm.store import stored
 
 c = F.col
 VOCABULARY = "byte_bpe_50k.json"
@@ -44,3 +46,68 @@ def packed(docs: DataFrame) -> DataFrame:
 @query("op10_best_fit_packing")
 def _(spark, folder):
     return packed(read(spark, folder, "documents"))
+
+
+_SLACK = "6000 / sqrt(greatest(n_words, 1))"
+
+
+
+def _quartiles_sql(name: str, by: str) -> str:
+    return f"""{name}_n as (select {by}rule, bin, sum(count(*)) over (partition by {by}rule order by bin) as upto,
+        sum(count(*)) over (partition by {by}rule) as n from long group by {by}rule, bin),
+    {name} as (select {by}rule, max(n) as n, [min(bin) filter (upto * 4 >= n),
+        min(bin) filter (upto * 4 >= n * 2), min(bin) filter (upto * 4 >= n * 3)] as q
+        from {name}_n group by {by}rule)"""
+
+
+RULES_SQL = f"""with t as (select doc_id, lang, source, coalesce(text, '') as t from documents),
+    w as (select *, list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as ws,
+        list_filter(string_split(t, chr(10)),
+            lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as ls from t),
+    g as (select doc_id, i, array_to_string(ws[i : i + 4], ' ') as g
+        from (select doc_id, ws, unnest(range(1, len(ws) - 3)) as i from w)),
+    twice as (select doc_id, i from g qualify count(*) over (partition by doc_id, g) > 1),
+    rep as (select doc_id, count(distinct i + k) as n_repeat_words
+        from twice, (select unnest(range(5)) as k) group by doc_id),
+    m as (select w.doc_id, lang, source, len(ws)::bigint as n_words,
+        length(array_to_string(ws, ''))::bigint as word_chars,
+        (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols,
+        len(ls)::bigint as n_lines, (len(ls) - len(list_distinct(ls)))::bigint as n_dup_lines,
+        coalesce(n_repeat_words, 0)::bigint as n_repeat_words from w left join rep using (doc_id)),
+    f as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed,
+        case when n_words > 0 then 1000 * n_symbols // n_words else 0 end as symbols,
+        case when n_lines > 0 then 1000 * n_dup_lines // n_lines else 0 end as lines,
+        case when n_words > 0 then 1000 * word_chars // n_words else 0 end as length_ from m),
+    long as (select lang, source, rule, (v >> d) << d as bin from (
+        select *, greatest(len(bin(v)) - 7, 0)::bigint as d from (
+        select lang, source, 'symbols' as rule, symbols as v from f where not base_failed
+        union all select lang, source, 'lines', lines from f where not base_failed
+        union all select lang, source, 'length', length_ from f where not base_failed))),
+    {_quartiles_sql('q0', 'lang, source, ')},
+    {_quartiles_sql('q1', 'lang, ')},
+    {_quartiles_sql('q2', '')},
+    chosen as (select q0.lang, q0.source, q0.rule,
+        case when q0.n >= 200 then q0.q when q1.n >= 200 then q1.q else q2.q end as q from q0
+        join q1 on q0.lang is not distinct from q1.lang and q0.rule = q1.rule
+        join q2 on q0.rule = q2.rule),
+    lim as (select lang, source,
+        max(case when rule = 'symbols' then q[2] + greatest(4 * (q[3] - q[1]), 100) end) as s_high,
+        max(case when rule = 'lines' then q[2] + greatest(4 * (q[3] - q[1]), 400) end) as l_high,
+        max(case when rule = 'length' then q[2] + greatest(4 * (q[3] - q[1]), 500) end) as n_high,
+        max(case when rule = 'length' then q[2] - greatest(4 * (q[3] - q[1]), 500) end) as n_low
+        from chosen group by all)
+    select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+        not base_failed and coalesce(symbols <= s_high and lines <= l_high
+            and length_ <= n_high + {_SLACK} and length_ >= n_low - {_SLACK}, false) as kept
+    from f left join lim on f.lang is not distinct from lim.lang
+        and f.source is not distinct from lim.source"""
+
+
+@query("op9_quality_rules", RULES_SQL)
+def _(spark, folder):
+    docs = read(spark, folder, "documents").select("doc_id", "text", "lang", "source")
+    counts = [c(f"measures.{n}") for n in (
+        "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+    measured = stored(measure_texts(docs).drop("text"))
+    limits = adaptive_limits(quantile_sketches(measured))
+    return judge(measured, limits).select("doc_id", *counts, "base_failed", "kept")
