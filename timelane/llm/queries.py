@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from timelane.llm.contamination import benchmark_windows, word_counts
 from timelane.llm.packing import best_fit_windows, cut_windows
 from timelane.llm.quality_rules import adaptive_limits, judge, measure_texts, quantile_sketches
 from timelane.llm.store import stored
@@ -111,3 +112,50 @@ def _(spark, folder):
     measured = stored(measure_texts(docs).drop("text"))
     limits = adaptive_limits(quantile_sketches(measured))
     return judge(measured, limits).select("doc_id", *counts, "base_failed", "kept")
+
+
+_LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ALNUM = f"regexp_extract_all({_LOW}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+CONTAMINATION_SQL = f"""with d as (select doc_id, {_ALNUM} as ws from documents),
+    i as (select item_id, ws, least(len(ws), 13) as n from (select item_id, {_ALNUM} as ws from benchmark)
+        where len(ws) > 0),
+    iw as (select distinct item_id, n, array_to_string(ws[k : k + n - 1], ' ') as w
+        from (select *, unnest(range(1, len(ws) - n + 2)) as k from i)),
+    dw as (select doc_id, n, k, array_to_string(ws[k : k + n - 1], ' ') as w
+        from (select doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) as k
+            from d, (select distinct n from i) where len(ws) >= n)),
+    hit as (select doc_id, dw.n, k, item_id from dw join iw on dw.w = iw.w and dw.n = iw.n),
+    covered as (select doc_id, count(distinct k + j) as n_hit
+        from (select distinct doc_id, n, k from hit), (select unnest(range(13)) as j) where j < n
+        group by doc_id),
+    named as (select doc_id, count(distinct item_id) as n_items,
+        string_agg(distinct item_id::varchar, ',' order by item_id::varchar) as items from hit group by doc_id)
+    select doc_id, len(ws)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit,
+        coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(items, '')) as items_sha256,
+        coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(ws) as contaminated
+    from d left join covered using (doc_id) left join named using (doc_id)"""
+
+
+def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """Per document: words, words hit, items found, and the verdict."""
+    hits = benchmark_windows(docs, items, key="doc_id")
+    per_doc = hits.groupBy(c("doc_id").alias("_doc")).agg(
+        F.collect_set(F.struct("first", "size")).alias("spans"),
+        F.sort_array(F.collect_set("item")).alias("items"),
+    )
+    covered = F.size(F.array_distinct(F.flatten(F.transform(
+        "spans", lambda s: F.sequence(s["first"], s["first"] + s["size"] - 1)))))
+    joined = word_counts(docs, key="doc_id").join(per_doc, c("doc_id") == c("_doc"), "left")
+    n_hit = F.coalesce(covered, F.lit(0)).cast("bigint")
+    return joined.select(
+        "doc_id", "n_words", n_hit.alias("n_hit"),
+        F.coalesce(F.size("items"), F.lit(0)).cast("bigint").alias("n_items"),
+        F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")), 256).alias("items_sha256"),
+        ((n_hit > 0) & (20 * n_hit >= c("n_words"))).alias("contaminated"),
+    )
+
+
+@query("op5_benchmark_contamination", CONTAMINATION_SQL)
+def _(spark, folder):
+    return contamination(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
