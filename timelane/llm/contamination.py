@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from timelane.llm.bits import bit_field, place
 from timelane.llm.store import stored
 from timelane.llm.words import ALNUM_LOWER, shingle_sums, window_starts, word_slices
 
@@ -62,41 +63,13 @@ def item_windows(items: DataFrame, *, item: str = "item_id", text: str = "text",
     )
 
 
-def _filter_of(tokens: DataFrame, column: str):
-    """Bits set for the hashed tokens, and the widths they have; of fixed size."""
-    bits = FILTER_BITS
-
-    def build(batches):
-        field = np.zeros(1 << bits, bool)
-        for batch in batches:
-            field[batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - bits)] = True
-        for at in range(0, len(field), 1 << 16):
-            part = field[at : at + (1 << 16)]
-            if part.any():
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([at]), pa.array([np.packbits(part).tobytes()], pa.binary())], names=["at", "part"]
-                )
-
-    def merge(key, table):
-        parts = [np.frombuffer(p.as_py(), np.uint8) for p in table.column("part")]
-        return pa.table({"at": pa.array([key[0].as_py()]), "part": pa.array([np.bitwise_or.reduce(parts).tobytes()], pa.binary())})
-
-    rows = tokens.select(column).mapInArrow(build, "at bigint, part binary").groupBy("at").applyInArrow(
-        merge, "at bigint, part binary"
-    )
-    field = np.zeros(1 << bits, bool)
-    for row in rows.collect():  # at most 128 parts of 8 KB
-        field[row["at"] : row["at"] + (1 << 16)] = np.unpackbits(np.frombuffer(row["part"], np.uint8)).astype(bool)
-    return field
-
-
 def _places(words, field, widths):
     """(width, first words, hashes) of shingles whose bit is set, over one slice."""
     sums = shingle_sums(words.hashes())
     for width in widths:
         start, text = window_starts(words, width)
         token = sums(start, width)
-        hit = field[token >> np.uint64(64 - FILTER_BITS)]
+        hit = field[place(token, FILTER_BITS)]
         yield width, start[hit], text[hit], token[hit].view(np.int64)
 
 
@@ -115,7 +88,7 @@ def benchmark_windows(
     widths = sorted(r["width"] for r in windows.select("width").distinct().collect())  # 5 at most
     spark = records.sparkSession
     texts = records.select(c(f"`{key}`").cast("bigint").alias("_key"), c(f"`{text}`").cast("string").alias("_text"))
-    every = spark.sparkContext.broadcast(_filter_of(windows, "token"))
+    every = spark.sparkContext.broadcast(bit_field(windows.select("token"), FILTER_BITS))
 
     def count(batches):
         for batch in batches:
@@ -140,7 +113,7 @@ def benchmark_windows(
                 F.row_number().over(rarest).alias("_rank"))
         .where("_rank = 1 and n > 0").drop("_rank")
     )
-    needed = spark.sparkContext.broadcast(_filter_of(prefix, "token"))
+    needed = spark.sparkContext.broadcast(bit_field(prefix.select("token"), FILTER_BITS))
 
     def find(batches):
         for batch in batches:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from timelane.llm.contamination import benchmark_windows, word_counts
+from timelane.llm.near_duplicates import near_duplicate_sets
 from timelane.llm.packing import best_fit_windows, cut_windows
 from timelane.llm.quality_rules import adaptive_limits, judge, measure_texts, quantile_sketches
 from timelane.llm.store import stored
@@ -159,3 +160,8 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
 @query("op5_benchmark_contamination", CONTAMINATION_SQL)
 def _(spark, folder):
     return contamination(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+
+
+@query("op3_near_duplicates")
+def _(spark, folder):
+    return near_duplicate_sets(read(spark, folder, "documents"), key="doc_id", shingle=2)
