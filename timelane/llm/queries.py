@@ -12,6 +12,7 @@ from timelane.llm.contamination import benchmark_windows, word_counts
 from timelane.llm.near_duplicates import near_duplicate_sets
 from timelane.llm.packing import best_fit_windows, cut_windows
 from timelane.llm.quality_rules import adaptive_limits, judge, measure_texts, quantile_sketches
+from timelane.llm.repeated_passages import remove_repeated
 from timelane.llm.store import stored
 
 c = F.col
@@ -165,3 +166,27 @@ def _(spark, folder):
 @query("op3_near_duplicates")
 def _(spark, folder):
     return near_duplicate_sets(read(spark, folder, "documents"), key="doc_id", shingle=2)
+
+
+_SPACED = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+
+PASSAGES_SQL = f"""with d as (select doc_id, {_SPACED} as ws from documents),
+    w as (select doc_id, k, array_to_string(ws[k : k + 49], ' ') as w
+        from (select doc_id, ws, unnest(range(1, len(ws) - 48)) as k from d)),
+    first as (select md5(w) as h, min(doc_id) as low from w group by md5(w)),
+    hit as (select distinct doc_id, k + j as i from w join first on md5(w.w) = h and doc_id > low,
+        (select unnest(range(50)) as j)),
+    kept as (select doc_id, string_agg(word, ' ' order by i) as kept, count(*) as n from
+        (select doc_id, unnest(ws) as word, unnest(range(1, len(ws) + 1)) as i from d) anti join hit
+        using (doc_id, i) group by doc_id)
+    select doc_id, len(ws)::bigint as n_words, (len(ws) - coalesce(n, 0))::bigint as n_removed,
+        sha256(coalesce(kept, '')) as kept_sha256 from d left join kept using (doc_id)"""
+
+
+@query("op4_repeated_passages", PASSAGES_SQL)
+def _(spark, folder):
+    docs = read(spark, folder, "documents").select("doc_id", "text")
+    left = remove_repeated(docs, key="doc_id")
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    return left.select(
+        "doc_id", "n_words", "n_removed", F.sha2(F.array_join(words, " "), 256).alias("kept_sha256"))
