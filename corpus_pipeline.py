@@ -1,25 +1,69 @@
-"""From raw documents to packed training windows, one written table after another."""
+"""From raw documents to packed training windows, one written table after another.
+
+Every stage takes all that its predecessor kept and returns the columns of ``documents``; the
+last returns the pieces of the packed windows.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from timelane.llm.queries import packed, read
+from timelane.llm.near_duplicates import near_duplicate_sets
+from timelane.llm.quality_rules import quality_rules
+from timelane.llm.queries import contamination, packed, read
+from timelane.llm.repeated_passages import remove_repeated
 from timelane.llm.store import stored
 
+c = F.col
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and lie within the limits of their language and source."""
+    return quality_rules(docs).where("kept").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: the one with the smallest id."""
+    gone = near_duplicate_sets(docs, key="doc_id", shingle=5).where("not kept").select(
+        c("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, c("doc_id") == c("_gone"), "left_anti")
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages of 50 words and more that an earlier one holds too."""
+    left = remove_repeated(docs, key="doc_id")
+    changed = left.withColumn(
+        "n_chars", F.when(c("n_removed") > 0, F.char_length("text")).otherwise(c("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return changed.select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which less than a twentieth lies in benchmark passages."""
+    bad = contamination(docs, read(spark, sf_dir, "benchmark")).where("contaminated").select(
+        c("doc_id").alias("_bad")).distinct()
+    return docs.join(bad, c("doc_id") == c("_bad"), "left_anti")
+
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Best-fit decreasing packing of all that is left; pieces with their places."""
     return packed(docs)
 
 
-STAGES = [("packing", packing)]
+STAGES = [
+    ("quality_rules", quality),
+    ("near_duplicates", near_duplicates),
+    ("repeated_passages", repeated_passages),
+    ("decontamination", decontamination),
+    ("packing", packing),
+]
 ORACLE_SQL = None
-"""None: token ids come from a tokenizer, which SQL cannot run; see tests/llm."""
+"""None: token ids come from a tokenizer, which SQL cannot run; tests/llm compare with brute force."""
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage, after all stages have run on ``documents``."""
     docs = read(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
+    for _, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
