@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from timelane.llm.contamination import benchmark_windows, word_counts
 from timelane.llm.near_duplicates import near_duplicate_sets
 from timelane.llm.packing import best_fit_windows, cut_windows
+from timelane.llm.quality_model import fit_discriminant, score_quality, text_statistics
 from timelane.llm.quality_rules import adaptive_limits, judge, measure_texts, quantile_sketches
 from timelane.llm.repeated_passages import remove_repeated
 from timelane.llm.store import stored
@@ -190,3 +191,17 @@ def _(spark, folder):
     words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
     return left.select(
         "doc_id", "n_words", "n_removed", F.sha2(F.array_join(words, " "), 256).alias("kept_sha256"))
+
+
+GOOD_FROM = 0.3
+
+
+@query("op6_quadratic_discriminant")
+def _(spark, folder):
+    held_out = F.pmod(F.crc32(c("doc_id").cast("string")), F.lit(5)) == 0
+    statistics = stored(text_statistics(read(spark, folder, "documents"), key="doc_id"))
+    labels = read(spark, folder, "labels").select("doc_id", "quality").distinct()
+    model = fit_discriminant(statistics.where(~held_out).join(labels, "doc_id"))
+    return score_quality(statistics, model, key="doc_id").select(
+        "doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score",
+        (c("score") >= GOOD_FROM).cast("int").alias("predicted"))

@@ -70,6 +70,7 @@ class Words:
     end: np.ndarray
     first: np.ndarray  # word offsets of the texts, one more than texts
     rule: str
+    offsets: np.ndarray  # byte offsets of the texts
 
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
@@ -110,7 +111,7 @@ def find_words(data: np.ndarray, offsets: np.ndarray, rule: str) -> Words:
     after[:-1] = inside
     after[offsets] = False
     ends = np.flatnonzero(inside & ~after[1:]) + 1
-    return Words(data, starts, ends, np.searchsorted(starts, offsets), rule)
+    return Words(data, starts, ends, np.searchsorted(starts, offsets), rule, offsets)
 
 
 def text_slices(column, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
