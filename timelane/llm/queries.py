@@ -14,6 +14,7 @@ from timelane.llm.packing import best_fit_windows, cut_windows
 from timelane.llm.quality_model import fit_discriminant, score_quality, text_statistics
 from timelane.llm.quality_rules import adaptive_limits, judge, measure_texts, quantile_sketches
 from timelane.llm.repeated_passages import remove_repeated
+from timelane.llm.revisits import resolve_revisits
 from timelane.llm.store import stored
 
 c = F.col
@@ -205,3 +206,54 @@ def _(spark, folder):
     return score_quality(statistics, model, key="doc_id").select(
         "doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score",
         (c("score") >= GOOD_FROM).cast("int").alias("predicted"))
+
+
+def captures(pages: DataFrame) -> DataFrame:
+    """Two captures of every page: its response, and a not-modified answer at another time."""
+    at = c("page_id") * 10
+    later = F.when(c("page_id") % 10 == 0, at - 5).otherwise(at + 20_000)
+    common = {"etag": F.substring(F.md5("html"), 1, 16), "last_modified": F.lit(None).cast("string")}
+    def headers(**kw):
+        return F.create_map(*[x for k, v in kw.items() for x in (F.lit(k.replace("_", "-")), v)])
+
+    size = F.char_length("html").cast("string")
+    first = pages.select(
+        (c("page_id") * 2).alias("record_id"), "url", at.alias("time"), F.lit(False).alias("revisit"),
+        common["etag"].alias("etag"), common["last_modified"].alias("last_modified"),
+        headers(Content_Type=F.lit("text/html"), Content_Length=size, Date=at.cast("string")).alias("headers"))
+    again = pages.select(
+        (c("page_id") * 2 + 1).alias("record_id"), "url", later.alias("time"), F.lit(True).alias("revisit"),
+        F.when(c("page_id") % 7 != 0, common["etag"]).alias("etag"), common["last_modified"].alias("last_modified"),
+        headers(Content_Length=F.lit("0"), Date=later.cast("string"), Age=F.lit("1")).alias("headers"))
+    return first.unionByName(again)
+
+
+REVISITS_SQL = r"""with u as (select page_id, html, trim(url) as url,
+        regexp_replace(regexp_replace(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*://', ''), '#.*$', '') as w from pages),
+    k as (select *, regexp_replace(lower(regexp_extract(w, '^([^/?]*)', 1)), '^www\.|:(80|443)$', '', 'g')
+        || regexp_replace(regexp_extract(w, '^[^/?]*([^?]*)', 1), '/+$', '') as base,
+        list_sort(list_filter(string_split(regexp_extract(w, '\?(.*)$', 1), '&'), lambda p: p <> ''
+            and not regexp_matches(lower(p), '^(utm_[a-z]+|ref|sid|sessionid|phpsessid|jsessionid|gclid|fbclid)='))) as q
+        from u),
+    p as (select page_id, case when url <> '' then base
+        || case when len(q) > 0 then '?' || array_to_string(q, '&') else '' end end as canonical,
+        md5(html)[1:16] as etag, length(html) as size, page_id * 10 as at,
+        case when page_id % 10 = 0 then page_id * 10 - 5 else page_id * 10 + 20000 end as later from k),
+    a as (select r.page_id, r.canonical, r.later, f.page_id as target,
+            case when r.page_id % 7 <> 0 then r.etag end as mine, f.etag as theirs, f.size, f.at,
+            row_number() over (partition by r.page_id order by f.at desc nulls last, f.page_id desc) as rn
+        from p r left join p f on r.canonical = f.canonical and f.at < r.later)
+    select page_id * 2 + 1 as record_id, canonical, target * 2 as target_id, status,
+        case when status = 'resolved' then 'age=1,content-length=' || size || ',content-type=text/html,date=' || later
+            end as headers
+    from (select *, case when canonical is null then 'no_url' when target is null then 'no_response'
+        when mine = theirs then 'resolved' when mine <> theirs then 'etag_differs'
+        else 'no_validator' end as status from a where rn = 1)"""
+
+
+@query("op1_revisit_resolution", REVISITS_SQL)
+def _(spark, folder):
+    solved = resolve_revisits(captures(read(spark, folder, "pages")))
+    text = F.array_join(F.sort_array(F.transform(
+        F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ",")
+    return solved.withColumn("headers", text)
