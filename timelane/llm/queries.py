@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from timelane.llm.contamination import benchmark_windows, word_counts
+from timelane.llm.cross_entropy import cross_entropy_difference
 from timelane.llm.near_duplicates import near_duplicate_sets
 from timelane.llm.packing import best_fit_windows, cut_windows
 from timelane.llm.quality_model import fit_discriminant, score_quality, text_statistics
@@ -257,3 +258,9 @@ def _(spark, folder):
     text = F.array_join(F.sort_array(F.transform(
         F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ",")
     return solved.withColumn("headers", text)
+
+
+@query("op2_cross_entropy_difference")
+def _(spark, folder):
+    good = read(spark, folder, "labels").where("quality = 1")
+    return cross_entropy_difference(read(spark, folder, "documents"), good, key="doc_id")
