@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from timelane.llm.contamination import benchmark_windows, word_counts
 from timelane.llm.cross_entropy import cross_entropy_difference
+from timelane.llm.main_text import default_model, extract_main_text
 from timelane.llm.near_duplicates import near_duplicate_sets
 from timelane.llm.packing import best_fit_windows, cut_windows
 from timelane.llm.quality_model import fit_discriminant, score_quality, text_statistics
@@ -264,3 +265,10 @@ def _(spark, folder):
 def _(spark, folder):
     good = read(spark, folder, "labels").where("quality = 1")
     return cross_entropy_difference(read(spark, folder, "documents"), good, key="doc_id")
+
+
+@query("op7_tree_model_text")
+def _(spark, folder):
+    pages = read(spark, folder, "pages").select("page_id", "url", "html")
+    return extract_main_text(pages, default_model(spark)).select(
+        "page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))
