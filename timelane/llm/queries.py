@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from timelane.llm.contamination import benchmark_windows, word_counts
 from timelane.llm.cross_entropy import cross_entropy_difference
+from timelane.llm.id_files import read_id_files, write_id_files
 from timelane.llm.main_text import default_model, extract_main_text
 from timelane.llm.near_duplicates import near_duplicate_sets
 from timelane.llm.packing import best_fit_windows, cut_windows
@@ -17,7 +18,7 @@ from timelane.llm.quality_model import fit_discriminant, score_quality, text_sta
 from timelane.llm.quality_rules import adaptive_limits, judge, measure_texts, quantile_sketches
 from timelane.llm.repeated_passages import remove_repeated
 from timelane.llm.revisits import resolve_revisits
-from timelane.llm.store import stored
+from timelane.llm.store import scratch_path, stored
 
 c = F.col
 VOCABULARY = "byte_bpe_50k.json"
@@ -272,3 +273,11 @@ def _(spark, folder):
     pages = read(spark, folder, "pages").select("page_id", "url", "html")
     return extract_main_text(pages, default_model(spark)).select(
         "page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))
+
+
+@query("op8_id_files")
+def _(spark, folder):
+    path = scratch_path(spark)
+    write_id_files(read(spark, folder, "documents"), path, public_tokenizers.path(VOCABULARY), key="doc_id")
+    return read_id_files(spark, path, key="doc_id").select(
+        "doc_id", "start", c("length").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
