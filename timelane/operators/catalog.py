@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from timelane.functions.scalars import jenkins29
 from timelane.functions.text import strip_extension
-from timelane.operators.ordered import Ordered, biggest, collect_parts, ordered
+from timelane.operators.ordered import Ordered, biggest, lists_per_key, ordered
 
 c = F.col
 
@@ -112,14 +112,14 @@ def resolve_labels(
     return streams.join(best.select(key, "hash", "b.*"), [key, "hash"], "left")
 
 
-def codec_breakdown(streams: DataFrame, key: str, part_size: int = 10_000) -> DataFrame:
-    """``n × CODEC`` in first-seen order, joined with ``+``."""
+def codec_breakdown(streams: DataFrame, key: str) -> DataFrame:
+    """``n × CODEC`` in first-seen order, joined with ``+``: one row per file."""
     counts = streams.groupBy(key, F.upper("codec").alias("codec")).agg(
         F.count(F.lit(1)).alias("_count"), F.min("idx").alias("_first")
     )
     item = F.concat(c("_count").cast("string"), F.lit(" × "), c("codec"))
-    parts = collect_parts(counts, key, "_first", item, "items", part_size)
-    return parts.select(key, "part", F.array_join("items", " + ").alias("breakdown"))
+    listed = lists_per_key(counts, key, "_first", item, "codecs")
+    return listed.select(key, F.array_join("codecs", " + ").alias("breakdown"))
 
 
 def file_summary(streams: DataFrame, key: str) -> DataFrame:
@@ -132,12 +132,17 @@ def file_summary(streams: DataFrame, key: str) -> DataFrame:
     )
 
 
-def failure_report(failures: DataFrame, part_size: int = 10_000) -> DataFrame:
-    """Stream indexes per message, in parts."""
-    parts = collect_parts(failures, "message", "idx", c("idx"), "items", part_size)
-    return parts.select(
-        "message", "part", F.size("items").cast("bigint").alias("failures"),
-        F.array_join("items", ", ").alias("stems"),
+def failure_report(failures: DataFrame) -> DataFrame:
+    """Failures, first and last stream index of each message."""
+    return failures.groupBy("message").agg(
+        F.count(F.lit(1)).alias("failures"), F.min("idx").alias("first_idx"), F.max("idx").alias("last_idx")
+    )
+
+
+def failed_streams(failures: DataFrame) -> DataFrame:
+    """Every failure with its place, from 0, among those of its message."""
+    return ordered(failures.select("message", "idx"), "message", "idx").scan(number="_n").df.select(
+        "message", (c("_n") - 1).alias("position"), "idx"
     )
 
 

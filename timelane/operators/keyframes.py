@@ -18,7 +18,7 @@ from timelane.functions.scalars import (
     envelope_value,
     round_half_up,
 )
-from timelane.operators.ordered import Ordered, biggest, collect_parts, ordered
+from timelane.operators.ordered import Ordered, biggest, lists_per_key, ordered
 
 SAME_TIME = 1e-9
 MOVED_TIME = 1e-6
@@ -318,13 +318,17 @@ def add_fades(current: DataFrame | Ordered, requests: DataFrame, keys) -> DataFr
     return _settle(rows, keys, None if top is None else top + 1)
 
 
-def encode_keyframes(keyframes: DataFrame, keys, part_size: int = 10_000) -> DataFrame:
-    """Flat integer lists ``time*100, gain*100, flag`` per key, in parts."""
+def encode_keyframes(keyframes: DataFrame, keys) -> DataFrame:
+    """The flat integer list ``time*100, gain*100, flag, ...`` of each key.
+
+    The saved format holds a series in one list; ``items`` is the number of keyframes, and
+    :func:`lists_per_key` says when ``reason`` is set.
+    """
     triple = F.array(
         round_half_up(c("time") * 100), round_half_up(c("gain") * 100),
         F.when(c("easing") == "hold", 1).otherwise(0).cast("bigint"),
     )
-    lists = collect_parts(keyframes, keys, ["time", "ord"], triple, "triples", part_size)
+    lists = lists_per_key(keyframes, keys, ["time", "ord"], triple, "triples")
     return lists.withColumn("flat", F.flatten("triples")).drop("triples")
 
 

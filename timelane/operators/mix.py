@@ -16,7 +16,7 @@ from timelane.functions.scalars import (
     round_half_up,
 )
 from timelane.operators.keyframes import segments
-from timelane.operators.ordered import Ordered, collect_parts, ordered
+from timelane.operators.ordered import Ordered, lists_per_key, ordered
 
 c = F.col
 
@@ -254,8 +254,8 @@ def mixdown(
     )
 
 
-def compact_state(placed: DataFrame, keys, part_size: int = 10_000) -> DataFrame:
-    """Per pair on-bit, gain and spread as integers, from the left track, in parts.
+def compact_state(placed: DataFrame, keys) -> DataFrame:
+    """Per pair on-bit, gain and spread as integers, from the left track: one row per pair.
 
     ``placed``: keys, pair, side, track (null when missing), gain, pan, muted.
     """
@@ -263,17 +263,28 @@ def compact_state(placed: DataFrame, keys, part_size: int = 10_000) -> DataFrame
     left = F.when((c("side") == "L") & c("track").isNotNull(), F.struct("gain", "pan", "muted"))
     pairs = placed.groupBy(*keys, "pair").agg(F.max(left).alias("_left"))
     x = c("_left")
-    item = F.struct(
+    return pairs.select(
+        *keys, "pair",
         F.when(F.coalesce(~x["muted"], F.lit(True)), 1).otherwise(0).cast("bigint").alias("m"),
         round_half_up(F.coalesce(x["gain"], F.lit(1.0)) * 100).alias("g"),
         round_half_up(F.coalesce(F.abs(x["pan"]), F.lit(1.0)) * 100).alias("p"),
     )
-    lists = collect_parts(pairs, keys, "pair", item, "pairs", part_size)
+
+
+def compact_lists(state: DataFrame, keys) -> DataFrame:
+    """The arrays ``m``, ``g``, ``p`` of each mix, in pair order, as one saved text holds them.
+
+    ``items`` is the number of pairs; see :func:`lists_per_key` for ``reason``.
+    """
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    lists = lists_per_key(state, keys, "pair", F.struct("m", "g", "p"), "_pairs")
     return lists.select(
-        *keys, "part", c("pairs.m").alias("m"), c("pairs.g").alias("g"), c("pairs.p").alias("p")
+        *keys, "items", *[c(f"_pairs.{x}").alias(x) for x in "mgp"], "reason"
     )
 
 
-def snapshot_parts(tracks: DataFrame, keys, order, fields, part_size: int = 10_000) -> DataFrame:
-    """Nested track lists per key, in parts."""
-    return collect_parts(tracks, keys, order, F.struct(*fields), "tracks", part_size)
+def snapshot(tracks: DataFrame, keys, order, fields) -> DataFrame:
+    """The tracks of each key with their place, from 0, in the key's order."""
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    numbered = ordered(tracks, keys, order).scan(number="_n").df
+    return numbered.select(*keys, (c("_n") - 1).alias("position"), *fields)

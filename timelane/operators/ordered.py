@@ -244,6 +244,29 @@ def collect_parts(
     )
 
 
+MOST_ITEMS = 1_000_000
+
+
+def lists_per_key(df: DataFrame, keys, order, item: Column, name: str, most: int = MOST_ITEMS) -> DataFrame:
+    """The whole ordered list of every key, for formats that hold a key in one text.
+
+    Rows: keys, ``items`` (how many), the list and ``reason``: null, or ``too_many`` with a
+    null list where a key has more than ``most`` items and no row could hold its text.
+    """
+    keys, order = _names(keys), _names(order)
+    fields = F.struct(*[F.col(o).alias(f"_o{i}") for i, o in enumerate(order)], item.alias("_v"))
+    rows = df.select(*keys, fields.alias("_item"))
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("items"))
+    few = counts.where(F.col("items") <= most).select(*[F.col(k).alias(f"_k_{k}") for k in keys])
+    lists = (
+        rows.join(few, _same(keys, "_k_"), "left_semi").groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys])
+        .agg(F.transform(F.array_sort(F.collect_list("_item")), lambda x: x["_v"]).alias(name))
+    )
+    return counts.join(lists, _same(keys, "_k_"), "left").select(
+        *keys, "items", name, F.when(F.col("items") > most, "too_many").alias("reason")
+    )
+
+
 def _names(value) -> tuple[str, ...]:
     return (value,) if isinstance(value, str) else tuple(value)
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from timelane.operators.ordered import collect_parts, ordered
+from timelane.operators.ordered import ordered
 
 c = F.col
 REF = ["pair", "idx"]
@@ -53,9 +53,10 @@ def in_range(refs: DataFrame, ranges: DataFrame) -> DataFrame:
     return refs.join(ranges, "pair").where(inside).select(*refs.columns)
 
 
-def selected_indices(selected: DataFrame, part_size: int = 10_000) -> DataFrame:
-    """Sorted indexes of each pair, in parts."""
-    return collect_parts(selected.distinct(), "pair", "idx", c("idx"), "indices", part_size)
+def selected_indices(selected: DataFrame) -> DataFrame:
+    """The distinct indexes of each pair with their place, from 0, in index order."""
+    numbered = ordered(selected.select("pair", "idx").distinct(), "pair", "idx").scan(number="_n").df
+    return numbered.select("pair", (c("_n") - 1).alias("position"), "idx")
 
 
 def selection_summary(selected: DataFrame, keys) -> DataFrame:
@@ -68,16 +69,22 @@ def selection_summary(selected: DataFrame, keys) -> DataFrame:
     )
 
 
-def set_fingerprint(
-    selected: DataFrame, keys, prefix: str, part_size: int = 10_000
-) -> DataFrame:
-    """Text of the sorted refs, the same for every input order, in parts."""
+def set_fingerprint(selected: DataFrame, keys, prefix: str) -> DataFrame:
+    """One value that names the set of refs, the same for every input order.
+
+    It holds the number of distinct refs and two sums over halves of their hashes, which are
+    combined before the shuffle however large the set is.
+    """
     keys = [keys] if isinstance(keys, str) else list(keys)
     ref = F.concat_ws(".", c("pair").cast("string"), c("idx").cast("string"))
-    refs = selected.withColumn("_ref", ref)
-    parts = collect_parts(refs, keys, ["_ref"], c("_ref"), "_refs", part_size)
-    text = F.concat(F.lit(prefix), F.array_join("_refs", "|"))
-    return parts.select(*keys, "part", text.alias("fingerprint"))
+    refs = selected.select(*keys, F.md5(ref).alias("_h")).distinct()
+
+    def half(start: int) -> Column:
+        value = F.conv(F.substring("_h", start, 15), 16, 10).cast("decimal(20,0)")
+        return F.sum(value).cast("string")
+
+    value = F.concat_ws("-", F.count(F.lit(1)).cast("string"), half(1), half(16))
+    return refs.groupBy(*keys).agg(F.concat(F.lit(prefix), value).alias("fingerprint"))
 
 
 def membership(refs: DataFrame, selected: DataFrame) -> DataFrame:

@@ -566,13 +566,12 @@ def _(t):
 @query(
     "codec_breakdown",
     """with x as (select p_brand, p_type, count(*) as n, min(p_partkey) as first from part group by 1, 2),
-    y as (select *, (row_number() over (partition by p_brand order by first) - 1) // 4 as part from x)
-    select p_brand, part, string_agg(n || ' × ' || upper(p_type), ' + ' order by first) as breakdown
-    from y group by p_brand, part""",
+    y as (select p_brand, upper(p_type) as p_type, sum(n) as n, min(first) as first from x group by 1, 2)
+    select p_brand, string_agg(n || ' × ' || p_type, ' + ' order by first) as breakdown from y group by p_brand""",
 )
 def _(t):
     rows = t.part.select(c("p_brand").alias("file"), c("p_type").alias("codec"), c("p_partkey").alias("idx"))
-    return A.codec_breakdown(rows, "file", part_size=4).withColumnRenamed("file", "p_brand")
+    return A.codec_breakdown(rows, "file").withColumnRenamed("file", "p_brand")
 
 
 @query(
@@ -606,18 +605,31 @@ def _(t):
     return Z.peek_join(t.orders.select("o_orderkey"), summary, "o_orderkey")
 
 
+FAILURES_SQL = """with e as (select 'decoder ' || user_id % 3 || ' gave up' as message, event_id from events
+        where event_type = 'error')"""
+
+
 @query(
     "failure_report",
-    """with e as (select 'decoder ' || user_id % 3 || ' gave up' as message, event_id from events
-            where event_type = 'error'),
-        n as (select *, (row_number() over (partition by message order by event_id) - 1) // 100 as part from e)
-    select message, part, count(*) as failures, string_agg(event_id, ', ' order by event_id) as stems
-    from n group by message, part""",
+    f"""{FAILURES_SQL} select message, count(*) as failures, min(event_id) as first_idx, max(event_id) as last_idx
+    from e group by message""",
 )
 def _(t):
+    return A.failure_report(_failures(t))
+
+
+@query(
+    "failed_streams",
+    f"""{FAILURES_SQL} select message, row_number() over (partition by message order by event_id) - 1 as position,
+        event_id as idx from e""",
+)
+def _(t):
+    return A.failed_streams(_failures(t))
+
+
+def _failures(t):
     message = F.concat(F.lit("decoder "), (c("user_id") % 3).cast("string"), F.lit(" gave up"))
-    rows = t.events.where("event_type = 'error'").select(message.alias("message"), c("event_id").alias("idx"))
-    return A.failure_report(rows, part_size=100)
+    return t.events.where("event_type = 'error'").select(message.alias("message"), c("event_id").alias("idx"))
 
 
 @query(

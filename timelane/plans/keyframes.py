@@ -333,15 +333,14 @@ def _(t):
 
 @query(
     "encode_keyframes",
-    f"""with {NORMAL_SQL} select series, idx // 20 as part,
-        string_agg(cast(floor(time * 100 + 0.5) as bigint) || ',' ||
+    f"""with {NORMAL_SQL} select series, count(*) as items, string_agg(cast(floor(time * 100 + 0.5) as bigint) || ',' ||
             cast(floor(gain * 100 + 0.5) as bigint) || ',' ||
             case easing when 'hold' then 1 else 0 end, ',' order by time) as flat
-    from nk group by series, idx // 20""",
+    from nk group by series""",
 )
 def _(t):
-    lists = K.encode_keyframes(normal(t), "series", part_size=20)
-    return lists.select("series", "part", F.array_join("flat", ",").alias("flat"))
+    lists = K.encode_keyframes(normal(t), "series")
+    return lists.select("series", "items", F.array_join("flat", ",").alias("flat"))
 
 
 @query(

@@ -358,42 +358,24 @@ def _(t):
     f"""with {PLACED_SQL}, lefts as (select mix, pair,
         max(case when side = 'L' and track % 6 <> 0 then struct_pack(gain, pan, muted) end) as x
         from placed group by mix, pair),
-    vals as (select mix, pair, (row_number() over (partition by mix order by pair) - 1) // 8 as part,
-        case when coalesce(not x.muted, true) then 1 else 0 end as m,
+    vals as (select mix, pair, case when coalesce(not x.muted, true) then 1 else 0 end::bigint as m,
         cast(floor(coalesce(x.gain, 1.0) * 100 + 0.5) as bigint) as g,
         cast(floor(coalesce(abs(x.pan), 1.0) * 100 + 0.5) as bigint) as p from lefts)
-    select mix, part, string_agg(m, ',' order by pair) as m, string_agg(g, ',' order by pair) as g,
-        string_agg(p, ',' order by pair) as p from vals group by mix, part""",
+    select mix, pair, m, g, p from vals""",
 )
 def _(t):
     p = placed(t).withColumn("track", F.when(c("track") % 6 != 0, c("track")))
-    state = M.compact_state(p, "mix", part_size=8)
-    return state.select("mix", "part", *[F.array_join(x, ",").alias(x) for x in "mgp"])
+    return M.compact_state(p, "mix")
 
 
 @query(
     "snapshot",
-    """with n as (select l_orderkey, l_linenumber, l_quantity, (row_number() over (
-            partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity,
-            l_extendedprice) - 1) // 4 as part, l_partkey, l_suppkey, l_extendedprice from lineitem)
-    select l_orderkey, part, count(*) as tracks, string_agg(l_linenumber || ':' ||
-        cast(l_quantity as bigint), '|' order by l_linenumber, l_partkey, l_suppkey, l_quantity,
-        l_extendedprice) as body
-    from n group by l_orderkey, part""",
+    """select l_orderkey, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey,
+        l_suppkey, l_quantity, l_extendedprice) - 1 as position, l_linenumber, l_quantity from lineitem""",
 )
 def _(t):
     order = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
-    parts = M.snapshot_parts(t.lineitem, "l_orderkey", order, ["l_linenumber", "l_quantity"], 4)
-    body = F.transform(
-        "tracks",
-        lambda x: F.concat_ws(
-            ":", x["l_linenumber"].cast("string"), x["l_quantity"].cast("bigint").cast("string")
-        ),
-    )
-    return parts.select(
-        "l_orderkey", "part", F.size("tracks").cast("bigint").alias("tracks"),
-        F.array_join(body, "|").alias("body"),
-    )
+    return M.snapshot(t.lineitem, "l_orderkey", order, ["l_linenumber", "l_quantity"])
 
 
 @query(

@@ -296,13 +296,11 @@ def _(t):
 
 @query(
     "selected_indices",
-    f"""with {SELECT_SQL}, n as (select *, (row_number() over (partition by pair order by idx) - 1)
-        // 6 as part from sel)
-    select pair, part, string_agg(idx, ',' order by idx) as indices from n group by pair, part""",
+    f"""with {SELECT_SQL} select pair, row_number() over (partition by pair order by idx) - 1 as position, idx
+    from (select distinct pair, idx from sel)""",
 )
 def _(t):
-    parts = S.selected_indices(selected(t), part_size=6)
-    return parts.select("pair", "part", F.array_join("indices", ",").alias("indices"))
+    return S.selected_indices(selected(t))
 
 
 @query(
@@ -318,14 +316,13 @@ def _(t):
 
 @query(
     "set_fingerprint",
-    f"""with {SELECT_SQL}, r as (select pair % 100 as sel_id, pair || '.' || idx as ref from sel),
-    n as (select *, (row_number() over (partition by sel_id order by ref) - 1) // 25 as part from r)
-    select sel_id, part, 'drag-' || string_agg(ref, '|' order by ref) as fingerprint
-    from n group by sel_id, part""",
+    f"""with {SELECT_SQL}, r as (select distinct pair % 100 as sel_id, md5(pair || '.' || idx) as h from sel)
+    select sel_id, 'drag-' || count(*) || '-' || sum(('0x' || h[1:15])::bigint) || '-' ||
+        sum(('0x' || h[16:30])::bigint) as fingerprint from r group by sel_id""",
 )
 def _(t):
     rows = selected(t).withColumn("sel_id", c("pair") % 100)
-    return S.set_fingerprint(rows, "sel_id", "drag-", part_size=25)
+    return S.set_fingerprint(rows, "sel_id", "drag-")
 
 
 @query(

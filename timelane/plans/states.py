@@ -198,36 +198,52 @@ def _(t):
     "write_compact_state",
     f"""with {PLACED_SQL}, lefts as (select mix, pair, max(case when side = 'L' then
             struct_pack(gain, pan, muted) end) as x from placed group by mix, pair),
-    vals as (select mix, pair, (row_number() over (partition by mix order by pair) - 1) // 8 as part,
-        case when not x.muted then 1 else 0 end as m,
+    vals as (select mix, pair, case when not x.muted then 1 else 0 end as m,
         cast(floor(x.gain * 100 + 0.5) as bigint) as g,
         cast(floor(abs(x.pan) * 100 + 0.5) as bigint) as p from lefts),
-    js as (select mix, part, '{{"v":2,"m":[' || string_agg(m, ',' order by pair) || '],"g":[' ||
+    js as (select mix, '{{"v":2,"m":[' || string_agg(m, ',' order by pair) || '],"g":[' ||
         string_agg(g, ',' order by pair) || '],"p":[' || string_agg(p, ',' order by pair) ||
-        '],"M":80}}' as j from vals group by mix, part)
-    select mix, part, rtrim(to_base64(encode(j)), '=') as payload from js""",
+        '],"M":80}}' as j from vals group by mix)
+    select mix, rtrim(to_base64(encode(j)), '=') as payload from js""",
 )
 def _(t):
     placed = M.positions(members(t), "mix", "track")
-    parts = M.compact_state(placed, "mix", part_size=8)
+    lists = M.compact_lists(M.compact_state(placed, "mix"), "mix")
     text = S.state_json(c("m"), c("g"), c("p"), F.lit(80))
-    return parts.select("mix", "part", S.write_compact_state(text).alias("payload"))
+    return lists.select("mix", S.write_compact_state(text).alias("payload"))
+
+
+@query(
+    "compact_state_round_trip",
+    f"""with {PLACED_SQL}, lefts as (select mix, pair, max(case when side = 'L' then
+            struct_pack(gain, pan, muted) end) as x from placed group by mix, pair)
+    select mix, pair, pair * 2 as left_track, pair * 2 + 1 as right_track, not x.muted as enabled,
+        floor(x.gain * 100 + 0.5) / 100 as gain, floor(abs(x.pan) * 100 + 0.5) / 100 as spread
+    from lefts""",
+)
+def _(t):
+    state = M.compact_state(M.positions(members(t), "mix", "track"), "mix")
+    text = S.state_json(c("m"), c("g"), c("p"), F.lit(80))
+    saved = M.compact_lists(state, "mix").select(
+        "mix", S.read_compact_state(F.concat(F.lit("#s="), S.write_compact_state(text))).alias("state"))
+    pairs = state.select("mix", "pair", (c("pair") * 2).alias("left_track"), (c("pair") * 2 + 1).alias("right_track"))
+    return S.apply_mix(saved, pairs)
 
 
 @query(
     "automation_round_trip",
-    f"""with {NORMAL_SQL} select series, idx // 20 as part, count(*) as keyframes,
+    f"""with {NORMAL_SQL} select series, count(*) as keyframes,
         sum(floor(time * 100 + 0.5)) / 100 as time_sum, sum(case easing when 'hold' then 1 else 0 end)::bigint
-            as holds from nk group by series, idx // 20""",
+            as holds from nk group by series""",
 )
 def _(t):
-    parts = encode_keyframes(normal(t), "series", part_size=20)
+    lists = encode_keyframes(normal(t), "series")
     text = F.concat(F.lit("["), F.array_join("flat", ","), F.lit("]"))
     back = S.decode_entry(F.try_parse_json(text))["keyframes"]
     total = F.aggregate(c("k"), F.lit(0.0), lambda a, x: a + F.floor(x["time"] * 100 + 0.5))
     holds = F.size(F.filter("k", lambda x: x["easing"] == "hold")).cast("bigint")
-    return parts.select("series", "part", back.alias("k")).select(
-        "series", "part", F.size("k").cast("bigint").alias("keyframes"),
+    return lists.select("series", back.alias("k")).select(
+        "series", F.size("k").cast("bigint").alias("keyframes"),
         (total / 100).alias("time_sum"), holds.alias("holds"),
     )
 
