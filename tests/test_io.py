@@ -65,9 +65,23 @@ def test_mix_files_round_trip(spark, tmp_path):
                         S.state_json(F.array(F.lit(1)), F.array(c("id")), F.array(F.lit(-3)), F.lit(99.6)),
                         F.lit("now")).alias("value"))
     S.write_mix_files(row, str(tmp_path / "out"))
-    back = spark.read.text(str(tmp_path / "out")).select(S.parse_mix_file(c("value")).alias("x")).select("x.*")
+    back = S.read_mix_files(spark, str(tmp_path / "out"))
     got = sorted((r.error, r.name, r.size, r.state.g, r.state.master) for r in back.collect())
     assert got == [(None, 'q"uote.awc', i, [float(i)], 100.0) for i in range(3)]
+    S.write_mix_files(row.repartition(1), str(tmp_path / "one"))
+    assert S.read_mix_files(spark, str(tmp_path / "one")).where("error is null").count() == 3
+    (tmp_path / "pretty").mkdir()
+    (tmp_path / "pretty" / "a.json").write_text(row.first().value.replace(",", ",\n"))
+    whole = S.read_mix_files(spark, str(tmp_path / "pretty"), wholetext=True).collect()
+    assert [(r.error, r.size) for r in whole] == [(None, 0)]
+
+
+def test_json_must_be_one_value(spark):
+    texts = ['{"a":1}', ' {"a":1} ', "[1,2]", "7", '"x"', '{"a":1} trailing', '{"a":1}{"b":2}', "1,2", '1],[2', "1,\"y\":2", "",
+             "{oops", None, '{"a":1},{"b":2}']
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    good = df.where(S.strict_json(c("t")).isNotNull()).select("i").orderBy("i").collect()
+    assert [r.i for r in good] == [0, 1, 2, 3, 4]
 
 
 def test_compact_state_round_trip(spark):

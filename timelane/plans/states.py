@@ -9,7 +9,7 @@ from timelane.operators.keyframes import encode_keyframes
 from timelane.plans.inputs import NORMAL_SQL, PLACED_SQL, members
 from timelane.plans.keyframes import normal
 from timelane.plans.registry import query
-from timelane.session import widen
+from timelane.session import scratch_path, widen
 from timelane.sources import state as S
 
 c = F.col
@@ -65,10 +65,13 @@ def _flat(s):
     ]
 
 
+TWO_STATES = "#s=eyJ2IjoyLCJtIjpbMV0sImciOlsxXSwicCI6WzFdLCJNIjoxfXt9"  # a state and "{}" behind it
+
+
 def _broken(k, text):
     """Every seventh text is broken in some way."""
     return F.when(k % 7 != 0, text).otherwise(
-        nth([F.lit("not base64!"), F.lit("s="), F.lit("#s=e30"), F.lit("")], k)
+        nth([F.lit("not base64!"), F.lit("s="), F.lit("#s=e30"), F.lit(""), F.lit(TWO_STATES)], k)
     )
 
 
@@ -134,7 +137,9 @@ def _mix_text(k, status, price):
         name, F.floor(price).cast("bigint"), k % 9, F.lit(48000), state, F.lit("2024-01-01T00:00:00Z")
     )
     return (
-        F.when(k % 11 == 1, F.lit("{oops"))
+        F.when(k % 22 == 1, F.lit("{oops"))
+        .when(k % 44 == 12, F.concat(good, F.lit(" trailing")))
+        .when(k % 44 == 34, F.concat(good, good))
         .when(k % 11 == 2, F.lit("[1,2]"))
         .when(k % 11 == 3, F.regexp_replace(good, '"awc-mix"', '"other"'))
         .when(k % 11 == 4, F.regexp_replace(good, '"version":2', '"version":1'))
@@ -194,6 +199,20 @@ def _(t):
     return t.orders.select(KEY, text.alias("value"))
 
 
+@query(
+    "mix_files_round_trip",
+    f"""with {STATE_SQL} select null as error, 'track_' || o.o_orderkey || '.awc' as name, s.m, s.g, s.p, s.master
+    from orders o join state s on s.o_orderkey = o.o_orderkey where ({MIX_ERRORS}) is null
+    union all select {MIX_ERRORS}, null, null, null, null, null from orders o where ({MIX_ERRORS}) is not null""",
+)
+def _(t):
+    path = scratch_path(t.spark)
+    text = _mix_text(c(KEY), c("o_orderstatus"), c("o_totalprice"))
+    S.write_mix_files(t.orders.select(text.alias("value")).repartition(7), path)
+    flat = S.read_mix_files(t.spark, path).select("error", "name", *_flat(c("state")))
+    return flat.select("error", *[F.when(c("error").isNull(), c(n)).alias(n) for n in ("name", "m", "g", "p", "master")])
+
+
 @query(
     "write_compact_state",
     f"""with {PLACED_SQL}, lefts as (select mix, pair, max(case when side = 'L' then

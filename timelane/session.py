@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,6 +55,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(configured or f"{warehouse}/timelane-steps")
 
 
+def scratch_path(spark: SparkSession) -> str:
+    """A new place in the folder of :func:`ensure_checkpoint_dir`, removed when Spark ends."""
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/step-{uuid.uuid4().hex}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
+
+
 def widen(df: DataFrame) -> DataFrame:
     """Spread a scan with fewer partitions than cores before work that is heavy per row.
 

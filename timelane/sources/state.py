@@ -31,6 +31,18 @@ DEFAULTS = {
 MASTER_PCT_MAX = 150.0
 
 
+def strict_json(text: Column) -> Column:
+    """The parsed text, or null unless all of it is one JSON value.
+
+    Spark's parser stops behind the first value. What follows it shows when the text stands in
+    a list and in an object: a second value, or a rest, breaks one of the two.
+    """
+    listed = F.try_variant_get(
+        F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$", "array<variant>")
+    named = F.try_parse_json(F.concat(F.lit('{"x":'), text, F.lit("}")))
+    return F.when((F.size(listed) == 1) & named.isNotNull(), F.try_parse_json(text))
+
+
 def _kind(v: Column) -> Column:
     return F.schema_of_variant(v)
 
@@ -170,7 +182,7 @@ def read_compact_state(text: Column) -> Column:
     payload = F.when(named != "", named).otherwise(text)
     padding = F.repeat(F.lit("="), F.pmod(4 - F.length(payload) % 4, F.lit(4)))
     raw = F.try_to_binary(F.concat(payload, padding), F.lit("base64"))
-    return decode_state(F.try_parse_json(F.decode(raw, "ISO-8859-1")))
+    return decode_state(strict_json(F.decode(raw, "ISO-8859-1")))
 
 
 def encode_entry(keyframes: Column) -> Column:
@@ -267,12 +279,16 @@ def parse_mix_file(text: Column) -> Column:
             default(_text(_member(x["v"], "appVersion")), "unknown").alias("app_version"),
         )
 
-    return let(F.try_parse_json(text), lambda v: let(fields(v), build))
+    return let(strict_json(text), lambda v: let(fields(v), build))
+
 
+def read_mix_files(spark, path: str, wholetext: bool = False) -> DataFrame:
+    """Saved mixes of a folder, errors in a column.
 
-def read_mix_files(spark, path: str) -> DataFrame:
-    """Saved mixes of a folder, one row per file, errors in a column."""
-    files = spark.read.text(path, wholetext=True).select(
+    One row per line, the layout of :func:`write_mix_files`; with ``wholetext`` one row per file,
+    for folders where every file is one text that may span lines.
+    """
+    files = spark.read.text(path, wholetext=wholetext).select(
         c("_metadata.file_path").alias("file"), c("value")
     )
     return files.select("file", parse_mix_file(c("value")).alias("mix")).select("file", "mix.*")
@@ -302,7 +318,8 @@ def mix_file_json(
 
 
 def write_mix_files(texts: DataFrame, path: str) -> None:
-    """One JSON text per line, in as many files as there are partitions."""
+    """One JSON text per line, in as many files as there are partitions; an existing folder is
+    replaced."""
     texts.select("value").write.mode("overwrite").text(path)
 
 
@@ -361,7 +378,7 @@ def settings_with_defaults(text: Column) -> Column:
             ).alias("defaultMasterPct"),
         )
 
-    return let(F.try_parse_json(text), build)
+    return let(strict_json(text), build)
 
 
 def patch_settings(current: Column, patch: Column, fields=tuple(DEFAULTS)) -> Column:
