@@ -59,7 +59,9 @@ def flag_bits(word: Column) -> dict[str, Column]:
 
 
 def hash_hex(value: Column) -> Column:
-    return F.concat(F.lit("0x"), F.lpad(F.lower(F.hex(value)), 8, "0"))
+    """At least eight digits; larger values keep all of theirs."""
+    digits = F.lower(F.hex(value))
+    return F.concat(F.lit("0x"), F.repeat(F.lit("0"), F.greatest(8 - F.length(digits), F.lit(0))), digits)
 
 
 def duration_seconds(samples: Column, rate: Column) -> Column:

@@ -26,6 +26,9 @@ def waveform_peaks(
     ``seconds`` (of the track) and ``total_seconds`` are given the track gets its share of
     the bins. ``frames`` (track, frames) is what the catalogue knows of the lengths;
     without it the blocks are read once more.
+
+    The samples of a block become one maximum per bin before they leave their task, so the
+    exchange by (track, bin) holds no samples.
     """
     share = F.lit(bins)
     source = blocks if frames is None else blocks.drop("values", "frames").join(frames, "track")
@@ -37,14 +40,17 @@ def waveform_peaks(
         share = F.when(
             total > 0, F.greatest(F.lit(1), F.floor(c("_s") / total * bins))
         ).otherwise(F.lit(bins))
-    sizes = source.groupBy("track").agg(*aggs).select(
-        "track", "_n", share.cast("bigint").alias("_bins")
-    )
+    if frames is not None and total_seconds is None:
+        sizes = frames.select("track", c("frames").alias("_n"), share.cast("bigint").alias("_bins"))
+    else:
+        sizes = source.groupBy("track").agg(*aggs).select(
+            "track", "_n", share.cast("bigint").alias("_bins")
+        )
     per_bin = F.greatest(F.lit(1), F.floor(c("_n") / c("_bins")))
     sized = sizes.withColumn("_spb", per_bin)
     bin_of = F.floor(c("frame") / c("_spb"))
     found = (
-        sample_rows(blocks, "track").join(sized, "track")
+        sample_rows(blocks.select("track", "start", "values").join(sized, "track"), "track", "_spb", "_bins")
         .withColumn("bin", bin_of).where(c("bin") < c("_bins"))
         .groupBy("track", "bin").agg(F.max(F.abs("value")).alias("peak"))
     )

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 c = F.col
 WIDTH, STRIDE = 32, 8
+MOST_HASHES = 2_000_000
+"""Distinct target hashes (8 bytes each) that are sent to every task; with more of them the
+scanned windows are joined by exchange instead."""
 
 
 def windows(df: DataFrame, key: str, text: str, width: int, stride: int) -> DataFrame:
@@ -32,14 +35,19 @@ def window_hash_search(
     Targets are windowed at every byte, the scanned side at a stride, so each common run
     of ``width + stride - 1`` bytes is found. Scanned windows are cut down to those that
     occur in any target at all and to one row per (text, window) before targets are
-    attached; equal hashes are confirmed on the bytes.
+    attached; equal hashes are confirmed on the bytes. Up to MOST_HASHES target hashes are
+    looked up where the scanned text is read, so only windows with a known hash are exchanged.
     """
     wanted = windows(targets, target_key, target_text, width, 1).select(
         target_key, "hash", "window"
     ).distinct()
     any_target = wanted.select("hash", "window").distinct()
+    scan = windows(scanned, scan_key, scan_text, width, stride)
+    hashes = wanted.select("hash").distinct()
+    if hashes.limit(MOST_HASHES + 1).count() <= MOST_HASHES:
+        scan = scan.join(F.broadcast(hashes), "hash", "left_semi")
     hits = (
-        windows(scanned, scan_key, scan_text, width, stride)
+        scan
         .join(any_target, ["hash", "window"], "left_semi")
         .groupBy(scan_key, "hash", "window").agg(F.min("offset").alias("offset"))
     )
