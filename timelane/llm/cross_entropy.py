@@ -97,7 +97,8 @@ def pair_counts(records: DataFrame, targets: DataFrame, vocabulary: np.ndarray,
             place = np.flatnonzero(every)
             yield [place, np.bincount(cell[own], minlength=width * width)[place], every[place]]
 
-    own = targets.select(c(f"`{key}`").cast("bigint").alias("_own")).distinct()
+    # The targets are as many as their owner likes, so they are never sent to every task.
+    own = targets.select(c(f"`{key}`").cast("bigint").alias("_own")).distinct().hint("merge")
     marked = _texts(records, key, text).join(own, c("k") == c("_own"), "left").select("k", "t", c("_own").isNotNull())
     rows = marked.mapInArrow(
         _combined(count, ["cell", "target", "every"]), "cell bigint, target bigint, every bigint")
