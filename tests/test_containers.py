@@ -163,17 +163,27 @@ def test_nested_archive(spark):
         ("in.rpf", "lost.bin", "binary", 1, False, False),
     ]
     faults = {r.file: r.reason for r in T.archive_faults(df).collect()}
-    assert faults == {"f1": "entry_count", "f2": "short_header"}
+    assert faults == {"f1": "entry_count", "f2": "short_header", "f3": "range_out_of_bounds"}
     toc = C.archive_toc(df.withColumn("start", F.lit(0).cast("bigint")))
     assert [(r.file, r.reason) for r in T.bad_directories(toc, ["file", "start"]).collect()] == [
         ("f3", "range_out_of_bounds")]
 
 
-def test_directory_cycle_raises(spark):
-    df = files(spark, archive([("d", 0, 1, 1), ("d", 1, 0, 2)], ["", "a"]))
-    toc = C.archive_toc(df.withColumn("start", F.lit(0).cast("bigint")))
-    with pytest.raises(ValueError):
-        T.directory_paths(toc, ["file", "start"])
+def test_faults_end_and_are_listed(spark):
+    cycle = archive([("d", 0, 1, 2), ("d", 1, 0, 2), ("b", 2, 7, 1, 7, 0)], ["", "a", "x.bin"])
+    shared = archive([("d", 0, 1, 2), ("d", 1, 3, 1), ("d", 2, 3, 1), ("b", 3, 5, 1, 5, 0)], ["", "a", "b", "x.bin"])
+    myself = archive([("d", 0, 1, 1), ("b", 1, 0, 0, 99, 0)], ["", "me.rpf"])
+    rootless = archive([("b", 0, 3, 1, 3, 0)], ["x.bin"])
+    broken = archive([("d", 0, 1, 2), ("b", 1, 0, 1, 40, 0), ("b", 2, 0, 1, 9, 0)], ["", "in.rpf", "y.bin"], b"nothing" * 8)
+    fine = archive([("d", 0, 1, 1), ("b", 1, 4, 1, 4, 0)], ["", "z.bin"])
+    df = files(spark, cycle, shared, myself, rootless, broken, fine)
+    entries, faults = T.walk_archives(df)
+    paths = sorted((r.file, r.path) for r in entries.collect())
+    assert paths == [("f0", ""), ("f0", "a"), ("f0", "x.bin"), ("f1", ""), ("f1", "a"), ("f1", "b"), ("f1", "b/x.bin"),
+                     ("f2", ""), ("f2", "me.rpf"), ("f4", ""), ("f4", "in.rpf"), ("f4", "y.bin"), ("f5", ""), ("f5", "z.bin")]
+    got = sorted((r.file, r.start, r.prefix, r.reason, r.offset) for r in faults.collect())
+    assert got == [("f0", 0, "", "cycle", 16), ("f0", 0, "", "named_twice", 32), ("f1", 0, "", "named_twice", 64),
+                   ("f2", 0, "", "own_archive", 32), ("f3", 0, "", "no_root", 0), ("f4", 512, "in.rpf", "version", 512)]
 
 
 def test_scan_files(spark, tmp_path):

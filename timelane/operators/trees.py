@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from timelane.functions import scalars as S
 from timelane.session import ensure_checkpoint_dir
-from timelane.sources.containers import ARCHIVE_SUFFIX, SECTOR, archive_header, archive_toc
+from timelane.sources.containers import (
+    ARCHIVE_SUFFIX, HEADER_SIZE, SECTOR, SLOT_SIZE, archive_header, archive_toc,
+)
 
 c = F.col
 
@@ -46,58 +48,69 @@ def bad_directories(toc: DataFrame, keys) -> DataFrame:
     return toc.where(outside | rootless).groupBy(*keys).agg(F.min(reason).alias("reason"))
 
 
+def directory_faults(toc: DataFrame, keys) -> DataFrame:
+    """Entries that a directory names although they have a place: ``cycle`` for the root,
+    ``named_twice`` for others. Every way back up the tree ends at such an entry."""
+    named = directory_edges(toc, keys).groupBy(*keys, "idx").agg(F.count(F.lit(1)).alias("_n"))
+    reason = F.when(c("idx") == 0, "cycle").otherwise("named_twice")
+    return named.where((c("_n") > 1) | (c("idx") == 0)).select(*keys, "idx", reason.alias("reason"))
+
+
 def directory_paths(toc: DataFrame, keys) -> DataFrame:
     """``toc`` with the lower-cased inner path; entries no directory names keep ''.
 
-    One join per tree level. A cycle would never end, so a walk deeper than the largest
-    table raises.
+    One join per tree level. An entry gets its path on the first level that names it (of two
+    directories there, from the greater path), so overlapping ranges and cycles end; they are
+    rows of :func:`directory_faults`.
     """
     ensure_checkpoint_dir(toc.sparkSession)
     keys = list(keys)
-    names = toc.select(*keys, "idx", F.lower("name").alias("name"), "kind")
-    edges = directory_edges(toc, keys).join(names, [*keys, "idx"])
+    place = [*keys, "idx"]
+    names = toc.select(*place, F.lower("name").alias("name"), "kind")
+    edges = directory_edges(toc, keys).join(names, place)
     level = toc.where((c("idx") == 0) & (c("kind") == S.DIRECTORY)).select(
-        *keys, "idx", F.lit("").alias("path")
+        *place, F.lit("").alias("path")
     )
     found = level
-    limit = None
-    depth = 0
     while True:
         parents = level.select(*keys, c("idx").alias("parent"), c("path").alias("_up"))
         here = F.when(c("_up") == "", c("name")).otherwise(F.concat_ws("/", "_up", "name"))
-        level = edges.join(parents, [*keys, "parent"]).select(
-            *keys, "idx", here.alias("path"), "kind"
-        ).checkpoint()
+        named = edges.join(parents, [*keys, "parent"]).select(*place, here.alias("path"), "kind")
+        level = (
+            named.groupBy(*place, "kind").agg(F.max("path").alias("path"))
+            .join(found.select(*place), place, "left_anti").checkpoint()
+        )
         if level.isEmpty():
             break
-        depth += 1
-        if limit is None:
-            limit = toc.agg(F.max("entry_count")).first()[0]
-        if depth > limit:
-            raise ValueError("directory ranges form a cycle")
-        found = found.unionByName(level.select(*keys, "idx", "path"))
-        level = level.where(c("kind") == S.DIRECTORY).select(*keys, "idx", "path")
-    paths = found.groupBy(*keys, "idx").agg(F.max("path").alias("path"))
-    return toc.join(paths, [*keys, "idx"], "left").withColumn("path", F.coalesce("path", F.lit("")))
+        found = found.unionByName(level.select(*place, "path"))
+        level = level.where(c("kind") == S.DIRECTORY).select(*place, "path")
+    return toc.join(found, place, "left").withColumn("path", F.coalesce("path", F.lit("")))
 
 
-def archive_entries(files: DataFrame) -> DataFrame:
-    """Entries of every archive and of the archives inside, with full paths.
+def walk_archives(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Entries of every archive and of the archives inside, and what could not be walked.
 
-    ``files``: file, content. One round per nesting level, ended by an empty level.
+    ``files``: file, content. One round per nesting level, ended by a level without archives.
+    Faults are rows (file, start, prefix, reason, offset): bad headers at any level, archives
+    without a root or with a range outside of their table, entries of
+    :func:`directory_faults`, and ``own_archive`` where an entry leads back to an archive
+    that it lies in. Other archives and files go on.
     """
     ensure_checkpoint_dir(files.sparkSession)
-    keys = ["file", "start", "prefix"]
+    keys = ["file", "start", "prefix", "above"]
+    fault = ["file", "start", "prefix", "reason", "offset"]
     archives = files.select(
-        "file", "content", F.lit(0).cast("bigint").alias("start"), F.lit("").alias("prefix")
+        "file", "content", F.lit(0).cast("bigint").alias("start"), F.lit("").alias("prefix"),
+        F.lit("0").alias("above"),
     )
-    levels = None
+    levels = faults = None
     while True:
+        heads = archive_header(archives).where(c("reason").isNotNull()).select(
+            "file", "start", "prefix", "reason", c("offset").cast("bigint").alias("offset"))
         toc = archive_toc(archives, keys).checkpoint()
-        if levels is not None and toc.isEmpty():
-            return levels
         bad = bad_directories(toc, keys)
-        walked = directory_paths(toc.join(bad.select(*keys), keys, "left_anti"), keys)
+        good = toc.join(bad.select(*keys), keys, "left_anti")
+        walked = directory_paths(good, keys)
         inner, prefix = c("path"), c("prefix")
         full = F.when(prefix == "", inner).when(inner == "", prefix).otherwise(
             F.concat_ws("/", prefix, inner)
@@ -112,16 +125,35 @@ def archive_entries(files: DataFrame) -> DataFrame:
                 "stored_size"
             ),
         ).checkpoint()
-        levels = rows if levels is None else levels.unionByName(rows)
         nested = rows.where((c("kind") == S.BINARY) & c("name").endswith(ARCHIVE_SUFFIX))
-        todo = nested.select("file", c("data_offset").alias("start"), c("path").alias("prefix"))
+        back = F.array_contains(F.split("above", ","), c("data_offset").cast("string"))
+        slot = (c("start") + HEADER_SIZE + c("idx") * SLOT_SIZE).alias("offset")
+        found = heads.unionByName(
+            bad.select("file", "start", "prefix", "reason", c("start").alias("offset"))
+        ).unionByName(
+            directory_faults(good, keys).select("file", "start", "prefix", "reason", slot)
+        ).unionByName(
+            nested.where(back).select("file", "start", "prefix", F.lit("own_archive").alias("reason"), slot)
+        ).select(*fault).checkpoint()
+        levels = rows if levels is None else levels.unionByName(rows)
+        faults = found if faults is None else faults.unionByName(found)
+        todo = nested.where(~back).select(
+            "file", c("data_offset").alias("start"), c("path").alias("prefix"),
+            F.concat_ws(",", "above", c("data_offset").cast("string")).alias("above"),
+        )
+        if todo.isEmpty():
+            return levels.drop("above"), faults
         archives = files.select("file", "content").join(small(todo), "file")
 
 
+def archive_entries(files: DataFrame) -> DataFrame:
+    """Entries of :func:`walk_archives`, with full paths."""
+    return walk_archives(files)[0]
+
+
 def archive_faults(files: DataFrame) -> DataFrame:
-    """Reason and offset of archives whose header cannot be read."""
-    rows = archive_header(files.withColumn("start", F.lit(0).cast("bigint")))
-    return rows.where(c("reason").isNotNull()).select("file", "reason", "offset")
+    """Faults of :func:`walk_archives`: reason and offset of all that could not be walked."""
+    return walk_archives(files)[1]
 
 
 def search_entries(entries: DataFrame, query: str) -> DataFrame:
