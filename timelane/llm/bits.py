@@ -9,8 +9,25 @@ from pyspark.sql import DataFrame
 PART = 1 << 16
 
 
-def bit_field(hashes: DataFrame, bits: int) -> np.ndarray:
-    """Booleans at the highest ``bits`` bits of every value of the only column (long).
+class BitField:
+    """Packed bits, tested at the highest ``bits`` bits of hashes."""
+
+    def __init__(self, packed: np.ndarray, bits: int):
+        self.packed, self.bits = packed, bits
+
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        at = _place(hashes, self.bits)
+        byte = self.packed[(at >> np.uint64(3)).astype(np.int64)]
+        return (byte >> (7 - (at & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+
+
+def bits_for(rows: int, most: int) -> int:
+    """Bits for a field of which about a hundredth is set, within ``most``."""
+    return min(most, max(16, int(64 * rows + 1).bit_length()))
+
+
+def bit_field(hashes: DataFrame, bits: int) -> BitField:
+    """A field that has every value of the only column (long), and few others.
 
     Every task sends the parts of its field that are not empty; parts are joined before they
     reach the driver, so it gets 2**bits bits at most, whatever the table's size.
@@ -20,7 +37,7 @@ def bit_field(hashes: DataFrame, bits: int) -> np.ndarray:
     def build(batches):
         field = np.zeros(size, bool)
         for batch in batches:
-            field[place(batch.column(0).to_numpy(), bits)] = True
+            field[_place(batch.column(0).to_numpy(), bits).astype(np.int64)] = True
         for at in range(0, size, PART):
             part = field[at : at + PART]
             if part.any():
@@ -37,12 +54,12 @@ def bit_field(hashes: DataFrame, bits: int) -> np.ndarray:
     rows = hashes.mapInArrow(build, "at bigint, part binary").groupBy("at").applyInArrow(
         merge, "at bigint, part binary"
     )
-    field = np.zeros(size, bool)
-    for row in rows.toLocalIterator():
-        part = np.unpackbits(np.frombuffer(row["part"], np.uint8))[: size - row["at"]]
-        field[row["at"] : row["at"] + len(part)] = part
-    return field
+    packed = np.zeros(size // 8, np.uint8)
+    for row in rows.collect():
+        part = np.frombuffer(row["part"], np.uint8)
+        packed[row["at"] // 8 : row["at"] // 8 + len(part)] = part
+    return BitField(packed, bits)
 
 
-def place(hashes: np.ndarray, bits: int) -> np.ndarray:
+def _place(hashes: np.ndarray, bits: int) -> np.ndarray:
     return hashes.view(np.uint64) >> np.uint64(64 - bits)

@@ -20,31 +20,24 @@ def components(links: DataFrame) -> DataFrame:
     """
     edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
                    .where("u <> v").distinct())
-    mark = _mark(edges)
-    while mark[0]:
+    while not _flat(edges):
         both = edges.unionByName(edges.select(c("v").alias("u"), c("u").alias("v")))
         least = both.groupBy(c("u").alias("k")).agg(F.min("v").alias("m"))
-        large = (
-            both.where("v > u").join(least, c("u") == c("k"))
-            .select(c("v").alias("u"), F.least("u", "m").alias("v")).distinct()
-        )
+        large = both.where("v > u").join(least, c("u") == c("k")).select(
+            c("v").alias("u"), F.least("u", "m").alias("v"))
         least = large.groupBy(c("u").alias("k")).agg(F.min("v").alias("m"))
-        small = large.join(least, c("u") == c("k")).select(
+        edges = stored(large.join(least, c("u") == c("k")).select(
             F.explode(F.array(F.struct(c("u").alias("u"), c("m").alias("v")),
                               F.struct(c("v").alias("u"), c("m").alias("v")))).alias("e")
-        ).select("e.u", "e.v").where("u <> v").distinct()
-        edges = stored(small)
-        last, mark = mark, _mark(edges)
-        if mark == last:
-            break
+        ).select("e.u", "e.v").where("u <> v").distinct())
     return edges.select(c("u").alias("node"), c("v").alias("component")).unionByName(
         edges.select(c("v").alias("node"), c("v").alias("component")).distinct()
     )
 
 
-def _mark(edges: DataFrame):
-    """Count and two sums by which two tables of edges are told apart."""
-    h = F.xxhash64("u", "v")
-    return tuple(edges.agg(
-        F.count("*"), F.sum(h.cast("decimal(20,0)")), F.sum(F.pmod(h, F.lit(1_000_003)))
-    ).first())
+def _flat(edges: DataFrame) -> bool:
+    """Whether every edge leads from a node to one that has no smaller neighbour, and no node
+    has two such."""
+    ends = edges.groupBy("u").agg(F.min("v").alias("low"), F.max("v").alias("high"))
+    inner = ends.join(edges.select(c("v").alias("k")).distinct(), c("u") == c("k"), "left_semi")
+    return inner.isEmpty() and ends.where("low < high").isEmpty()

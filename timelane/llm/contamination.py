@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from timelane.llm.bits import bit_field, place
+from timelane.llm.bits import bit_field
 from timelane.llm.store import stored
 from timelane.llm.words import ALNUM_LOWER, shingle_sums, window_starts, word_slices
 
@@ -69,7 +69,7 @@ def _places(words, field, widths):
     for width in widths:
         start, text = window_starts(words, width)
         token = sums(start, width)
-        hit = field[place(token, FILTER_BITS)]
+        hit = field.has(token)
         yield width, start[hit], text[hit], token[hit].view(np.int64)
 
 

@@ -7,9 +7,10 @@ in a child with an expectation of one, others with less, so nodes shrink to thos
 Small nodes are compared exhaustively, and independent trees are repeated up to the target
 recall.
 
-Groups of many near copies stay together at any depth. There, texts are first compared with
-one leader, and after that only texts of different components are: a node whose texts are
-linked already is finished.
+Groups of many near copies stay together at any depth. In nodes that are not small each text is
+compared with some leaders first. After that only texts of different components matter: a node
+whose texts are linked already is finished, one of bounded size is compared exhaustively in one
+task, and a larger one branches again.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from timelane.llm.bits import bit_field, place
+from timelane.llm.bits import bit_field, bits_for
 from timelane.llm.components import components
 from timelane.llm.store import stored
 from timelane.llm.words import SPACED_LOWER, mix, shingle_sums, window_starts, word_slices
@@ -33,9 +34,13 @@ SIMILARITY = (80, 100)
 SIGNATURE = 64
 RECALL = 0.9999
 FIRST_DEPTH = 3
-DEEPEST = 24
-SMALL = 16
-"""Nodes of up to this many texts are compared exhaustively."""
+DEEPEST = 12
+TINY = 16
+"""Nodes of up to this many texts give pairs; equal pairs of different trees are compared once."""
+SMALL = 512
+SMALL_SHINGLES = 1 << 20
+"""Other nodes up to this size are compared in one task, which holds their sets (8 MB)."""
+LEADERS = 6
 FIELD_BITS = 27
 _SIGN = np.random.default_rng(5).integers(0, 1 << 31, (2, SIGNATURE), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _ALONE = np.uint64(0x5851F42D4C957F2D)
@@ -120,12 +125,13 @@ def _children(node: np.ndarray, row: np.ndarray, sign: np.ndarray, similarity: f
 
 
 def _branch(df: DataFrame, levels: int, similarity: float, trees: int | None) -> DataFrame:
-    """Rows (node, text) some levels below; from the roots of ``trees`` trees, or from ``node``."""
+    """Rows (node, text, shingles) some levels below; from the roots of ``trees`` trees, or from
+    ``node``."""
     def down(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            text = batch.column("text").to_numpy()
+            text, shingles = batch.column("text").to_numpy(), batch.column("shingles").to_numpy()
             sign = np.frombuffer(b"".join(batch.column("sign").to_pylist()), np.uint32).reshape(-1, SIGNATURE)
             row = np.arange(len(text))
             if trees is None:
@@ -136,10 +142,11 @@ def _branch(df: DataFrame, levels: int, similarity: float, trees: int | None) ->
             for _ in range(levels):
                 node, row = _children(node, row, sign, similarity)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(node.view(np.int64)), pa.array(text[row])], names=["node", "text"]
+                [pa.array(node.view(np.int64)), pa.array(text[row]), pa.array(shingles[row])],
+                names=["node", "text", "shingles"],
             )
 
-    return df.mapInArrow(down, "node bigint, text bigint")
+    return df.mapInArrow(down, "node bigint, text bigint, shingles bigint")
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, similarity) -> DataFrame:
@@ -157,8 +164,9 @@ def _confirm(pairs: DataFrame, sets: DataFrame, similarity) -> DataFrame:
                 keep.append(of * both >= wanted * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    one = sets.select(c("text").alias("b0"), c("elements").alias("y"))
-    two = sets.select(c("text").alias("a0"), c("elements").alias("x"))
+    # Both sides grow with the corpus, so neither is ever sent to every task.
+    one = sets.select(c("text").alias("b0"), c("elements").alias("y")).hint("merge")
+    two = sets.select(c("text").alias("a0"), c("elements").alias("x")).hint("merge")
     rows = pairs.join(one, c("b") == c("b0")).select("a", "b", "y").join(two, c("a") == c("a0"))
     return rows.select("a", "b", "x", "y").mapInArrow(compare, "a bigint, b bigint")
 
@@ -180,8 +188,8 @@ def near_duplicate_sets(
     wanted = similarity[0] / similarity[1]
     rows = stored(minwise_signatures(records, key=key, text=text, shingle=shingle))
     full = rows.where((c("n_shingles") > 0) & c(key).isNotNull())
-    classes = stored(full.groupBy("set_a", "set_b").agg(F.min(key).alias("text"), F.first("sign").alias("sign")))
-    signs = classes.select("text", "sign")
+    classes = stored(full.groupBy("set_a", "set_b").agg(F.min(key).alias("text"), F.first("n_shingles").alias("shingles"), F.first("sign").alias("sign")))
+    signs = classes.select("text", "shingles", "sign")
 
     found = _search(records, signs, key, text, shingle, similarity, wanted, trees_for(recall, wanted))
     own = classes.select("set_a", "set_b", "text")
@@ -205,107 +213,160 @@ def _search(records, signs, key, text, shingle, similarity, wanted, trees):
     active = _branch(signs, FIRST_DEPTH, wanted, trees)
     found = sets = None
 
-    def confirm(pairs):
+    def link(links: DataFrame) -> None:
         nonlocal found
-        new = stored(_confirm(pairs, sets, similarity))
-        if new.isEmpty():
-            return
-        found = components(new if found is None else new.unionByName(
-            found.select(c("node").alias("a"), c("component").alias("b")).where("a <> b")))
-        found = stored(found)
+        links = stored(links)
+        if not links.isEmpty():
+            known = links if found is None else links.unionByName(
+                found.select(c("node").alias("a"), c("component").alias("b")))
+            found = stored(components(known))
 
     for depth in range(FIRST_DEPTH, DEEPEST + 1):
-        active = stored(active)
-        nodes = active.groupBy("node").agg(
-            F.countDistinct("text").alias("size") if depth > FIRST_DEPTH else F.count("*").alias("size"),
-            F.min("text").alias("leader"),
-        ).where("size > 1").withColumnRenamed("node", "_node")
-        rows = stored(active.join(nodes, c("node") == c("_node")).select("node", "text", "size", "leader"))
+        rows = stored(_open_nodes(active, found))
         if rows.isEmpty():
             break
         if sets is None:
             sets = _candidate_sets(records, rows.select("text"), key, text, shingle, spark)
-        # Each text against the leader it shares most nodes with.
-        stars = rows.where("text <> leader").groupBy("text", "leader").agg(F.count("*").alias("n"))
-        best = Window.partitionBy("text").orderBy(c("n").desc(), "leader")
-        stars = stars.withColumn("_r", F.row_number().over(best)).where("_r = 1")
-        confirm(stars.select(c("leader").alias("a"), c("text").alias("b")))
-        mixed = _mixed(rows, found)
-        last = depth == DEEPEST
-        small = mixed if last else mixed.where(c("size") <= SMALL)
-        confirm(_node_pairs(small, signs, wanted, last))
-        if last:
+        tiny = c("size") <= TINY
+        small = ~tiny & (c("size") <= SMALL) & (c("weight") <= SMALL_SHINGLES)
+        pairs = _node_pairs(rows.where(tiny)).unionByName(_leader_pairs(rows.where(~tiny))).distinct()
+        link(_confirm(_alike(pairs, signs, wanted), sets, similarity))
+        rest = stored(_open_nodes(rows.where(~tiny).select("node", "text", "shingles"), found))
+        if rest.isEmpty():
             break
-        large = _mixed(rows.where(c("size") > SMALL), found).select("node", "text").distinct()
-        large = stored(large)
+        link(_compared_nodes(rest.where(small), signs, sets, similarity, wanted))
+        large = rest.where(~small & ~tiny)
         if large.isEmpty():
             break
-        active = _branch(large.join(signs.withColumnRenamed("text", "_t"), c("text") == c("_t"))
-                         .select("node", "text", "sign"), 1, wanted, None)
+        if depth == DEEPEST:  # no further branch would split these
+            link(_confirm(_alike(_node_pairs(large).distinct(), signs, wanted), sets, similarity))
+            break
+        active = _branch(
+            large.select("node", "text", "shingles").join(signs.select(c("text").alias("_t"), "sign"), c("text") == c("_t"))
+            .select("node", "text", "shingles", "sign"), 1, wanted, None)
     return found
 
 
-def _mixed(rows: DataFrame, found: DataFrame | None) -> DataFrame:
-    """Rows of nodes that hold texts of more than one component, with the component."""
+def _open_nodes(active: DataFrame, found: DataFrame | None) -> DataFrame:
+    """Rows (node, text, shingles) of nodes with more than one component, with what is known of
+    the node.
+
+    ``weight`` is the number of shingles, ``one`` and ``two`` are texts that lead the node. Of
+    nodes with the same texts only one stays.
+    """
     if found is None:
-        return rows.withColumn("component", c("text"))
-    own = found.withColumnRenamed("node", "_member")
-    rows = rows.join(own, c("text") == c("_member"), "left").select(
-        "node", "text", "size", F.coalesce("component", "text").alias("component"))
-    open_ = rows.groupBy(c("node").alias("_node")).agg(
-        F.min("component").alias("_low"), F.max("component").alias("_high")).where("_low < _high")
-    return rows.join(open_, c("node") == c("_node")).select("node", "text", "size", "component")
+        rows = active.withColumn("component", c("text"))
+    else:
+        own = found.withColumnRenamed("node", "_member").hint("merge")
+        rows = active.join(own, c("text") == c("_member"), "left").select(
+            "node", "text", "shingles", F.coalesce("component", "text").alias("component"))
+    rows = stored(rows)
+    lead = F.struct(F.xxhash64("node", "text").alias("h"), "text")
+    # Sums and extremes, combined before the shuffle.
+    nodes = rows.groupBy(c("node").alias("_node")).agg(
+        F.count("*").alias("size"), F.sum("shingles").alias("weight"),
+        F.min("component").alias("low"), F.max("component").alias("high"),
+        F.min(lead)["text"].alias("one"), F.max(lead)["text"].alias("two"),
+        F.sum(F.xxhash64("text").cast("decimal(20,0)")).alias("name"),
+    ).where("low < high")
+    single = nodes.groupBy("name", "size").agg(
+        F.min(F.struct("_node", "weight", "one", "two")).alias("n")).select("size", "n.*")
+    return rows.join(single, c("node") == c("_node")).select(
+        "node", "text", "shingles", "component", "size", "weight", "one", "two")
+
+
+def _ordered(a, b) -> list:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
+def _leader_pairs(rows: DataFrame) -> DataFrame:
+    """Each text with up to LEADERS leaders of its nodes, those that it meets most first."""
+    met = rows.select("text", F.explode(F.array("one", "two")).alias("leader")).where("text <> leader")
+    best = Window.partitionBy("text").orderBy(c("n").desc(), F.xxhash64("text", "leader"))
+    return (
+        met.groupBy("text", "leader").agg(F.count("*").alias("n"))
+        .withColumn("_r", F.row_number().over(best)).where(c("_r") <= LEADERS)
+        .select(*_ordered("text", "leader"))
+    )
+
+
+def _node_pairs(rows: DataFrame) -> DataFrame:
+    """All pairs of different components inside the nodes."""
+    other = rows.select(c("node").alias("_n"), c("text").alias("_t"), c("component").alias("_c"))
+    return rows.join(
+        other, (c("node") == c("_n")) & (c("text") < c("_t")) & (c("component") != c("_c")),
+    ).select(*_ordered("text", "_t"))
 
 
-def _node_pairs(rows: DataFrame, signs: DataFrame, wanted: float, any_size: bool) -> DataFrame:
-    """Pairs of different components inside the nodes, where the signatures allow them."""
-    signed = rows.join(signs.withColumnRenamed("text", "_t"), c("text") == c("_t")).select(
-        "node", "text", "component", "sign")
-    # Agreement of this many coordinates is five standard deviations below the wanted one.
-    least = SIGNATURE * wanted - 5 * math.sqrt(SIGNATURE * wanted * (1 - wanted))
+def _compared_nodes(rows: DataFrame, signs: DataFrame, sets: DataFrame, similarity, wanted: float) -> DataFrame:
+    """Links that join the components inside each node, found on the full sets.
 
-    def alike(x, y):
-        return (np.frombuffer(x, np.uint32) == np.frombuffer(y, np.uint32)).sum() >= least
+    A node is a group of bounded size; texts that are linked by then are not compared again.
+    """
+    least = _least(wanted)
+    want, of = similarity
+
+    def compare(key, table):
+        sign = np.frombuffer(b"".join(table.column("sign").to_pylist()), np.uint32).reshape(-1, SIGNATURE)
+        text = table.column("text").to_numpy()
+        _, comp = np.unique(table.column("component").to_numpy(), return_inverse=True)
+        elements = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("elements")]
+        a, b = [], []
+        for i in range(1, len(text)):
+            # Earlier texts of other components, by falling agreement: links are found early.
+            agree = (sign[:i] == sign[i]).sum(1)
+            agree[comp[:i] == comp[i]] = 0
+            order = np.argsort(-agree, kind="stable")
+            for j in order[: int((agree >= least).sum())].tolist():
+                if comp[j] == comp[i]:
+                    continue
+                x, y = elements[i], elements[j]
+                at = np.searchsorted(x, y)
+                at[at == len(x)] = 0
+                both = int((x[at] == y).sum())
+                if of * both >= want * (len(x) + len(y) - both):
+                    a.append(min(text[i], text[j]))
+                    b.append(max(text[i], text[j]))
+                    comp[comp == comp[j]] = comp[i]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    full = (
+        rows.select("node", "text", "component")
+        .join(signs.select(c("text").alias("_t"), "sign").hint("merge"), c("text") == c("_t")).drop("_t")
+        .join(sets.withColumnRenamed("text", "_t").hint("merge"), c("text") == c("_t")).drop("_t")
+    )
+    return full.groupBy("node").applyInArrow(compare, "a bigint, b bigint").distinct()
 
-    if any_size:
-        # Nodes that no further branching splits: a plain join, which Spark splits.
-        other = signed.select(c("node").alias("n2"), c("text").alias("b"), c("component").alias("c2"), c("sign").alias("y"))
-        joined = signed.join(other, (c("node") == c("n2")) & (c("text") < c("b")) & (c("component") != c("c2")))
 
-        def close(batches):
-            for batch in batches:
-                keep = [alike(x.as_py(), y.as_py()) for x, y in zip(batch.column("x"), batch.column("y"))]
-                yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+def _least(wanted: float) -> float:
+    """Coordinates that must agree: five standard deviations below the wanted similarity."""
+    return SIGNATURE * wanted - 5 * math.sqrt(SIGNATURE * wanted * (1 - wanted))
 
-        return joined.select(c("text").alias("a"), "b", c("sign").alias("x"), "y").mapInArrow(
-            close, "a bigint, b bigint").distinct()
 
-    lists = signed.groupBy("node").agg(F.collect_list(F.struct("text", "component", "sign")).alias("in"))
+def _alike(pairs: DataFrame, signs: DataFrame, wanted: float) -> DataFrame:
+    """The pairs whose signatures allow the similarity."""
+    least = _least(wanted)
 
-    def pairs(batches):
+    def close(batches):
         for batch in batches:
-            a, b = [], []
-            for members in batch.column("in").to_pylist():
-                signs_ = np.array([np.frombuffer(m["sign"], np.uint32) for m in members])
-                text_ = [m["text"] for m in members]
-                comp = np.array([m["component"] for m in members])
-                same = (signs_[:, None, :] == signs_[None, :, :]).sum(2)
-                for i, j in zip(*np.nonzero(np.triu(same >= least, 1) & (comp[:, None] != comp[None, :]))):
-                    if text_[i] != text_[j]:
-                        a.append(min(text_[i], text_[j]))
-                        b.append(max(text_[i], text_[j]))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            x, y = (np.frombuffer(b"".join(batch.column(n).to_pylist()), np.uint32).reshape(-1, SIGNATURE) for n in "xy")
+            yield batch.select(["a", "b"]).filter(pa.array((x == y).sum(1) >= least))
 
-    return lists.select("in").mapInArrow(pairs, "a bigint, b bigint").distinct()
+    one = signs.select(c("text").alias("a0"), c("sign").alias("x")).hint("merge")
+    two = signs.select(c("text").alias("b0"), c("sign").alias("y")).hint("merge")
+    return pairs.join(one, c("a") == c("a0")).join(two, c("b") == c("b0")).select("a", "b", "x", "y").mapInArrow(
+        close, "a bigint, b bigint")
 
 
 def _candidate_sets(records, texts, key, text, shingle, spark) -> DataFrame:
     """Full sets (text, elements) of the texts that stand in any node with another one."""
-    field = spark.sparkContext.broadcast(bit_field(texts.select(F.xxhash64("text").alias("h")), FIELD_BITS))
+    texts = texts.distinct()
+    field = spark.sparkContext.broadcast(
+        bit_field(texts.select(F.xxhash64("text").alias("h")), bits_for(texts.count(), FIELD_BITS)))
 
     def build(batches):
         for batch in batches:
-            hit = field.value[place(batch.column("h").to_numpy(), FIELD_BITS)]
+            hit = field.value.has(batch.column("h").to_numpy())
             if not hit.any():
                 continue
             batch = batch.filter(pa.array(hit))

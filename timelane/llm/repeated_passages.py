@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timelane.llm.bits import bit_field, place
+from timelane.llm.bits import bit_field, bits_for
 from timelane.llm.store import stored
 from timelane.llm.words import SPACED, Words, mix, shingle_sums, window_starts, word_slices
 
@@ -43,7 +43,7 @@ def _anchors(words: Words, window: int, gram: int):
         value = np.minimum(value[: len(value) - width], value[width:])
         width *= 2
     least = np.minimum(value[start], value[start + span - width]) if len(start) else start.astype(np.uint64)
-    return start, text, least, h
+    return start, text, mix(least), h  # minima crowd at the low end
 
 
 def _runs(text: np.ndarray, anchor: np.ndarray):
@@ -128,7 +128,7 @@ def count_min(anchors: DataFrame, bits: int) -> np.ndarray:
 
     sketch = np.zeros(size, np.uint8)
     rows = anchors.mapInArrow(build, "at bigint, part binary").groupBy("at").applyInArrow(merge, "at bigint, part binary")
-    for row in rows.toLocalIterator():
+    for row in rows.collect():  # chunks of one sketch
         part = np.frombuffer(row["part"], np.uint8)[: size - row["at"]]
         sketch[row["at"] : row["at"] + len(part)] = part
     return sketch
@@ -155,7 +155,7 @@ def repeated_spans(records: DataFrame, *, key: str = "mix", text: str = "text",
                 often &= sketch.value[(row << bits) + _cells(values, row, bits).astype(np.int64)] > 1
             yield batch.filter(pa.array(often))
 
-    maybe = stored(runs.mapInArrow(repeated, runs.schema))
+    maybe = runs.mapInArrow(repeated, runs.schema)
     # Whole runs: the first text of each, and anchors whose runs differ.
     first = maybe.groupBy("anchor", "run_a", "run_b").agg(F.min("text").alias("low"), F.max("text").alias("high"))
     first = stored(first)
@@ -168,14 +168,14 @@ def repeated_spans(records: DataFrame, *, key: str = "mix", text: str = "text",
     unlike = first.groupBy("anchor").agg(
         F.count("*").alias("n"), F.min("low").alias("l"), F.max("high").alias("h")).where("n > 1 and l < h")
     unlike = stored(unlike.select("anchor"))
-    field = spark.sparkContext.broadcast(bit_field(unlike, FIELD_BITS))
+    field = spark.sparkContext.broadcast(bit_field(unlike, bits_for(unlike.count(), FIELD_BITS)))
 
     def single(batches):
         for batch in batches:
             keys = batch.column(0)
             for row, _, words in word_slices(batch.column(1), SPACED):
                 start, text_, anchor, h = _anchors(words, window, gram)
-                pick = field.value[place(anchor, FIELD_BITS)]
+                pick = field.value.has(anchor)
                 if not pick.any():
                     continue
                 start, text_ = start[pick], text_[pick]
@@ -185,8 +185,9 @@ def repeated_spans(records: DataFrame, *, key: str = "mix", text: str = "text",
                     names=["text", "first", "win_a", "win_b"],
                 )
 
-    windows = stored(_texts(records, key, text).mapInArrow(
-        single, "text bigint, first bigint, win_a bigint, win_b bigint"))
+    # Found twice, for the group and for the join: cheaper than to write every window once.
+    windows = _texts(records, key, text).mapInArrow(
+        single, "text bigint, first bigint, win_a bigint, win_b bigint")
     lows = windows.groupBy(c("win_a").alias("wa"), c("win_b").alias("wb")).agg(
         F.min("text").alias("low"), F.max("text").alias("high")).where("low < high")
     alone = windows.join(lows, (c("win_a") == c("wa")) & (c("win_b") == c("wb"))).where("text > low").select(

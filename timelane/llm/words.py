@@ -9,7 +9,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = (1 << 20) - 1024
 """Text of about this many bytes is worked on at once; one longer text is a slice of its own."""
 
 _SPACE = np.ones(256, bool)
