@@ -8,11 +8,13 @@ import pytest
 
 from tests.llm import brute
 from tests.llm.samples import mixes, none, odd_texts, words
+from timelane.llm import cross_entropy
 from timelane.llm import main_text as M
 from timelane.llm.cross_entropy import DISCOUNT, LENGTHS, cross_entropy_difference, shared_vocabulary
 from timelane.llm.dom import Page
 from timelane.llm.labelled_pages import COPIES, LAYOUTS, MARK, labelled_pages
 from timelane.llm.quality_model import STATISTICS, fit_discriminant, score_quality, text_statistics
+from timelane.llm.words import SPACED_LOWER, find_words
 
 
 def test_discriminant_tells_classes_apart(spark):
@@ -110,6 +112,29 @@ def test_cross_entropy_of_odd_tables(spark):
     assert len(rows) == 4 and all(np.isfinite(r["difference"]) for r in rows)
 
 
+def test_cross_entropy_knows_words_beyond_the_commonest(spark):
+    """Two texts that differ in rare words of equal length, behind 2,000 commoner ones."""
+    common = [f"common{i}" for i in range(2000)]
+    texts = [" ".join(common)] * 9 + ["alpha"] * 6 + ["gamma"] * 6
+    keys = spark.createDataFrame([(i,) for i in range(9, 12)], "mix bigint")
+    got = {r["mix"]: r["difference"] for r in cross_entropy_difference(mixes(spark, texts), keys).collect()}
+    assert got[14] < got[20]
+    assert got[9] == got[14]
+
+
+def test_vocabulary_is_the_words_of_the_least_count(spark, monkeypatch):
+    monkeypatch.setattr(cross_entropy, "LISTED", 10)  # so that bit fields are used
+    texts = [" ".join(f"w{i}" for i in range(3000) if i % 7 >= k) for k in range(7)]
+    known = cross_entropy._known(mixes(spark, texts), "mix", "text", None)
+    h = find_words(*_bytes([f"w{i}" for i in range(3000)]), SPACED_LOWER).hashes().view(np.int64)
+    assert known(h).tolist() == [i % 7 + 1 >= cross_entropy.LEAST_COUNT for i in range(3000)]
+
+
+def _bytes(texts):
+    joined = np.frombuffer("".join(texts).encode(), np.uint8)
+    return joined, np.cumsum([0, *[len(t) for t in texts]])
+
+
 @pytest.fixture(scope="module")
 def model(spark):
     return M.default_model(spark)

@@ -1,43 +1,56 @@
 """Cross-entropy difference of a target and a background bigram model.
 
-Both models have the same order, smoothing and vocabulary: the VOCABULARY commonest words of
-all texts, and classes by length for the others. The background is all texts, the target those
-that are marked. Counts cover every text; the models are two tables of fixed size.
+Both models have the same order, smoothing and vocabulary: the words that occur LEAST_COUNT times
+in all texts, and classes by length for the others. The background is all texts, the target those
+that are marked. Counts cover every text. They are a distributed table that grows with the corpus;
+texts are cut into chunks, each chunk asks the table once for every pair of words it holds, and
+its answers are added up per text.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timelane.llm.words import SPACED_LOWER, Words, word_slices
+from timelane.llm.bits import bit_field, bits_for
+from timelane.llm.store import stored
+from timelane.llm.words import SPACED_LOWER, Words, mix, word_slices
 
 c = F.col
 
-VOCABULARY = 1024
+LEAST_COUNT = 5
 LENGTHS = 16
 """Classes of words outside the vocabulary: by their bytes, the last for all longer ones."""
 DISCOUNT = 0.75
-_HELD = 1_000_000
+FIELD_BITS = 27
+LISTED = 1 << 16
+CHUNK_WORDS = 1 << 21
+CHUNK_TEXTS = 1 << 15
+_HELD = 2_000_000
+_START = np.int64(-1)
+# Symbols as a word, as a context and as a context's number of different words have different ids.
+_SINGLE, _CONTEXT, _KINDS = (int(x) for x in np.random.default_rng(11).integers(1 << 40, 1 << 62, 3))
+_IS_SINGLE, _IS_CONTEXT = -2, -3
+_PAIR, _TEXTS, _OF_SINGLE, _OF_CONTEXT, _OF_KINDS = range(5)
 
 
 def _texts(records: DataFrame, key: str, text: str, *more) -> DataFrame:
     return records.select(c(f"`{key}`").cast("bigint").alias("k"), c(f"`{text}`").cast("string").alias("t"), *more)
 
 
-def _summed(parts: list) -> list[np.ndarray]:
-    """Add up columns of counts over equal first columns."""
-    first = np.concatenate([p[0] for p in parts])
-    value, at = np.unique(first, return_inverse=True)
-    return [value, *[
-        np.bincount(at, np.concatenate([p[i] for p in parts]), len(value)).astype(np.int64)
-        for i in range(1, len(parts[0]))
+def _summed(parts: list, carried: int = 0) -> list[np.ndarray]:
+    """Add up columns of counts over equal first columns; ``carried`` columns depend on the first."""
+    value, of, at = np.unique(np.concatenate([p[0] for p in parts]), return_index=True, return_inverse=True)
+    columns = [np.concatenate([p[i] for p in parts]) for i in range(1, len(parts[0]))]
+    return [value, *[x[of] for x in columns[:carried]], *[
+        np.bincount(at, x, len(value)).astype(np.int64) for x in columns[carried:]
     ]]
 
 
-def _combined(make, names):
+def _combined(make, names, carried: int = 0):
     """A function for mapInArrow: arrays of ``make(batch)`` added up in the task, then sent on."""
     def run(batches):
         parts, held = [], 0
@@ -46,83 +59,204 @@ def _combined(make, names):
                 parts.append(arrays)
                 held += len(arrays[0])
                 if held > _HELD:
-                    parts = [_summed(parts)]
+                    parts = [_summed(parts, carried)]
                     held = len(parts[0][0])
                     if held > _HELD // 2:
                         yield pa.RecordBatch.from_arrays([pa.array(a) for a in parts[0]], names=names)
                         parts, held = [], 0
         if parts:
-            yield pa.RecordBatch.from_arrays([pa.array(a) for a in _summed(parts)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(a) for a in _summed(parts, carried)], names=names)
 
     return run
 
 
-def shared_vocabulary(records: DataFrame, *, key: str = "mix", text: str = "text", size: int = VOCABULARY) -> np.ndarray:
-    """Hashes of the commonest words of all texts (ties by hash), sorted."""
+def _word_counts(records: DataFrame, key: str, text: str) -> DataFrame:
     def count(batch):
         for _, _, words in word_slices(batch.column(1), SPACED_LOWER):
             value, n = np.unique(words.hashes().view(np.int64), return_counts=True)
             yield [value, n]
 
     rows = _texts(records, key, text).mapInArrow(_combined(count, ["word", "n"]), "word bigint, n bigint")
-    top = rows.groupBy("word").agg(F.sum("n").alias("n")).orderBy(c("n").desc(), "word").limit(size).collect()
+    return rows.groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def shared_vocabulary(records: DataFrame, *, key: str = "mix", text: str = "text", size: int) -> np.ndarray:
+    """Hashes of the commonest words of all texts (ties by hash), sorted."""
+    top = _word_counts(records, key, text).orderBy(c("n").desc(), "word").limit(size).collect()
     return np.sort(np.array([r["word"] for r in top], np.int64))
 
 
-def _ids(words: Words, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Symbol of each word, and of the word before it (the last symbol stands for the start)."""
+class _Listed:
+    def __init__(self, words: np.ndarray):
+        self.words = np.sort(words)
+
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        return np.isin(hashes, self.words)
+
+
+def _salted(hashes: np.ndarray, level: int) -> np.ndarray:
+    return mix(hashes.view(np.uint64) + np.uint64(level)).view(np.int64)
+
+
+def _known(records: DataFrame, key: str, text: str, size: int | None):
+    """A test of word hashes for the vocabulary, right for every word of ``records``.
+
+    A bit field has all words of the vocabulary and some others; the next has those others and
+    some words of the vocabulary; and so on, until a list holds the few that are left.
+    """
+    if size is not None:
+        return _Listed(shared_vocabulary(records, key=key, text=text, size=size)).has
+    context = records.sparkSession.sparkContext
+    counts = stored(_word_counts(records, key, text))
+    inside, outside = (counts.where(x).select("word") for x in (c("n") >= LEAST_COUNT, c("n") < LEAST_COUNT))
+    levels = []
+
+    def sifted(words: DataFrame, use) -> DataFrame:
+        def run(batches):
+            for batch in batches:
+                yield use(batch.column(0).to_numpy(), batch)
+
+        return words.mapInArrow(run, "word bigint")
+
+    while (n := inside.count()) > LISTED:
+        level = len(levels)
+        salted = sifted(inside, lambda h, _, k=level: pa.RecordBatch.from_arrays([pa.array(_salted(h, k))], names=["word"]))
+        field = context.broadcast(bit_field(salted, bits_for(n, FIELD_BITS)))
+        levels.append(field)
+        hits = sifted(outside, lambda h, b, k=level, f=field: b.filter(pa.array(f.value.has(_salted(h, k)))))
+        inside, outside = stored(hits), inside
+    levels.append(context.broadcast(_Listed(np.array([r["word"] for r in inside.collect()], np.int64))))
+
+    def known(h: np.ndarray) -> np.ndarray:
+        found, left = np.zeros(len(h), np.int64), np.arange(len(h))
+        for k, level in enumerate(levels):
+            own = h[left] if k == len(levels) - 1 else _salted(h[left], k)
+            left = left[level.value.has(own)]
+            found[left] += 1
+        return found % 2 == 1
+
+    return known
+
+
+def _symbols(words: Words, known) -> tuple[np.ndarray, np.ndarray]:
+    """Symbol of each word, and of the word before it: a hash, a class by length or the start."""
     h = words.hashes().view(np.int64)
-    at = np.minimum(np.searchsorted(vocabulary, h), max(len(vocabulary) - 1, 0))
-    length = np.minimum(words.end - words.start, LENGTHS) - 1
-    known = vocabulary[at] == h if len(vocabulary) else np.zeros(len(h), bool)
-    now = np.where(known, at, len(vocabulary) + length)
+    now = np.where(known(h), h, np.minimum(words.end - words.start, LENGTHS) - 1)
     before = np.empty_like(now)
     before[1:] = now[:-1]
-    before[words.first[:-1][words.counts() > 0]] = len(vocabulary) + LENGTHS
+    before[words.first[:-1][words.counts() > 0]] = _START
     return now, before
 
 
-def pair_counts(records: DataFrame, targets: DataFrame, vocabulary: np.ndarray, *, key: str = "mix",
-                text: str = "text") -> np.ndarray:
-    """Counts [model, word before, word]; model 0 is the target, 1 the background of all texts."""
-    width = len(vocabulary) + LENGTHS + 1
+def _pair_ids(before: np.ndarray, now: np.ndarray) -> np.ndarray:
+    return mix(before.view(np.uint64) + mix(now.view(np.uint64) ^ np.uint64(_SINGLE))).view(np.int64)
+
 
+def model_counts(records: DataFrame, targets: DataFrame, known, *, key: str = "mix", text: str = "text") -> DataFrame:
+    """Rows (id, context, target, every): counts of each pair, and of each symbol as a word and as a
+    context. ``context`` is the symbol before, or says which of the others a row is."""
     def count(batch):
         marked = batch.column(2).to_numpy(zero_copy_only=False)
         for at, to, words in word_slices(batch.column(1), SPACED_LOWER):
-            now, before = _ids(words, vocabulary)
-            cell = before * width + now
-            own = np.repeat(marked[at:to], words.counts())
-            every = np.bincount(cell, minlength=width * width)
-            place = np.flatnonzero(every)
-            yield [place, np.bincount(cell[own], minlength=width * width)[place], every[place]]
+            now, before = _symbols(words, known)
+            own = np.repeat(marked[at:to], words.counts()).astype(np.int64)
+            one = np.ones(len(now), np.int64)
+            yield _summed([
+                [_pair_ids(before, now), before, own, one],
+                [now ^ _SINGLE, np.full(len(now), _IS_SINGLE), own, one],
+                [before ^ _CONTEXT, np.full(len(now), _IS_CONTEXT), own, one],
+            ], 1)
 
     # The targets are as many as their owner likes, so they are never sent to every task.
     own = targets.select(c(f"`{key}`").cast("bigint").alias("_own")).distinct().hint("merge")
     marked = _texts(records, key, text).join(own, c("k") == c("_own"), "left").select("k", "t", c("_own").isNotNull())
-    rows = marked.mapInArrow(
-        _combined(count, ["cell", "target", "every"]), "cell bigint, target bigint, every bigint")
-    out = np.zeros((2, width * width), np.int64)
-    # At most (VOCABULARY + LENGTHS + 1) ** 2 rows.
-    for r in rows.groupBy("cell").agg(F.sum("target").alias("t"), F.sum("every").alias("e")).toArrow().to_batches():
-        cell = r.column("cell").to_numpy()
-        out[0, cell], out[1, cell] = r.column("t").to_numpy(), r.column("e").to_numpy()
-    return out.reshape(2, width, width)
+    names = ["id", "context", "target", "every"]
+    rows = marked.mapInArrow(_combined(count, names, 1), ", ".join(f"{n} bigint" for n in names))
+    return rows.groupBy("id").agg(
+        F.min("context").alias("context"), F.sum("target").alias("target"), F.sum("every").alias("every"))
+
+
+def _binary(rows: np.ndarray) -> pa.Array:
+    """A binary value per row of a table of numbers."""
+    width = rows.dtype.itemsize * (rows.shape[1] if rows.ndim > 1 else 1)
+    return pa.Array.from_buffers(
+        pa.binary(), len(rows),
+        [None, pa.py_buffer((np.arange(len(rows) + 1) * width).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(rows))])
+
+
+def _chunk_rows(chunk: int, held: list):
+    """What a chunk asks for: a row per pair with the texts it occurs in, and rows per symbol."""
+    keys = pa.concat_arrays([x[0] for x in held])
+    counts = np.concatenate([x[1] for x in held])
+    now, before = (np.concatenate([x[i] for x in held]) for i in (2, 3))
+    symbol, at = np.unique(np.concatenate([now, before]), return_inverse=True)
+    cell = at[len(now):] * len(symbol) + at[: len(now)]
+    order = np.argsort(cell, kind="stable")
+    cell, begin, n = np.unique(cell[order], return_index=True, return_counts=True)
+    of, to = np.divmod(cell, max(len(symbol), 1))
+    # Two numbers of symbols in four shorts, then one short for each occurrence: its text.
+    place = begin + 4 * np.arange(len(cell))
+    body = np.empty(4 * len(cell) + len(order), np.uint16)
+    for i, x in ((0, of), (2, to)):
+        body[place + i], body[place + i + 1] = x & 0xFFFF, x >> 16
+    body[np.repeat(place + 4 - begin, n) + np.arange(len(order))] = np.repeat(np.arange(len(counts)), counts)[order]
+    ends = np.append(place, len(body)).astype(np.int32) * 2
+
+    def batch(ids, kind, bodies):
+        return pa.RecordBatch.from_arrays(
+            [pa.array(ids), pa.array(np.full(len(ids), chunk)), pa.array(np.full(len(ids), kind, np.int8)), bodies],
+            names=["id", "chunk", "kind", "body"])
+
+    yield batch(_pair_ids(symbol[of], symbol[to]), _PAIR, pa.Array.from_buffers(
+        pa.binary(), len(cell), [None, pa.py_buffer(ends), pa.py_buffer(body)]))
+    number = _binary(np.arange(len(symbol), dtype=np.uint32))
+    for kind, salt in ((_OF_SINGLE, _SINGLE), (_OF_CONTEXT, _CONTEXT), (_OF_KINDS, _KINDS)):
+        yield batch(symbol ^ salt, kind, number)
+    texts = np.stack([keys.fill_null(0).to_numpy(), keys.is_null().to_numpy(zero_copy_only=False), counts]).astype(np.int64)
+    # This row joins with nothing; its id only spreads such rows.
+    yield batch(mix(np.array([chunk], np.uint64)).view(np.int64), _TEXTS, _binary(texts.reshape(1, -1)))
+
 
+def _requests(records: DataFrame, known, key: str, text: str) -> DataFrame:
+    def ask(batches):
+        chunk = TaskContext.get().partitionId() << 32
+        held, words_held, texts_held = [], 0, 0
+        for whole in batches:
+            for i in range(0, whole.num_rows, CHUNK_TEXTS):
+                part = whole.slice(i, CHUNK_TEXTS)
+                for at, to, words in word_slices(part.column(1), SPACED_LOWER):
+                    if held and (words_held + len(words.start) > CHUNK_WORDS or texts_held + to - at > CHUNK_TEXTS):
+                        yield from _chunk_rows(chunk, held)
+                        chunk, held, words_held, texts_held = chunk + 1, [], 0, 0
+                    held.append((part.column(0).slice(at, to - at), words.counts(), *_symbols(words, known)))
+                    words_held, texts_held = words_held + len(words.start), texts_held + to - at
+        if held:
+            yield from _chunk_rows(chunk, held)
 
-def losses(counts: np.ndarray) -> np.ndarray:
+    return _texts(records, key, text).mapInArrow(ask, "id bigint, chunk bigint, kind tinyint, body binary")
+
+
+def _bodies(column, dtype) -> tuple[np.ndarray, np.ndarray]:
+    """All bodies as one array, and where each begins."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    column = column.cast(pa.large_binary())
+    _, where, data = column.buffers()
+    where = np.frombuffer(where, np.int64)[column.offset : column.offset + len(column) + 1]
+    size = np.dtype(dtype).itemsize
+    data = np.frombuffer(data, np.uint8)[where[0] : where[-1]] if data is not None else np.empty(0, np.uint8)
+    return data.view(dtype), (where - where[0]) // size
+
+
+def losses(pair, single, context, kinds, total: int, width: int) -> np.ndarray:
     """-log p(word | word before) of one model: absolute discounting over a unigram model."""
-    width = len(counts)
-    single = (counts.sum(0) + 1) / (counts.sum() + width)
-    of = counts.sum(1, keepdims=True)
-    spread = DISCOUNT * (counts > 0).sum(1, keepdims=True)
+    p = (single + 1) / (total + width)
     with np.errstate(divide="ignore", invalid="ignore"):
-        p = (np.maximum(counts - DISCOUNT, 0) + spread * single) / of
-    return -np.log(np.where(of > 0, p, single[None, :]))
+        seen = (np.maximum(pair - DISCOUNT, 0) + DISCOUNT * kinds * p) / context
+    return -np.log(np.where(context > 0, seen, p))
 
 
 def cross_entropy_difference(records: DataFrame, targets: DataFrame, *, key: str = "mix",
-                             text: str = "text", size: int = VOCABULARY) -> DataFrame:
+                             text: str = "text", size: int | None = None) -> DataFrame:
     """Mean losses per word under both models, and their difference, for every row.
 
     ``records`` are saved mix files or any table with a whole-number key and a text; ``targets``
@@ -130,26 +264,53 @@ def cross_entropy_difference(records: DataFrame, targets: DataFrame, *, key: str
     ``background_loss`` and ``difference`` (target less background: lower is more like the
     target). Texts without words, and nulls, have zeros. Without target texts the target model
     is even over all words. Equal rows are counted and scored each; an empty table gives no rows.
+    The vocabulary is the words that occur LEAST_COUNT times, or the ``size`` commonest. The rows of
+    ``records`` must come in the same order if a task runs again, as those of a stored table do.
     """
-    vocabulary = shared_vocabulary(records, key=key, text=text, size=size)
-    counts = pair_counts(records, targets, vocabulary, key=key, text=text)
-    tables = records.sparkSession.sparkContext.broadcast(np.stack([losses(m) for m in counts]).astype(np.float32))
+    known = _known(records, key, text, size)
+    counts = stored(model_counts(records, targets, known, key=key, text=text))
+    word = ~c("id").bitwiseXOR(F.lit(_SINGLE)).between(0, LENGTHS - 1)
+    sums = counts.where(c("context") == _IS_SINGLE).agg(
+        F.sum("target"), F.sum("every"), F.count(F.when(word, 1))).first()
+    totals, width = [x or 0 for x in sums[:2]], sums[2] + LENGTHS + 1
+    kinds = counts.where(~c("context").isin(_IS_SINGLE, _IS_CONTEXT)).groupBy("context").agg(
+        F.count(F.when(c("target") > 0, 1)).alias("target"), F.count("*").alias("every"))
+    facts = counts.select(c("id").alias("_id"), "target", "every").unionByName(
+        kinds.select(c("context").bitwiseXOR(F.lit(_KINDS)).alias("_id"), "target", "every")).hint("merge")
+    answers = _requests(records, known, key, text).join(facts, c("id") == c("_id"), "left").select(
+        "id", "chunk", "kind", "body", F.coalesce("target", F.lit(0)).alias("target"), F.coalesce("every", F.lit(0)).alias("every"))
 
-    def score(batches):
-        table = tables.value
-        for batch in batches:
-            for at, to, words in word_slices(batch.column(1), SPACED_LOWER):
-                now, before = _ids(words, vocabulary)
-                n = words.counts()
-                mean = []
-                for k in (0, 1):
-                    run = np.concatenate([[0.0], np.cumsum(table[k][before, now], dtype=np.float64)])
-                    mean.append((run[words.first[1:]] - run[words.first[:-1]]) / np.maximum(n, 1))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, to - at), pa.array(n), pa.array(mean[0]), pa.array(mean[1]),
-                     pa.array(mean[0] - mean[1])],
-                    names=[key, "n_words", "target_loss", "background_loss", "difference"],
-                )
-
-    return _texts(records, key, text).mapInArrow(
+    def score(group):
+        kind = group.column("kind").to_numpy()
+
+        def rows(k, dtype):
+            return group.filter(pa.array(kind == k)), *_bodies(group.filter(pa.array(kind == k)).column("body"), dtype)
+
+        _, about, _ = rows(_TEXTS, np.int64)
+        keys, empty, n = about.reshape(3, -1)
+        by_symbol = {}
+        for k in (_OF_SINGLE, _OF_CONTEXT, _OF_KINDS):
+            part, number, _ = rows(k, np.uint32)
+            by_symbol[k] = np.zeros((2, len(number)))
+            for i, name in enumerate(("target", "every")):
+                by_symbol[k][i, number] = part.column(name).to_numpy()
+        pairs, body, place = rows(_PAIR, np.uint16)
+        at = place[:-1]
+        of, to = (body[at + i].astype(np.int64) | body[at + i + 1].astype(np.int64) << 16 for i in (0, 2))
+        often = np.diff(place) - 4
+        row = np.repeat(np.arange(len(at)), often)
+        which = body[np.arange(len(row)) + 4 * (row + 1)].astype(np.int64)
+        # In the order of the ids, so that sums do not depend on the order of arrival.
+        order = np.argsort(pairs.column("id").to_numpy()[row], kind="stable")
+        row, which = row[order], which[order]
+        mean = []
+        for i, name in enumerate(("target", "every")):
+            loss = losses(pairs.column(name).to_numpy(), by_symbol[_OF_SINGLE][i, to], by_symbol[_OF_CONTEXT][i, of],
+                          by_symbol[_OF_KINDS][i, of], totals[i], width)
+            mean.append(np.bincount(which, loss[row], len(n)) / np.maximum(n, 1))
+        return pa.table(
+            [pa.array(keys, mask=empty.astype(bool)), pa.array(n), pa.array(mean[0]), pa.array(mean[1]), pa.array(mean[0] - mean[1])],
+            names=[key, "n_words", "target_loss", "background_loss", "difference"])
+
+    return answers.groupBy("chunk").applyInArrow(
         score, f"`{key}` bigint, n_words bigint, target_loss double, background_loss double, difference double")
