@@ -4,6 +4,7 @@ import pytest
 
 from tests.llm import brute
 from tests.llm.samples import mixes, near_copies, none, odd_texts
+from timelane.llm import near_duplicates
 from timelane.llm.components import components
 from timelane.llm.near_duplicates import near_duplicate_sets, trees_for
 
@@ -34,6 +35,37 @@ def test_large_group_at_the_limit(spark):
     assert 2 < len({v[1] for v in want.values()}) < 150
 
 
+def test_nodes_that_branch_are_searched_again(spark, monkeypatch):
+    """Pairs just above the limit in one large node; the first search is made to find none."""
+    monkeypatch.setattr(near_duplicates, "SMALL", 16)
+    monkeypatch.setattr(near_duplicates, "DEEPEST", 4)
+    confirm, new_signs, again = near_duplicates._confirm, near_duplicates._new_signs, []
+    monkeypatch.setattr(near_duplicates, "_confirm", lambda pairs, *a: confirm(pairs if again else pairs.limit(0), *a))
+    monkeypatch.setattr(near_duplicates, "_compared_nodes", lambda rows, *a: rows.selectExpr("node as a", "node as b").limit(0))
+    monkeypatch.setattr(near_duplicates, "_new_signs", lambda *a: again.append(a[2]) or new_signs(*a))
+    texts = []
+    for i in range(40):
+        both = [f"core{k}" for k in range(75)] + [f"p{i}x{k}" for k in range(14)]
+        texts += [" ".join(both + [f"o{i}{side}{k}" for k in range(11)]) for side in "ab"]
+    rows = near_duplicate_sets(mixes(spark, texts), shingle=1).collect()
+    linked = sum(r["component_id"] == r["mix"] // 2 * 2 for r in rows)
+    assert again == [1] and linked >= 72
+
+
+def test_nodes_with_the_same_texts_branch_each(spark):
+    rows = [(node, text, 9) for node, n in ((1, 600), (2, 600), (3, 20), (4, 20)) for text in range(n)]
+    df = spark.createDataFrame(rows, "node bigint, text bigint, shingles bigint")
+    for deepest, want in ((False, 3), (True, 2)):
+        assert near_duplicates._open_nodes(df, None, deepest).select("node").distinct().count() == want
+
+
+def test_searches_reach_the_recall():
+    trees = near_duplicates.shared_trees_for(0.9999, 0.8)
+    for depth in range(near_duplicates.FIRST_DEPTH, near_duplicates.DEEPEST + 1):
+        n = near_duplicates.searches_for(0.9999, 0.8, trees, depth)
+        assert near_duplicates.missed(0.8, trees, depth) ** n <= 1e-4 + 1e-9
+
+
 def test_odd_tables(spark):
     assert near_duplicate_sets(none(spark)).count() == 0
     rows = [(None, "a b c"), (None, "a b c"), (5, "a b c"), (5, "a b c"), (3, "A b C"), (9, None), (8, None)]

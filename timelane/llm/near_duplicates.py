@@ -10,7 +10,9 @@ recall.
 Groups of many near copies stay together at any depth. In nodes that are not small each text is
 compared with some leaders first. After that only texts of different components matter: a node
 whose texts are linked already is finished, one of bounded size is compared exhaustively in one
-task, and a larger one branches again.
+task, and a larger one branches again. Each branch may part a pair and the trees share their
+coordinates, so texts of nodes that branched are searched again with new coordinates, as often as
+the depth they reached asks for.
 """
 
 from __future__ import annotations
@@ -46,13 +48,42 @@ _SIGN = np.random.default_rng(5).integers(0, 1 << 31, (2, SIGNATURE), dtype=np.u
 _ALONE = np.uint64(0x5851F42D4C957F2D)
 
 
-def trees_for(recall: float, similarity: float, depth: int = FIRST_DEPTH + 1) -> int:
-    """Trees after which a pair of just this similarity has met at ``depth`` in one of them."""
+def _parted(agreeing: float, similarity: float, depth: int) -> float:
+    """How likely one tree for ``similarity`` parts a pair with this share of equal coordinates."""
     two, miss = 1 / similarity - 1, 0.0
     for _ in range(depth):
-        one = 1 - similarity + similarity * miss
+        one = 1 - agreeing + agreeing * miss
         miss = (1 - two) * one + two * one * one
-    return math.ceil(math.log(1 - recall) / math.log(miss))
+    return miss
+
+
+def trees_for(recall: float, similarity: float, depth: int = FIRST_DEPTH + 1) -> int:
+    """Trees after which a pair of just this similarity has met at ``depth`` in one of them, if
+    each had coordinates of its own."""
+    return math.ceil(math.log(1 - recall) / math.log(_parted(similarity, similarity, depth)))
+
+
+def missed(similarity: float, trees: int, depth: int) -> float:
+    """How likely a pair of just this similarity meets at ``depth`` in none of ``trees`` trees that
+    share SIGNATURE coordinates."""
+    return sum(
+        math.comb(SIGNATURE, k) * similarity**k * (1 - similarity) ** (SIGNATURE - k)
+        * _parted(k / SIGNATURE, similarity, depth) ** trees
+        for k in range(SIGNATURE + 1)
+    )
+
+
+def shared_trees_for(recall: float, similarity: float) -> int:
+    """As trees_for, for trees that share their coordinates, at the depth where nodes are first compared."""
+    trees = trees_for(recall, similarity)
+    while missed(similarity, trees, FIRST_DEPTH) > 1 - recall:
+        trees += 1
+    return trees
+
+
+def searches_for(recall: float, similarity: float, trees: int, depth: int) -> int:
+    """Searches with coordinates of their own after which a pair has met at ``depth``."""
+    return max(1, math.ceil(math.log(1 - recall) / math.log(missed(similarity, trees, depth)) - 1e-9))
 
 
 def _sets(words, shingle: int):
@@ -191,7 +222,7 @@ def near_duplicate_sets(
     classes = stored(full.groupBy("set_a", "set_b").agg(F.min(key).alias("text"), F.first("n_shingles").alias("shingles"), F.first("sign").alias("sign")))
     signs = classes.select("text", "shingles", "sign")
 
-    found = _search(records, signs, key, text, shingle, similarity, wanted, trees_for(recall, wanted))
+    found = _search(records, signs, key, text, shingle, similarity, wanted, recall)
     own = classes.select("set_a", "set_b", "text")
     if found is not None:
         own = own.join(found, c("text") == c("node"), "left").select(
@@ -207,11 +238,12 @@ def near_duplicate_sets(
     )
 
 
-def _search(records, signs, key, text, shingle, similarity, wanted, trees):
+def _search(records, signs, key, text, shingle, similarity, wanted, recall):
     """Components of all linked classes, or None."""
     spark = signs.sparkSession
-    active = _branch(signs, FIRST_DEPTH, wanted, trees)
-    found = sets = None
+    trees = shared_trees_for(recall, wanted)
+    found = sets = wide = None
+    reached, search = FIRST_DEPTH, 0
 
     def link(links: DataFrame) -> None:
         nonlocal found
@@ -221,38 +253,73 @@ def _search(records, signs, key, text, shingle, similarity, wanted, trees):
                 found.select(c("node").alias("a"), c("component").alias("b")))
             found = stored(components(known))
 
-    for depth in range(FIRST_DEPTH, DEEPEST + 1):
-        rows = stored(_open_nodes(active, found))
-        if rows.isEmpty():
-            break
-        if sets is None:
-            sets = _candidate_sets(records, rows.select("text"), key, text, shingle, spark)
-        tiny = c("size") <= TINY
-        small = ~tiny & (c("size") <= SMALL) & (c("weight") <= SMALL_SHINGLES)
-        pairs = _node_pairs(rows.where(tiny)).unionByName(_leader_pairs(rows.where(~tiny))).distinct()
-        link(_confirm(_alike(pairs, signs, wanted), sets, similarity))
-        rest = stored(_open_nodes(rows.where(~tiny).select("node", "text", "shingles"), found))
-        if rest.isEmpty():
-            break
-        link(_compared_nodes(rest.where(small), signs, sets, similarity, wanted))
-        large = rest.where(~small & ~tiny)
-        if large.isEmpty():
-            break
-        if depth == DEEPEST:  # no further branch would split these
-            link(_confirm(_alike(_node_pairs(large).distinct(), signs, wanted), sets, similarity))
-            break
-        active = _branch(
-            large.select("node", "text", "shingles").join(signs.select(c("text").alias("_t"), "sign"), c("text") == c("_t"))
-            .select("node", "text", "shingles", "sign"), 1, wanted, None)
+    while search < searches_for(recall, wanted, trees, reached) and (search == 0 or wide is not None):
+        if search:
+            signs = stored(_new_signs(sets, wide, search))
+        active = _branch(signs, FIRST_DEPTH, wanted, trees)
+        for depth in range(FIRST_DEPTH, DEEPEST + 1):
+            rows = stored(_open_nodes(active, found, depth == DEEPEST))
+            if rows.isEmpty():
+                break
+            if sets is None:
+                sets = _candidate_sets(records, rows.select("text"), key, text, shingle, spark)
+            tiny = c("size") <= TINY
+            small = ~tiny & ~_large()
+            pairs = _node_pairs(rows.where(tiny)).unionByName(_leader_pairs(rows.where(~tiny))).distinct()
+            link(_confirm(_alike(pairs, signs, wanted), sets, similarity))
+            rest = stored(_open_nodes(rows.where(~tiny).select("node", "text", "shingles"), found, depth == DEEPEST))
+            if rest.isEmpty():
+                break
+            link(_compared_nodes(rest.where(small), signs, sets, similarity, wanted))
+            large = rest.where(~small & ~tiny)
+            if large.isEmpty():
+                break
+            if depth == DEEPEST:  # no further branch would split these
+                link(_confirm(_alike(_node_pairs(large).distinct(), signs, wanted), sets, similarity))
+                break
+            if wide is None:
+                wide = stored(large.select("text").distinct())
+            reached = max(reached, depth + 1)
+            active = _branch(
+                large.select("node", "text", "shingles").join(signs.select(c("text").alias("_t"), "sign"), c("text") == c("_t"))
+                .select("node", "text", "shingles", "sign"), 1, wanted, None)
+        search += 1
     return found
 
 
-def _open_nodes(active: DataFrame, found: DataFrame | None) -> DataFrame:
+def _new_signs(sets: DataFrame, wide: DataFrame, search: int) -> DataFrame:
+    """Signatures of the texts in ``wide`` with the coordinates of another search."""
+    salt = mix(np.array([search], np.uint64))
+
+    def sign(batches):
+        for batch in batches:
+            values = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(1)]
+            n = np.array([len(v) for v in values], np.int64)
+            if not len(n):
+                continue
+            low = (mix(np.concatenate(values) ^ salt) >> np.uint64(32)).astype(np.uint32)
+            begin = np.cumsum(n) - n
+            mins = np.stack([np.minimum.reduceat(low * _SIGN[0, j] + _SIGN[1, j], begin) for j in range(SIGNATURE)], axis=1)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(n), pa.array([m.tobytes() for m in mins], pa.binary())],
+                names=["text", "shingles", "sign"])
+
+    own = sets.where(F.length("elements") > 0).join(
+        wide.withColumnRenamed("text", "_t").hint("merge"), c("text") == c("_t"), "left_semi")
+    return own.select("text", "elements").mapInArrow(sign, "text bigint, shingles bigint, sign binary").distinct()
+
+
+def _large():
+    return (c("size") > TINY) & ((c("size") > SMALL) | (c("weight") > SMALL_SHINGLES))
+
+
+def _open_nodes(active: DataFrame, found: DataFrame | None, deepest: bool) -> DataFrame:
     """Rows (node, text, shingles) of nodes with more than one component, with what is known of
     the node.
 
     ``weight`` is the number of shingles, ``one`` and ``two`` are texts that lead the node. Of
-    nodes with the same texts only one stays.
+    nodes with the same texts only one stays where all are compared; those that branch all stay,
+    as each of them branches in its own way.
     """
     if found is None:
         rows = active.withColumn("component", c("text"))
@@ -269,7 +336,8 @@ def _open_nodes(active: DataFrame, found: DataFrame | None) -> DataFrame:
         F.min(lead)["text"].alias("one"), F.max(lead)["text"].alias("two"),
         F.sum(F.xxhash64("text").cast("decimal(20,0)")).alias("name"),
     ).where("low < high")
-    single = nodes.groupBy("name", "size").agg(
+    branches = F.when(F.lit(not deepest) & _large(), c("_node"))
+    single = nodes.groupBy("name", "size", branches.alias("_branches")).agg(
         F.min(F.struct("_node", "weight", "one", "two")).alias("n")).select("size", "n.*")
     return rows.join(single, c("node") == c("_node")).select(
         "node", "text", "shingles", "component", "size", "weight", "one", "two")
