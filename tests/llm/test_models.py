@@ -135,6 +135,15 @@ def _bytes(texts):
     return joined, np.cumsum([0, *[len(t) for t in texts]])
 
 
+def test_head_without_its_end_tag():
+    body = "<article><p>Some words, here.</p></article>"
+    for html in (f"<html><head><title>x</title><body>{body}", f"<head><meta charset=utf-8><style>p {{}}</style>{body}",
+                 f"<head><title>x</title></head><body>{body}", f"<head><title>x</title><a href=y></a>{body}"):
+        assert [text for _, text in Page(html).blocks] == ["Some words, here."]
+    assert [text for _, text in Page("<head><title>x</title>Bare <b>text</b>").blocks] == ["Bare text"]
+    assert Page("<head><noscript><img src=y></noscript><title>x</title> </head>").blocks == []
+
+
 @pytest.fixture(scope="module")
 def model(spark):
     return M.default_model(spark)

@@ -23,6 +23,8 @@ CLOSES = {  # an opening element ends these open ones
 }
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}}
 RAW = frozenset({"script", "style"})
+IN_HEAD = frozenset("html head base basefont bgsound link meta title script style noscript noframes template".split())
+"""Anything else, and text, ends an open head: its end tag may be left out."""
 
 _MARKED = re.compile(r"<!\[")
 _NAME = re.compile(r"[a-z0-9]+")
@@ -55,7 +57,14 @@ class Page(HTMLParser):
         self.close()
         self._flush()
 
+    def _end_head(self) -> None:
+        if self.nodes[self.open[-1]].tag == "head":
+            self._flush()
+            self.open.pop()
+
     def handle_starttag(self, tag, attrs):
+        if tag not in IN_HEAD:
+            self._end_head()
         if tag in INLINE:
             if tag == "a":
                 self._link = True
@@ -108,6 +117,8 @@ class Page(HTMLParser):
                 return
 
     def handle_data(self, data):
+        if data.strip():
+            self._end_head()
         if not self.nodes[self.open[-1]].unseen:
             self._text.append((data, self._link))
 
