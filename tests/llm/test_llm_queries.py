@@ -117,3 +117,39 @@ def test_other_queries(spark):
 def test_only_sql_functions_in_the_rules(spark):
     plan = QUERIES["op9_quality_rules"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas", "MapIn"))
+
+
+def test_counts_of_every_text(spark, texts):
+    from sentencepiece import SentencePieceProcessor
+
+    library = SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    got = {r["doc_id"]: (r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in QUERIES["op12_token_counts"](spark, SF).collect()}
+    assert got == {i: (len((t or "").encode()), n := len(library.encode(t or "")), n > 4096) for i, t in texts.items()}
+
+
+def test_alignment_of_every_text(spark, texts):
+    import hashlib
+
+    from tests.llm.test_alignment import RESULTS, plain
+
+    rows = QUERIES["op11_token_alignment"](spark, SF).collect()
+    got = {r["doc_id"]: tuple(r[x] for x in (*RESULTS[:-1], "groups_sha256")) for r in rows}
+    want = plain(texts.values())
+    assert got == {i: (*w[:-1], hashlib.sha256(w[-1].encode()).hexdigest() if w[-1] else "") for i, w in zip(texts, want)}
+
+
+def test_whitening_of_every_vector(spark):
+    from tests.llm.test_whitening import plain as whole
+
+    table = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding").collect()
+    centred, n, deviation, values, basis = whole([r["embedding"] for r in table])
+    rows = QUERIES["op13_whitening"](spark, SF).collect()
+    at = {r["vec_id"]: i for i, r in enumerate(table)}
+    got = np.zeros((len(table), 16))
+    for r in rows:
+        got[at[r["vec_id"]], r["component"] - 1] = r["whitened"]
+        assert (r["n"], r["deviation"]) == (n, deviation[at[r["vec_id"]]])
+        assert abs(r["explained"] * values.sum() / values[r["component"] - 1] - 1) < 1e-9
+    want = centred @ basis[:, :16] / np.sqrt(values[:16])
+    assert len(rows) == 16 * len(table)
+    assert np.abs(got - want * np.sign((got * want).sum(axis=0))).max() < 1e-8

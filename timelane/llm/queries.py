@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from timelane.llm.alignment import align_tokens
 from timelane.llm.contamination import benchmark_windows, word_counts
 from timelane.llm.cross_entropy import cross_entropy_difference
 from timelane.llm.id_files import read_id_files, write_id_files
@@ -19,9 +20,13 @@ from timelane.llm.quality_rules import adaptive_limits, judge, measure_texts, qu
 from timelane.llm.repeated_passages import remove_repeated
 from timelane.llm.revisits import resolve_revisits
 from timelane.llm.store import scratch_path, stored
+from timelane.llm.token_counts import count_tokens
+from timelane.llm.whitening import whiten_windows
 
 c = F.col
 VOCABULARY = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
+MOST_TOKENS = 4096
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -281,3 +286,22 @@ def _(spark, folder):
     write_id_files(read(spark, folder, "documents"), path, public_tokenizers.path(VOCABULARY), key="doc_id")
     return read_id_files(spark, path, key="doc_id").select(
         "doc_id", "start", c("length").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
+@query("op11_token_alignment")
+def _(spark, folder):
+    paths = (public_tokenizers.path(name) for name in (VOCABULARY, PIECES))
+    aligned = align_tokens(read(spark, folder, "documents"), *paths, key="doc_id")
+    digest = F.when(c("n_groups") > 0, F.sha2("groups", 256)).otherwise("")
+    return aligned.withColumn("groups_sha256", digest).drop("groups")
+
+
+@query("op12_token_counts")
+def _(spark, folder):
+    counts = count_tokens(read(spark, folder, "documents"), public_tokenizers.path(PIECES), key="doc_id")
+    return counts.withColumn("over_limit", c("n_tokens") > MOST_TOKENS)
+
+
+@query("op13_whitening")
+def _(spark, folder):
+    return whiten_windows(read(spark, folder, "embeddings"), keys="vec_id", values="embedding")

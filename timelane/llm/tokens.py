@@ -64,10 +64,12 @@ def _packed(ids: list[int]) -> bytes:
 class Encoder:
     """Encodes whole texts with one vocabulary file of the byte-level kind."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain: bool = False):
+        """``plain``: strings of special tokens inside a text are ordinary text."""
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = plain
         self.first = _Pieces(self.tokenizer)
         self.later = _Pieces(self.tokenizer, self.first)
 
@@ -86,6 +88,6 @@ class Encoder:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str) -> Encoder:
-    """One encoder a Python worker and file."""
-    return Encoder(path)
+def encoder(path: str, plain: bool = False) -> Encoder:
+    """One encoder a Python worker, file and reading of special strings."""
+    return Encoder(path, plain)
