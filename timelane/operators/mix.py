@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 
 from timelane.functions.scalars import (
     audible,
-    envelope_value,
     equal_power_pan,
     round_half_up,
 )
 from timelane.operators.keyframes import segments
 from timelane.operators.ordered import Ordered, lists_per_key, ordered
+from timelane.operators.sums import added_sums, weighted_sums
 
 c = F.col
 
@@ -157,6 +157,8 @@ def _piece(low, high, t0=None, g0=None, t1=None, g1=None, easing="slider") -> Co
 
 
 FAR = 1 << 60
+TRACKS_IN_PART = 256
+"""Tracks of one mix that are summed in one place."""
 
 
 def gain_pieces(
@@ -208,11 +210,14 @@ def mixdown(
     """Stereo sum per (mix, frame) of the audible tracks.
 
     Each track is weighted by its gain (piecewise by its keyframes where it has some) and
-    panned at equal power. Frames where nothing sounds are 0 up to the longest track.
-
-    Silent tracks are dropped on the small track table. The samples are scanned once, meet
-    their gain pieces in one join and are summed on the map side before the only exchange
-    by (mix, frame). ``frames`` (mix, track, frames) is what the catalogue knows of the
+    panned at equal power. Frames where nothing sounds are 0 up to the longest track. A block
+    starts at a multiple of ``block_size`` and has at most so many values, else the run fails.
+
+    Silent tracks are dropped on the small track table. Blocks and gain pieces are placed
+    together by (mix, block), sorted there and summed as whole arrays, so no exchange holds a
+    row per sample. A mix of more than TRACKS_IN_PART tracks is placed in several
+    parts, whose sums (two arrays per mix, block and part) are added after a second exchange; samples
+    become rows above it. ``frames`` (mix, track, frames) is what the catalogue knows of the
     lengths; without it the blocks are read once more to find them.
     """
     left, right = equal_power_pan(c("pan"))
@@ -224,36 +229,46 @@ def mixdown(
     # The longest track stays even when silent: its zeros give the mix its length.
     voices = sized.join(longest, "mix").where(on | (c("track") == c("_longest"))).select(
         "mix", "track", "frames", c("gain").alias("slider"),
-        (c("gate") * left).alias("l"), (c("gate") * right).alias("r"),
+        F.coalesce(c("gate") * left, F.lit(0.0)).alias("l"),
+        F.coalesce(c("gate") * right, F.lit(0.0)).alias("r"),
+    )
+    parts = _parts(tracks)
+    mine = F.pmod(F.xxhash64("track"), F.coalesce("_parts", F.lit(1))).cast("int").alias("part")
+    place = ["mix", "block", "part"]
+    pieces = gain_pieces(voices, keyframes, rate, block_size).join(parts, "mix", "left").select(
+        "mix", "block", mine, "track", F.lit(0).alias("kind"), "low", "high", "t0", "g0", "t1", "g1",
+        "easing", c("slider").cast("double").alias("slider"), "l", "r",
     )
-    pieces = gain_pieces(voices, keyframes, rate, block_size)
-    at = blocks.withColumn("block", F.floor(c("start") / block_size))
-    cut = (
-        at.join(pieces, ["mix", "track", "block"])
-        .withColumn("_from", F.greatest(c("low"), c("start")))
-        .withColumn("_to", F.least(c("high"), c("start") + F.size("values") - 1))
-        .where(c("_to") >= c("_from"))
+    samples = blocks.join(parts, "mix", "left").select(
+        "mix", F.floor(c("start") / block_size).alias("block"), mine, "track", F.lit(1).alias("kind"),
+        c("start").cast("bigint").alias("start"), c("values").cast("array<double>").alias("values"),
     )
-    part = F.slice(
-        c("values"), (c("_from") - c("start") + 1).cast("int"),
-        (c("_to") - c("_from") + 1).cast("int"),
+    both = pieces.unionByName(samples, allowMissingColumns=True).repartition(*place)
+    kinds = {f.name: f.dataType.simpleString() for f in both.schema.fields}
+    sides = "left array<double>, right array<double>"
+    by_part = both.sortWithinPartitions(*place, "track", "kind").mapInArrow(
+        weighted_sums(block_size, float(rate), 3),
+        ", ".join(f"{x} {kinds[x]}" for x in place) + f", {sides}",
     )
-    rows = cut.select(
-        "mix", "slider", "l", "r", "t0", "g0", "t1", "g1", "easing", "_from",
-        F.posexplode(part).alias("pos", "value"),
-    ).withColumn("frame", c("_from") + c("pos"))
-    envelope = envelope_value(
-        c("frame") / F.lit(float(rate)), c("t0"), c("g0"), c("t1"), c("g1"), c("easing")
+    whole = by_part.drop("part").repartition("mix", "block").sortWithinPartitions("mix", "block").mapInArrow(
+        added_sums(block_size, 2), f"mix {kinds['mix']}, block {kinds['block']}, {sides}",
     )
-    gain = F.when(c("easing") == "slider", c("slider")).otherwise(envelope)
     m = F.lit(float(master))
-    weighted = rows.select("mix", "frame", (c("value") * gain).alias("v"), "l", "r")
-    return weighted.groupBy("mix", "frame").agg(
-        (F.sum(c("v") * c("l")) * m).alias("left_value"),
-        (F.sum(c("v") * c("r")) * m).alias("right_value"),
+    rows = whole.select("mix", "block", F.posexplode(F.arrays_zip("left", "right")).alias("_pos", "_v"))
+    return rows.where(c("_v.left").isNotNull()).select(
+        "mix", (c("block") * block_size + c("_pos")).alias("frame"),
+        (c("_v.left") * m).alias("left_value"), (c("_v.right") * m).alias("right_value"),
     )
 
 
+def _parts(tracks: DataFrame) -> DataFrame:
+    """Into how many parts a mix of many tracks is placed. Few rows whatever the data: one
+    in TRACKS_IN_PART tracks at most, so they are broadcast."""
+    counts = tracks.groupBy("mix").agg(F.count(F.lit(1)).alias("_tracks"))
+    many = counts.where(c("_tracks") > TRACKS_IN_PART)
+    return F.broadcast(many.select("mix", F.ceil(c("_tracks") / TRACKS_IN_PART).alias("_parts")))
+
+
 def compact_state(placed: DataFrame, keys) -> DataFrame:
     """Per pair on-bit, gain and spread as integers, from the left track: one row per pair.
 

@@ -93,9 +93,9 @@ SAMPLES_SQL = """samples as (select label as mix, vec_id as track, i - 1 as fram
 
 
 def track_keyframes(t):
-    """Keyframes of the odd tracks on a grid of 1/720 of four seconds, not yet normal."""
+    """Keyframes of the tracks on a grid of 1/720 of four seconds, not yet normal."""
     quarter = F.floor(micros() / (HOUR // 4)).cast("double")
-    rows = t.events.where(c("user_id") % 2 == 1).select(
+    rows = t.events.select(
         c("user_id").alias("track"), (quarter / 720.0).alias("time"),
         (c("value") / 100).alias("gain"),
         F.when(c("event_type") == "error", "hold").otherwise("linear").alias("easing"),
@@ -109,7 +109,7 @@ TRACK_KF_SQL = f"""traw as (select user_id as track,
         ((epoch_us(ts) - {START}) // {HOUR // 4})::double / 720.0::double as time,
         value / 100 as gain,
         case event_type when 'error' then 'hold' else 'linear' end as easing,
-        event_id as ord, 0 as pushed from events where user_id % 2 = 1),
+        event_id as ord, 0 as pushed from events),
     {settle_sql('traw', 'tk', 'track')}"""
 
 

@@ -115,7 +115,7 @@ def _(t):
 
 PROBES_SQL = f"""probes as (select event_id, user_id as series, event_type,
         (epoch_us(ts) - {START}) / {HOUR}.0::double - 24 as at
-        from events where event_type in ('view', 'click')),
+        from events),
     firsts as (select series, min(time) as ft, arg_min(gain, time) as fg, max(time) as lt
         from nk group by series),
     seg as (select series, time as t0, gain as g0, lead(time) over w as t1, lead(gain) over w as g1,
@@ -131,7 +131,7 @@ PROBES_SQL = f"""probes as (select event_id, user_id as series, event_type,
 
 
 def probes(t):
-    return t.events.where(c("event_type").isin("view", "click")).select(
+    return t.events.select(
         "event_id", c("user_id").alias("series"), (micros() / float(HOUR) - 24).alias("at")
     )
 
@@ -345,11 +345,9 @@ def _(t):
 
 @query(
     "stale_keys",
-    """select distinct user_id as series from events where ts >= timestamp '2024-01-20'
-    except select distinct user_id from events where ts < timestamp '2024-01-01 18:00:00'""",
+    """select distinct o_custkey as series from orders
+    except select distinct user_id from events""",
 )
 def _(t):
-    rows = t.events.select(c("user_id").alias("series"), "ts")
-    late = rows.where(c("ts") >= F.lit("2024-01-20").cast("timestamp_ntz"))
-    early = rows.where(c("ts") < F.lit("2024-01-01 18:00:00").cast("timestamp_ntz"))
-    return K.stale_keys(late, early, "series")
+    current = t.orders.select(c("o_custkey").alias("series"))
+    return K.stale_keys(current, t.events.select(c("user_id").alias("series")), "series")

@@ -81,17 +81,15 @@ def _(t):
 @query(
     "stereo_join",
     f"""with {SAMPLES_SQL},
-    l as (select track // 2 as pair, frame, value from samples where track % 2 = 0 and track % 10 <> 4),
-    r as (select track // 2 as pair, frame, value from samples where track % 2 = 1 and frame < 48)
+    l as (select track // 2 as pair, frame, value from samples where track % 2 = 0),
+    r as (select track // 2 as pair, frame, value from samples where track % 2 = 1)
     select coalesce(l.pair, r.pair) as pair, coalesce(l.frame, r.frame) as frame,
         coalesce(l.value, 0.0) as left_value, coalesce(r.value, 0.0) as right_value
     from l full join r on l.pair = r.pair and l.frame = r.frame""",
 )
 def _(t):
     rows = L.sample_rows(blocks(t), "track").withColumn("pair", F.floor(c("track") / 2))
-    left = rows.where("track % 2 = 0 and track % 10 <> 4")
-    right = rows.where("track % 2 = 1 and frame < 48")
-    return M.stereo_join(left, right)
+    return M.stereo_join(rows.where("track % 2 = 0"), rows.where("track % 2 = 1"))
 
 
 @query(
@@ -241,23 +239,17 @@ def mixdown(t):
     "mixdown_sliders",
     f"""with {TRACKS_SQL}, {SAMPLES_SQL},
     gate as (select *, case when bool_or(solo) over (partition by mix) then solo else not muted end
-        as on_air from tracks where track % 5 = 0 or track % 3 = 1)
+        as on_air from tracks)
     select s.mix, s.frame,
         floor(sum(case when on_air then value * gain * cos((pan + 1.0) / 2.0 * (pi() / 2.0))
             else 0 end) * 1e6 + 0.5) / 1e6 as left_value,
         floor(sum(case when on_air then value * gain * sin((pan + 1.0) / 2.0 * (pi() / 2.0))
             else 0 end) * 1e6 + 0.5) / 1e6 as right_value
-    from samples s join gate g on s.mix = g.mix and s.track = g.track
-    where s.track % 5 = 0 or s.frame < 40 group by s.mix, s.frame""",
+    from samples s join gate g on s.mix = g.mix and s.track = g.track group by s.mix, s.frame""",
 )
 def _(t):
-    """Lengths from the blocks: only the muted tracks (every fifth) run past frame 40."""
-    chosen = tracks(t).where("track % 5 = 0 or track % 3 = 1")
-    values = F.when(c("track") % 5 == 0, c("values")).otherwise(
-        F.slice("values", F.lit(1), F.greatest(F.lit(0), F.least(F.lit(BLOCK), 40 - c("start"))).cast("int"))
-    )
-    rows = blocks(t).withColumn("values", values)
-    out = M.mixdown(rows, chosen, rate=RATE, block_size=BLOCK)
+    """No keyframes; lengths are read from the blocks."""
+    out = M.mixdown(blocks(t), tracks(t), rate=RATE, block_size=BLOCK)
     return out.select(
         "mix", "frame", fixed(c("left_value")).alias("left_value"),
         fixed(c("right_value")).alias("right_value"),

@@ -339,9 +339,9 @@ def _(t):
 
 @query(
     "single_selected",
-    f"""with {SELECT_SQL} select pair as sel_id, min(idx) as idx from sel where idx % 7 = 3
-    group by pair having count(*) = 1""",
+    f"""with {SELECT_SQL} select pair * 7 + idx % 7 as sel_id, min(idx) as idx from sel
+    group by pair, idx % 7 having count(*) = 1""",
 )
 def _(t):
-    rows = selected(t).where("idx % 7 = 3").withColumn("sel_id", c("pair"))
+    rows = selected(t).withColumn("sel_id", c("pair") * 7 + c("idx") % 7)
     return S.single_selected(rows, "sel_id").select("sel_id", "idx")
