@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from timelane.operators import gates as G
 from timelane.operators import history as H
 from timelane.operators import keyframes as K
-from timelane.streaming import operators as O
 
 c = F.col
 
@@ -159,77 +158,3 @@ def test_envelope_examples(spark):
         ("p", 19.999, 0.5, True), ("p", 20.0, 0.8, True), ("p", 30.0, 0.2, True),
         ("p", 999.0, 0.2, False), ("q", 0.0, 0.7, False), ("q", 5.0, 0.7, True), ("q", 9.0, 0.7, False)]
     assert [(r.envelope, r.inside) for r in got if r.k == "none"] == [(None, False)]
-
-
-# Streams
-
-
-def drip(spark, tmp_path, rows, schema, files):
-    """A file stream that reads one file a batch, in order."""
-    folder = tmp_path / "in"
-    step = -(-len(rows) // files)
-    for i in range(files):
-        part = spark.createDataFrame(rows[i * step:(i + 1) * step], schema)
-        part.coalesce(1).write.mode("append").parquet(str(folder))
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
-
-
-def collected(stream, name, mode="append"):
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).start()
-    q.processAllAvailable()
-    q.stop()
-    return stream.sparkSession.table(name).collect()
-
-
-def test_stream_folds_equal_batch(spark, tmp_path):
-    rows = frames(300, 21)
-    stream = drip(spark, tmp_path, rows, FRAME, 3)
-    held = O.stream_fold(stream, "series", ["ts_ms", "ord"], G.peak_hold_step(), "hold double")
-    want = by_key(rows, G.peak_hold_step())
-    assert {(r.series, r.ord, r.hold) for r in collected(held, "held")} == set(
-        zip(want.series, want.ord, want.hold))
-    passed = O.stream_fold(stream, "series", ["ts_ms", "ord"], G.throttle_step())
-    want = by_key(rows, G.throttle_step())
-    assert {(r.series, r.ord) for r in collected(passed, "passed")} == set(zip(want.series, want.ord))
-
-
-def test_stream_coalesce_equals_batch(spark, tmp_path):
-    rows = push_log(200, 8)
-    end = max(r[1] for r in rows)
-    # A last edit per mix far ahead closes everything before it.
-    rows = rows + [(m, end + 10_000_000, 10_000 + m, None, "end", "end") for m in range(3)]
-    stream = drip(spark, tmp_path, rows, LOG, 4).withColumn("ts", F.timestamp_millis("ts_ms"))
-    got = collected(O.stream_coalesce(stream, "mix", delay="0 seconds"), "merged")
-    got = sorted(((r.mix, r.state, r.label, r.edit_key, r.pushed_ms, r.first_ord, r.merged)
-                  for r in got if r.state != "end"), key=lambda r: (r[0], r[5]))
-    assert got == [r for r in coalesced(rows) if r[1] != "end"]
-
-
-def test_stream_progress_and_latest(spark, tmp_path):
-    rows = [("j", 1, 0, "a", 1, 4), ("j", 2, 1, "b", 0, 0), ("j", 3, 2, "a", 4, 4), ("k", 4, 3, "a", 2, 3),
-            ("j", 5, 4, "b", 1, 0), ("k", 6, 5, "a", 1, 3)]
-    schema = "job string, ts_ms bigint, ord bigint, stem string, blocks_done bigint, blocks bigint"
-    stream = drip(spark, tmp_path, rows, schema, 3)
-    got = collected(O.stream_progress(stream, "job"), "progress", "update")
-    assert max((r.done, r.total) for r in got if r.job == "j") == (5, 5)
-    assert [(r.done, r.total) for r in got if r.job == "k"][-1] == (2, 3)
-    timed = stream.withColumn("ts", F.timestamp_millis("ts_ms"))
-    last = collected(O.stream_latest(timed, "job"), "latest", "complete")
-    assert {(r.job, r.ord) for r in last} == {("j", 4), ("k", 5)}
-
-
-def test_stream_dedupe_and_retention(spark, tmp_path):
-    rows = [("a", "o", 1), ("b", "o", 2), ("a", "o", 3), ("c", "o", 4), ("d", "p", 5), ("e", "o", 6)]
-    schema = "id string, owner string, created bigint"
-    stream = drip(spark, tmp_path, rows, schema, 3)
-    timed = stream.withColumn("ts", F.timestamp_seconds("created"))
-    got = collected(O.stream_dedupe(timed, "id"), "once")
-    assert sorted((r.id, r.created) for r in got) == [("a", 1), ("b", 2), ("c", 4), ("d", 5), ("e", 6)]
-    out = str(tmp_path / "kept")
-    writer = O.retention_writer(out, "id", "owner", "created", "id", keep=2)
-    q = (stream.writeStream.foreachBatch(writer)
-         .option("checkpointLocation", str(tmp_path / "cp")).start())
-    q.processAllAvailable()
-    q.stop()
-    kept = spark.read.parquet(out + "/batch=2").collect()
-    assert sorted((r.owner, r.id) for r in kept) == [("o", "c"), ("o", "e"), ("p", "d")]

@@ -1,26 +1,25 @@
 """Streaming forms. Each takes a stream with an event time column ``ts`` (timestamp).
 
-Every operator sets its own watermark; rows later than the delay are dropped by Spark and
-counted in the query progress. State is per key and bounded: folds keep one small value,
-windows and duplicates are forgotten behind the watermark.
+Every operator sets its own watermark. Rows behind that of the micro-batch before are dropped and
+counted by Spark (``runner.late_rows``); rows within it may come in any order. State is per key and bounded:
+rows wait no longer than the watermark's delay, and what folds, jobs and latest rows
+remember goes when the watermark is past it or the key was idle.
 """
 
 from __future__ import annotations
 
-import json
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StringType, StructField, StructType, LongType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from timelane.operators.gates import level_by_time
-from timelane.operators.sessions import upsert_sessions
+from timelane.streaming.reorder import AT, InOrder
 
 c = F.col
 DELAY = "10 minutes"
-_TEXT = StructType([StructField("v", StringType())])
+IDLE = "1 day"
 
 
 def _keys(keys) -> list[str]:
@@ -47,12 +46,68 @@ def stream_debounce(stream: DataFrame, keys, quiet: str, delay: str = DELAY) ->
     )
 
 
-def stream_latest(stream: DataFrame, keys) -> DataFrame:
-    """Latest row per key; run it in update mode."""
-    keys = _keys(keys)
-    rest = [x for x in stream.columns if x not in keys]
-    best = F.max_by(F.struct(*rest), F.struct("ts", "ord")).alias("_r")
-    return stream.groupBy(*keys).agg(best).select(*keys, "_r.*")
+class _Latest(StatefulProcessor):
+    """The newest row of each key, remembered until the watermark is past it: whatever comes
+    later is newer."""
+
+    def __init__(self, names):
+        self.names = names
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.newest = handle.getValueState("newest", "at bigint, ord bigint")
+
+    def handleInputRows(self, key, rows, timerValues):
+        pdf = pd.concat(list(rows)).sort_values([AT, "ord"], kind="stable")
+        last = pdf.iloc[-1:]
+        place = (int(last[AT].iloc[0]), int(last["ord"].iloc[0]))
+        if self.newest.exists() and place <= tuple(self.newest.get()):
+            return
+        self.newest.update(place)
+        for timer in self.handle.listTimers():
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(max(-(-place[0] // 1000), timerValues.getCurrentWatermarkInMs() + 1))
+        yield last[self.names]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.newest.clear()
+        yield from ()
+
+    def close(self) -> None:
+        pass
+
+
+def _timed(stream: DataFrame, delay: str) -> DataFrame:
+    """With the watermark, and the time in microseconds for processors. The time itself stays in the
+    plan for Spark to find late rows; pandas sees the number only."""
+    return stream.withColumn(AT, F.unix_micros("ts")).withWatermark("ts", delay)
+
+
+def _run_processor(stream: DataFrame, keys, processor, schema: StructType, delay: str, mode: str) -> DataFrame:
+    return _timed(stream, delay).groupBy(*_keys(keys)).transformWithStateInPandas(
+        processor, schema, mode, "EventTime")
+
+
+def _fields(stream: DataFrame, added: str = "") -> StructType:
+    """What processors give back: all columns but ``ts``, which is ``event_us`` microseconds."""
+    kept = [f for f in stream.schema.fields if f.name != "ts"]
+    more = StructType.fromDDL(added).fields if added else []
+    return StructType([*kept, StructField(AT, LongType()), *more])
+
+
+def _with_time(rows: DataFrame, columns: list[str]) -> DataFrame:
+    return rows.withColumn("ts", F.timestamp_micros(AT)).select(*columns)
+
+
+def stream_latest(stream: DataFrame, keys, delay: str = DELAY) -> DataFrame:
+    """The latest row per key by (``ts``, ``ord``), given whenever it changes; run it in update
+    mode into a sink that replaces by key (``runner.run_upserts``).
+
+    A key is remembered until the watermark is past its newest row, which changes nothing.
+    """
+    schema = _fields(stream)
+    rows = _run_processor(stream, keys, _Latest(schema.names), schema, delay, "Update")
+    return _with_time(rows, stream.columns)
 
 
 def stream_dedupe(stream: DataFrame, keys, delay: str = DELAY) -> DataFrame:
@@ -60,74 +115,62 @@ def stream_dedupe(stream: DataFrame, keys, delay: str = DELAY) -> DataFrame:
     return stream.withWatermark("ts", delay).dropDuplicatesWithinWatermark(_keys(keys))
 
 
-class _Fold(StatefulProcessor):
-    """Runs a batch step over the rows of each micro-batch, carrying its state."""
+class _Fold(InOrder):
+    """Runs a batch step over the rows of each key in order, carrying its state."""
 
-    def __init__(self, step, order, names):
-        self.step, self.order, self.names = step, order, names
+    def __init__(self, step, order, idle, names):
+        super().__init__(order, idle)
+        self.step, self.names = step, names
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("fold", _TEXT)
+    def take(self, key, memory, rows):
+        memory, out = self.step(memory, rows)
+        return memory, out[self.names]
 
-    def handleInputRows(self, key, rows, timerValues):
-        pdf = pd.concat(list(rows)).sort_values(self.order, kind="stable")
-        saved, newest = (None, None)
-        if self.state.exists():
-            saved, newest = json.loads(self.state.get()[0])
-        if newest is not None:
-            # A fold cannot be undone: rows before its last one come too late.
-            place = pdf[self.order[0]]
-            pdf = pdf[place >= newest]
-        if pdf.empty:
-            return
-        saved, out = self.step(saved, pdf)
-        self.state.update((json.dumps([saved, pdf[self.order[0]].iloc[-1].item()]),))
-        if len(out):
-            yield out[self.names]
 
-    def close(self) -> None:
-        pass
+def stream_fold(
+    stream: DataFrame, keys, order, step, added: str = "", delay: str = DELAY, idle: str | None = IDLE
+) -> DataFrame:
+    """A step of ``timelane.operators.gates`` or ``history`` on a stream, as if its rows came sorted
+    by ``ts`` and ``order``.
 
+    Rows wait for the watermark, so any order within ``delay`` gives the batch result. A key
+    without rows for longer than ``idle`` starts anew; None remembers it for ever. Needs the
+    RocksDB state store (``timelane.session.build_session`` and the runner set it).
+    """
+    schema = _fields(stream, added)
+    fold = _Fold(step, list(order), None if idle is None else _micros(stream, idle), schema.names)
+    rows = _run_processor(stream, keys, fold, schema, delay, "Append")
+    return _with_time(rows, [*stream.columns, *schema.names[len(stream.columns):]])
 
-def stream_fold(stream: DataFrame, keys, order, step, added: str = "") -> DataFrame:
-    """A step of ``timelane.operators.gates`` or ``history`` on a stream.
 
-    The first order column must be a number, such as milliseconds. Needs the RocksDB state
-    store (``timelane.session.build_session`` sets it).
-    """
-    fields = stream.schema.fields + (StructType.fromDDL(added).fields if added else [])
-    schema = StructType(fields)
-    return stream.groupBy(*_keys(keys)).transformWithStateInPandas(
-        _Fold(step, list(order), schema.names), schema, "Append", "None"
-    )
+def _micros(stream: DataFrame, duration: str) -> int:
+    """Microseconds of an interval such as ``1 day``."""
+    made = stream.sparkSession.sql(f"select unix_micros(timestamp_seconds(0) + interval {duration})")
+    return made.first()[0]
 
 
 COALESCED = "state string, label string, edit_key string, pushed_ms bigint, first_ord bigint, merged bigint"
 
 
-class _Coalesce(StatefulProcessor):
-    """Keeps the open entry of each key; emits it when the next one opens or time is up."""
+class _Coalesce(InOrder):
+    """Keeps the open entry of each key; it leaves when the next one opens or none can join it.
 
-    def __init__(self, keys, gap_ms, names):
-        self.keys, self.gap_ms, self.names = keys, gap_ms, names
+    Late edits wait with the others, so which edits are neighbours is decided only for
+    rows that the watermark is past.
+    """
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.open = handle.getValueState("open", _TEXT)
+    def __init__(self, gap_ms, names):
+        super().__init__(["ord"], None)
+        self.gap_ms, self.names = gap_ms, names
 
-    def _emit(self, key, entries):
-        rows = [[*key, *e] for e in entries]
-        return pd.DataFrame(rows, columns=self.names)
+    def _rows(self, key, entries):
+        return pd.DataFrame([[*key, *e] for e in entries], columns=self.names)
 
-    def handleInputRows(self, key, rows, timerValues):
-        pdf = pd.concat(list(rows)).sort_values(["ts_ms", "ord"], kind="stable")
-        entry = json.loads(self.open.get()[0]) if self.open.exists() else None
+    def take(self, key, entry, rows):
         done = []
         fields = ("ts_ms", "ord", "edit_key", "label", "state")
-        for ts, ord_, edit_key, label, state in zip(*[pdf[f].tolist() for f in fields]):
+        for ts, ord_, edit_key, label, state in zip(*[rows[f].tolist() for f in fields]):
             edit_key = edit_key if isinstance(edit_key, str) else None
-            if entry is not None and ts < entry[3]:
-                continue  # older than the open entry: too late to merge or insert
             same = entry is not None and edit_key is not None and entry[2] == edit_key
             if same and ts - entry[3] <= self.gap_ms:
                 entry[1], entry[3], entry[5] = label, int(ts), entry[5] + 1
@@ -135,22 +178,15 @@ class _Coalesce(StatefulProcessor):
             if entry is not None:
                 done.append(entry)
             entry = [state, label, edit_key, int(ts), int(ord_), 1]
-        if entry is not None:
-            self.open.update((json.dumps(entry),))
-            for timer in self.handle.listTimers():
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer(entry[3] + self.gap_ms + 1)
-        if done:
-            yield self._emit(key, done)
+        return entry, self._rows(key, done) if done else None
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        if self.open.exists():
-            entry = json.loads(self.open.get()[0])
-            self.open.clear()
-            yield self._emit(key, [entry])
+    def rest(self, key, entry, watermark):
+        if entry is None or self.wakes(entry) > watermark:
+            return entry, None
+        return None, self._rows(key, [entry])
 
-    def close(self) -> None:
-        pass
+    def wakes(self, entry):
+        return None if entry is None else (entry[3] + self.gap_ms + 1) * 1000
 
 
 def stream_coalesce(stream: DataFrame, keys, gap_ms: int = 500, delay: str = DELAY) -> DataFrame:
@@ -163,66 +199,73 @@ def stream_coalesce(stream: DataFrame, keys, gap_ms: int = 500, delay: str = DEL
     by_key = [f for f in stream.schema.fields if f.name in keys]
     by_key.sort(key=lambda f: keys.index(f.name))
     schema = StructType(by_key + StructType.fromDDL(COALESCED).fields)
-    return (
-        stream.withWatermark("ts", delay).groupBy(*keys)
-        .transformWithStateInPandas(
-            _Coalesce(keys, gap_ms, schema.names), schema, "Append", "EventTime"
-        )
-    )
+    return _run_processor(stream, keys, _Coalesce(gap_ms, schema.names), schema, delay, "Append")
 
 
 class _Progress(StatefulProcessor):
-    """Blocks done of all blocks of a job; one map entry per stem, running totals."""
+    """Blocks done of all blocks of a job; one map entry per stem, running totals.
 
-    def __init__(self, names):
-        self.names = names
+    A finished job keeps one row, without stems, until the watermark is past its last
+    event, so that rows still on their way do not open it again; a job without events for ``idle``
+    is given up.
+    """
+
+    def __init__(self, idle: int, names):
+        self.idle, self.names = idle, names
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         stem = StructType([StructField("stem", StringType())])
         pair = StructType([StructField("done", LongType()), StructField("total", LongType())])
         self.stems = handle.getMapState("stems", stem, pair)
-        self.sums = handle.getValueState("sums", pair)
+        self.sums = handle.getValueState("sums", "done bigint, total bigint, known bigint, last bigint, finished boolean")
 
     def handleInputRows(self, key, rows, timerValues):
-        done, total = self.sums.get() if self.sums.exists() else (0, 0)
-        pdf = pd.concat(list(rows)).sort_values(["ts_ms", "ord"], kind="stable")
-        fields = ("stem", "blocks_done", "blocks")
-        for stem, now, blocks in zip(*[pdf[f].tolist() for f in fields]):
+        saved = self.sums.get() if self.sums.exists() else (0, 0, 0, 0, False)
+        done, total, known, last, finished = saved
+        if finished:
+            return
+        pdf = pd.concat(list(rows)).sort_values([AT, "ord"], kind="stable")
+        fields = ("stem", "blocks_done", "blocks", "stems", AT)
+        for stem, now, blocks, stems, at in zip(*[pdf[f].tolist() for f in fields]):
             name, whole = (str(stem),), max(int(blocks), 1)
-            before = self.stems.getValue(name) if self.stems.containsKey(name) else (0, 0)
+            held = self.stems.containsKey(name)
+            before = self.stems.getValue(name) if held else (0, 0)
             after = (min(max(int(now), before[0]), whole), whole)
             done, total = done + after[0] - before[0], total + after[1] - before[1]
+            known, last = known + (not held), max(last, int(at))
             self.stems.updateValue(name, after)
-        self.sums.update((done, total))
-        yield pd.DataFrame([[*key, done, total]], columns=self.names)
+            finished = known >= int(stems) and done == total
+        if finished:
+            self.stems.clear()
+        self.sums.update((done, total, known, last, finished))
+        self._wake((last if finished else last + self.idle) // 1000, timerValues)
+        yield pd.DataFrame([[*key, done, total, bool(finished), last]], columns=self.names)
+
+    def _wake(self, at: int, timerValues) -> None:
+        for timer in self.handle.listTimers():
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(max(at, timerValues.getCurrentWatermarkInMs()) + 1)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.stems.clear()
+        self.sums.clear()
+        yield from ()
 
     def close(self) -> None:
         pass
 
 
-def stream_progress(stream: DataFrame, job: str) -> DataFrame:
-    """Running progress per job; rows: job, ts_ms, ord, stem, blocks_done, blocks."""
-    field = stream.schema[job]
-    schema = StructType([field, *StructType.fromDDL("done bigint, total bigint").fields])
-    return stream.groupBy(job).transformWithStateInPandas(
-        _Progress(schema.names), schema, "Update", "None"
-    )
-
-
-def retention_writer(path: str, key: str, owner, created: str, ord: str, keep: int):
-    """``foreachBatch`` function: put the batch, keep the newest of each owner.
+def stream_progress(stream: DataFrame, job: str, delay: str = DELAY, idle: str = IDLE) -> DataFrame:
+    """Running progress per job: ``done`` and ``total`` blocks, ``finished`` and ``last_us`` (its last
+    event), given with every micro-batch that has rows of the job; run it in update mode.
 
-    Every batch writes the folder of its own number from that of the batch before, so a
-    repeated batch gives the same folder again.
+    Rows: job, ``ts``, ``ord``, ``stem``, ``blocks_done`` of ``blocks``, and ``stems`` (how many
+    the job has). A stem never goes back, so order does not matter. See :class:`_Progress` for
+    when a job is forgotten.
     """
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        current = (
-            spark.read.schema(batch.schema).parquet(f"{path}/batch={batch_id - 1}")
-            if batch_id > 0 else batch.limit(0)
-        )
-        kept = upsert_sessions(current, batch, key, owner, created, ord, keep)
-        kept.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-
-    return write
+    field = stream.schema[job]
+    results = StructType.fromDDL("done bigint, total bigint, finished boolean, last_us bigint")
+    schema = StructType([field, *results.fields])
+    progress = _Progress(_micros(stream, idle), schema.names)
+    return _run_processor(stream, job, progress, schema, delay, "Update")

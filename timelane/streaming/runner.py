@@ -5,8 +5,10 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from timelane.session import ensure_checkpoint_dir
+from timelane.session import ROCKSDB, STATE_STORE, ensure_checkpoint_dir
+from timelane.streaming.retention import read_retained, retention_writer
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -16,14 +18,57 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
+def _run(spark: SparkSession, writer):
+    """Start with the state store that processors need, and wait for the end of the input."""
+    before = spark.conf.get(STATE_STORE, None)
+    spark.conf.set(STATE_STORE, ROCKSDB)
+    try:
+        running = writer.trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(STATE_STORE, before) if before else spark.conf.unset(STATE_STORE)
+    running.awaitTermination()
+    return running
+
+
 def run_available(stream: DataFrame, name: str) -> DataFrame:
     """Append-mode run to the end of the input; the emitted rows as a table."""
     spark = stream.sparkSession
     folder = shared_folder(spark, name)
-    running = (
+    _run(spark, (
         stream.writeStream.format("parquet").outputMode("append")
         .option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/progress")
-        .trigger(availableNow=True).start()
-    )
-    running.awaitTermination()
+    ))
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
+
+
+def run_upserts(stream: DataFrame, name: str, key, created: str, ord: str, keep: int = 1, owner=None) -> DataFrame:
+    """Update-mode run to the end of the input: each emitted row replaces what its ``key`` had, and
+    the newest ``keep`` rows of each ``owner`` (the key itself unless told otherwise) stay."""
+    spark = stream.sparkSession
+    folder = shared_folder(spark, name)
+    write = retention_writer(f"{folder}/table", key, owner or key, created, ord, keep)
+    _run(spark, (
+        stream.writeStream.foreachBatch(write).outputMode("update")
+        .option("checkpointLocation", f"{folder}/progress")
+    ))
+    return read_retained(spark, f"{folder}/table", stream.schema)
+
+
+def late_rows(running) -> int:
+    """Rows that a finished or running query dropped because they lay behind the watermark."""
+    return sum(
+        op["numRowsDroppedByWatermark"] for p in running.recentProgress for op in p["stateOperators"]
+    )
+
+
+def dripped(df: DataFrame, slice_of: F.Column, slices: int, name: str) -> DataFrame:
+    """``df`` as a stream of ``slices`` micro-batches; ``slice_of`` numbers the slice of a row from 0.
+
+    One file a slice, written in turn, as files are read in the order of their times.
+    """
+    spark = df.sparkSession
+    folder = shared_folder(spark, name)
+    marked = df.withColumn("_slice", slice_of.cast("int"))
+    for i in range(slices):
+        marked.where(F.col("_slice") == i).drop("_slice").coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
