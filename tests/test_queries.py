@@ -9,7 +9,7 @@ from timelane.session import HOT_ROWS
 # Queries whose rows are ordered inside a key; they run again with keys cut into pieces.
 ORDERED = [
     "normalize_keyframes", "segments", "fill_hold", "envelope_at", "coalesce_edits_two_logs",
-    "prefix_offsets", "block_ranges", "sort_entries", "last_transport", "debounce",
+    "prefix_offsets", "block_ranges", "last_transport", "debounce", "undo_redo", "throttle", "peak_hold",
 ]
 
 

@@ -2,7 +2,8 @@
 
 Keys that fit a task are streamed through it in order. A larger key is cut along its order and the
 pieces run in parallel: every piece first assumes the state its predecessor ended with in
-the round before, and only the pieces whose assumption was wrong run again. When a round
+the round before, and only the pieces whose assumption was wrong run again, with no rows but
+theirs moved. When a round
 changes nothing, every piece started from its true state, so the result is that of the
 plain fold. Folds that forget (holds, gates, capped stacks) settle in about two rounds;
 a fold that never forgets needs as many rounds as there are pieces and stays exact.
@@ -97,6 +98,14 @@ def _beside(rows: DataFrame, states: DataFrame, by):
     return rows.groupBy(*by).cogroup(named.groupBy(*[f"_p_{n}" for n in by]))
 
 
+def _rows_of(rows: DataFrame, pieces: DataFrame, by) -> DataFrame:
+    """The rows of ``pieces``, picked where they lie: there are at most about 40,000 pieces, so
+    their keys are broadcast and no other row is exchanged."""
+    named = F.broadcast(pieces.select(*[c(n).alias(f"_q_{n}") for n in by]))
+    same = [c(n).eqNullSafe(c(f"_q_{n}")) for n in by]
+    return rows.join(named, reduce(lambda a, b: a & b, same), "left_semi")
+
+
 def _entry_states(chunked: DataFrame, keys, order, step) -> DataFrame:
     """The state each piece of a large key starts from."""
     ensure_checkpoint_dir(chunked.sparkSession)
@@ -118,7 +127,7 @@ def _entry_states(chunked: DataFrame, keys, order, step) -> DataFrame:
         return pd.DataFrame({**first, "_entry": [text], "_exit": [json.dumps(state)]})
 
     def ends(wanted: DataFrame) -> DataFrame:
-        return _beside(hot, wanted, by).applyInPandas(run, states)
+        return _beside(_rows_of(hot, wanted, by), wanted, by).applyInPandas(run, states)
 
     pieces = hot.select(*by).distinct().withColumn("_entry", F.lit("null"))
     known = ends(pieces).checkpoint()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,14 +46,17 @@ def throttle_step(gap_ms: int = THROTTLE_MS):
     """Rows at least ``gap_ms`` after the last passed one, or ``forced``; needs ``ts_ms``."""
 
     def step(state, rows: pd.DataFrame):
-        last, keep = state, []
-        forced = rows["forced"].tolist() if "forced" in rows else [False] * len(rows)
-        for now, must in zip(rows["ts_ms"].tolist(), forced):
-            passed = bool(must) or last is None or now - last >= gap_ms
-            if passed:
-                last = now
-            keep.append(passed)
-        return last, rows[pd.Series(keep, index=rows.index, dtype=bool)]
+        times = rows["ts_ms"].to_numpy()
+        forced = rows["forced"].to_numpy(bool) if "forced" in rows else np.zeros(len(rows), bool)
+        musts = [*np.flatnonzero(forced).tolist(), len(rows)]
+        keep, last, must = np.zeros(len(rows), bool), state, 0
+        # From one passed row to the next: the first one late enough, or a forced one before it.
+        at = 0 if last is None else int(np.searchsorted(times, last + gap_ms))
+        while (at := min(at, musts[must])) < len(rows):
+            keep[at], last = True, times[at].item()
+            must += at == musts[must]
+            at = max(at + 1, int(np.searchsorted(times, last + gap_ms)))
+        return last, rows[keep]
 
     return step
 

@@ -56,3 +56,29 @@ def window_hash_search(
         .groupBy(scan_key, target_key)
         .agg(F.min("offset").alias("first_offset"), F.count(F.lit(1)).alias("windows"))
     )
+
+
+def shared_windows(
+    scanned: DataFrame, targets: DataFrame, *, scan_key: str, target_key: str,
+    scan_text: str = "text", target_text: str = "text", width: int = WIDTH, stride: int = STRIDE,
+) -> tuple[DataFrame, DataFrame]:
+    """The windows that occur on both sides, each once, and which texts hold which.
+
+    Classes: ``window``, ``scans`` and ``targets`` (how many texts of each side), ``first_scan`` and
+    ``first_target`` (their least keys). Members: the scan key, ``window`` and the ``offset`` of its
+    first place there. :func:`window_hash_search` gives the pairs of both; where very many texts
+    share a window these two stay as long as the texts, and pairs of interest are joined from them.
+    """
+    wanted = windows(targets, target_key, target_text, width, 1).groupBy("hash", "window").agg(
+        F.countDistinct(target_key).alias("targets"), F.min(target_key).alias("first_target"))
+    scan = windows(scanned, scan_key, scan_text, width, stride)
+    hashes = wanted.select("hash").distinct()
+    if hashes.limit(MOST_HASHES + 1).count() <= MOST_HASHES:
+        scan = scan.join(F.broadcast(hashes), "hash", "left_semi")
+    held = scan.groupBy(scan_key, "hash", "window").agg(F.min("offset").alias("offset"))
+    members = held.join(wanted.select("hash", "window"), ["hash", "window"], "left_semi")
+    found = members.groupBy("hash", "window").agg(
+        F.count(F.lit(1)).alias("scans"), F.min(scan_key).alias("first_scan"))
+    classes = found.join(wanted, ["hash", "window"]).select(
+        "window", "scans", "targets", "first_scan", "first_target")
+    return classes, members.select(scan_key, "window", "offset")

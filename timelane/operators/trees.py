@@ -1,11 +1,14 @@
 """Directory trees stored as index ranges, and archives inside archives.
 
-The driver only counts levels; every level is one join over all files.
+A tree is walked in the task that holds its table of contents; the driver only counts how
+deep archives lie inside each other.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from timelane.functions import scalars as S
@@ -59,32 +62,54 @@ def directory_faults(toc: DataFrame, keys) -> DataFrame:
 def directory_paths(toc: DataFrame, keys) -> DataFrame:
     """``toc`` with the lower-cased inner path; entries no directory names keep ''.
 
-    One join per tree level. An entry gets its path on the first level that names it (of two
-    directories there, from the greater path), so overlapping ranges and cycles end; they are
-    rows of :func:`directory_faults`.
+    One exchange: a table of contents was read from one file's row, so it fits a task, which
+    walks its directories level by level. An entry gets its path on the first level that
+    names it (of two directories there, from the greater path), so overlapping ranges and cycles
+    end; they are rows of :func:`directory_faults`.
     """
-    ensure_checkpoint_dir(toc.sparkSession)
-    keys = list(keys)
-    place = [*keys, "idx"]
-    names = toc.select(*place, F.lower("name").alias("name"), "kind")
-    edges = directory_edges(toc, keys).join(names, place)
-    level = toc.where((c("idx") == 0) & (c("kind") == S.DIRECTORY)).select(
-        *place, F.lit("").alias("path")
-    )
-    found = level
-    while True:
-        parents = level.select(*keys, c("idx").alias("parent"), c("path").alias("_up"))
-        here = F.when(c("_up") == "", c("name")).otherwise(F.concat_ws("/", "_up", "name"))
-        named = edges.join(parents, [*keys, "parent"]).select(*place, here.alias("path"), "kind")
-        level = (
-            named.groupBy(*place, "kind").agg(F.max("path").alias("path"))
-            .join(found.select(*place), place, "left_anti").checkpoint()
-        )
-        if level.isEmpty():
-            break
-        found = found.unionByName(level.select(*place, "path"))
-        level = level.where(c("kind") == S.DIRECTORY).select(*place, "path")
-    return toc.join(found, place, "left").withColumn("path", F.coalesce("path", F.lit("")))
+    lowered = toc.withColumn("_lower", F.lower("name"))
+    schema = toc.schema.add("path", "string")
+
+    def walk(table: pa.Table) -> pa.Table:
+        return table.drop_columns("_lower").append_column("path", pa.array(_paths(table), pa.string()))
+
+    return lowered.groupBy(*keys).applyInArrow(walk, schema)
+
+
+def _paths(table: pa.Table) -> list[str]:
+    columns = [table.column(n).to_pylist() for n in ("idx", "kind", "child_index", "child_count", "entry_count", "_lower")]
+    entries = {row[0]: row[1:] for row in zip(*columns)}
+    top = max(entries) + 2
+    after = list(range(top + 1))  # the next entry from here on that no directory named yet
+
+    def unnamed(i: int) -> int:
+        while after[i] != i:
+            after[i] = after[after[i]]
+            i = after[i]
+        return i
+
+    paths: dict[int, str] = {}
+    level = [0] if 0 in entries and entries[0][0] == S.DIRECTORY else []
+    if level:
+        paths[0], after[0] = "", 1
+    while level:
+        named = []
+        # the greatest full path first, so that what two directories name goes to it
+        for parent in sorted(level, key=lambda i: f"{paths[i]}/" if paths[i] else "", reverse=True):
+            _, first, count, entry_count, _ = entries[parent]
+            if not count or first + count > entry_count:
+                continue
+            up, end = paths[parent], min(first + count, top)
+            i = unnamed(min(first, top))
+            while i < end:
+                if i in entries:
+                    name = entries[i][4] or ""
+                    paths[i] = f"{up}/{name}" if up else name
+                    named.append(i)
+                after[i] = i + 1
+                i = unnamed(i + 1)
+        level = [i for i in named if entries[i][0] == S.DIRECTORY]
+    return [paths.get(i, "") for i in columns[0]]
 
 
 def walk_archives(files: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -168,7 +193,34 @@ def entries_by_suffix(entries: DataFrame, suffix: str) -> DataFrame:
     return entries.where((c("kind") != S.DIRECTORY) & F.lower("name").endswith(suffix))
 
 
+def _in_order(key: str, ord: str, descending: bool):
+    value = c(key) if key == "size" else F.collate(c(key), "UNICODE")
+    return [value.desc() if descending else value.asc(), F.asc(ord)]
+
+
 def sort_entries(entries: DataFrame, key: str, ord: str, descending: bool = False) -> DataFrame:
     """By size, or by name or path in the reader's alphabet; ties keep their input order."""
-    value = c(key) if key == "size" else F.collate(c(key), "UNICODE")
-    return entries.orderBy(value.desc() if descending else value.asc(), F.asc(ord))
+    return entries.orderBy(*_in_order(key, ord, descending))
+
+
+def ranked_entries(
+    entries: DataFrame, key: str, ord: str, descending: bool = False, place: str = "place"
+) -> DataFrame:
+    """``entries`` with their place from 1 in the order of :func:`sort_entries`.
+
+    Rows are exchanged by ranges of the order and numbered inside each; the number of rows in
+    the ranges before, one small row per range, is added. No task sees all rows.
+    """
+    ensure_checkpoint_dir(entries.sparkSession)
+    order = _in_order(key, ord, descending)
+    ranges = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Written once, as the numbers of a range must not change between counting and use.
+    rows = entries.repartitionByRange(ranges, *order).sortWithinPartitions(*order).withColumn(
+        "_id", F.monotonically_increasing_id()).checkpoint()
+    piece = F.call_function("shiftright", c("_id"), F.lit(33))
+    sizes = rows.groupBy(piece.alias("_piece")).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_piece").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = F.broadcast(sizes.select("_piece", before.alias("_before")))
+    inside = c("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    return rows.join(starts, piece == c("_piece")).withColumn(place, c("_before") + inside + 1).drop(
+        "_id", "_piece", "_before")

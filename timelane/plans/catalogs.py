@@ -194,7 +194,8 @@ ARCHIVE_SQL = f"""{PLACED_SQL}, leaves as (select mix as nation, idx // {PER_ARC
         union all select distinct nation, part, 1, 'directory', 'Sub', 0, 0, 0 from leaves)"""
 
 
-def archive_files(t):
+def archive_texts(t):
+    """Archives as hex, one row per file."""
     placed = members(t)
     k = c("track")
     numbered = positions(placed, "mix", "track")
@@ -231,8 +232,13 @@ def archive_files(t):
         F.array_join(F.transform("tracks", entry), ""), blob,
     )
     file = F.concat_ws("/", c("mix").cast("string"), c("part").cast("string"))
+    return parts.select(file.alias("file"), text.alias("text"))
+
+
+def archive_files(t):
+    """The bytes, made once: operators read them many times."""
     ensure_checkpoint_dir(t.spark)
-    return parts.select(file.alias("file"), F.unhex(text).alias("content")).checkpoint()
+    return archive_texts(t).select("file", F.unhex("text").alias("content")).checkpoint()
 
 
 @query(
@@ -264,6 +270,61 @@ def _(t):
     )
 
 
+# The same archives two levels deep: outer, mid.rpf, leaf.rpf. By nation the inner header is broken (1),
+# mid.rpf has a root that names itself (2), an entry that is mid.rpf itself (3) or no root (4).
+
+FAULT = "nation % 5"
+NESTED_SQL = f"""{ARCHIVE_SQL}, parts as (select distinct nation, part, nation || '/' || part as file, {FAULT} as fault
+        from leaves),
+    nested as (select file, 0 as start, 0 as idx, '' as path from parts
+        union all select file, 0, 1, 'mid.rpf' from parts
+        union all select file, 512, 0, 'mid.rpf' from parts where fault <> 4
+        union all select file, 512, 1, 'mid.rpf/leaf.rpf' from parts where fault <> 4
+        union all select parts.file, 1024, idx, 'mid.rpf/leaf.rpf' || case idx when 0 then '' when 1 then '/sub'
+            else '/sub/' || lower(name) end from toc join parts using (nation, part) where fault in (0, 2)),
+    faults as (select file, 1024 as start, 'mid.rpf/leaf.rpf' as prefix, 'version' as reason, 1024 as "offset"
+            from parts where fault = 1
+        union all select file, 512, 'mid.rpf', 'cycle', 528 from parts where fault = 2
+        union all select file, 512, 'mid.rpf', 'own_archive', 544 from parts where fault = 3
+        union all select file, 512, 'mid.rpf', 'no_root', 512 from parts where fault = 4)"""
+
+
+def _around(inner, name: str, root, sector=None):
+    """Hex of an archive of one entry ``name``, which is the archive ``inner`` behind it (hex)."""
+    size = F.floor(F.length(inner) / 2)
+    high = F.shiftleft(F.lit(1) if sector is None else sector, 8).cast("bigint")
+    entry = F.concat(little_hex(F.lit(16), 4), little_hex(high, 4), little_hex(size, 4), F.lit("00" * 4))
+    names = F.lit("00" * 16 + name.encode().hex().ljust(32, "0"))
+    head = F.concat(F.lit("37465052" + "02000000" + "20000000" + "00000000"), root, entry, names)
+    return F.concat(F.rpad(head, 1024, "0"), inner)
+
+
+def nested_files(t):
+    fault = F.split_part("file", F.lit("/"), F.lit(1)).cast("int") % 5
+    leaf = F.when(fault == 1, F.concat(F.lit("00000000"), F.substr("text", F.lit(9)))).otherwise(c("text"))
+    plain = "00000000" + "00FFFF7F" + "01000000" + "01000000"
+    root = F.when(fault == 2, "00000000" + "00FFFF7F" + "00000000" + "02000000").when(
+        fault == 4, "00000000" + "00010000" + "00000000" + "00000000").otherwise(plain)
+    mid = _around(leaf, "leaf.rpf", root, F.when(fault == 3, 0).otherwise(1))
+    ensure_checkpoint_dir(t.spark)
+    outer = F.unhex(_around(mid, "MID.rpf", F.lit(plain)))
+    return archive_texts(t).select("file", outer.alias("content")).checkpoint()
+
+
+@query("nested_archives", f"""with {NESTED_SQL} select file, start::bigint as start, idx::bigint as idx, path from nested""")
+def _(t):
+    return T.archive_entries(nested_files(t)).select("file", "start", c("idx").cast("bigint").alias("idx"), "path")
+
+
+@query(
+    "archive_faults",
+    f"""with {NESTED_SQL} select file, start::bigint as start, prefix, reason, "offset"::bigint as "offset"
+    from faults""",
+)
+def _(t):
+    return T.archive_faults(nested_files(t))
+
+
 @query(
     "entries_by_suffix",
     f"""with {ARCHIVE_SQL} select nation || '/' || part as file, idx, name from toc
@@ -325,17 +386,28 @@ def _(t):
     return T.search_entries(entries, "  REF= ").select("page_id")
 
 
-@query(
-    "sort_entries",
-    """select page_id, row_number() over (order by length(html) desc, page_id) as place
-    from pages order by place limit 1000000000""",
-)
-def _(t):
-    entries = t.pages.select("page_id", F.length("html").alias("size"))
-    ranked = T.sort_entries(entries, "size", "page_id", descending=True)
-    return A.global_rank(ranked, ["neg_size", "page_id"], "place", neg_size=-c("size")).select(
-        "page_id", "place"
-    )
+# The marks that occur in addresses, in the reader's order, as characters below the digits.
+_MARKS = "_-:?./&#="
+_ALPHABET = f"translate({{}}, '{_MARKS}', '{''.join(chr(i + 1) for i in range(len(_MARKS)))}')"
+
+
+def _ranked(name: str, key: str, value: str, descending: bool = False):
+    """Places of the pages as entries, by one of the three orders."""
+    sql = f"""select page_id, row_number() over (order by {value} {'desc' if descending else 'asc'}, page_id)
+        as place from pages"""
+
+    @query(name, sql)
+    def _(t):
+        entries = t.pages.select(
+            "page_id", F.length("html").alias("size"), c("url").alias("path"),
+            F.substring_index("url", "/", -1).alias("name"))
+        ranked = T.ranked_entries(entries, key, "page_id", descending)
+        return ranked.select("page_id", c("place").cast("bigint").alias("place"))
+
+
+_ranked("sort_entries", "size", "length(html)", descending=True)
+_ranked("sort_entries_by_name", "name", _ALPHABET.format("split_part(url, '/', -1)"))
+_ranked("sort_entries_by_path", "path", _ALPHABET.format("url"), descending=True)
 
 
 @query(

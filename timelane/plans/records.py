@@ -72,7 +72,40 @@ def _(t):
     return capped.select("mix", "pushed_ms", "first_ord", "label")
 
 
-@query("undo_redo")
+_ENTRY = "struct(state varchar, label varchar, edit_key varchar, ts_ms bigint)[]"
+_MERGES = """(len(f.p) > 0 and r.edit_key is not null and f.p[-1].edit_key is not distinct from r.edit_key
+    and r.ts_ms - f.p[-1].ts_ms <= 500)"""
+
+
+def _moved(source: str) -> str:
+    """The last entry of a stack as it goes onto the other one."""
+    return f"""[struct_pack(state := r.state, label := f.{source}[-1].label,
+        edit_key := f.{source}[-1].edit_key, ts_ms := r.ts_ms)]"""
+
+
+UNDO_SQL = f"""with recursive {{log}}, r as (select mix, ord, ts_ms, edit_key, label, state::varchar as state,
+        case when ord % 7 in (2, 5) then 'undo' when ord % 7 = 3 then 'redo' when ord % 97 = 0 then 'clear'
+            else 'push' end as op, row_number() over (partition by mix order by ts_ms, ord) as n from log),
+    f as (select mix, 0::bigint as n, 0::bigint as ord, '' as op, []::{_ENTRY} as p, []::{_ENTRY} as q,
+            null::varchar as restored from (select distinct mix from r)
+        union all select r.mix, r.n, r.ord, r.op,
+            case when r.op = 'clear' then []
+                when r.op = 'undo' then case when len(f.p) > 0 then f.p[1:len(f.p) - 1] else f.p end
+                when r.op = 'redo' then case when len(f.q) > 0 then list_concat(f.p, {_moved('q')}) else f.p end
+                when {_MERGES} then list_concat(f.p[1:len(f.p) - 1], [struct_pack(state := f.p[-1].state,
+                    label := r.label, edit_key := f.p[-1].edit_key, ts_ms := r.ts_ms)])
+                else list_concat(f.p, [struct_pack(state := r.state, label := r.label,
+                    edit_key := r.edit_key, ts_ms := r.ts_ms)])[greatest(1, len(f.p) - 98) : len(f.p) + 1] end,
+            case when r.op in ('clear', 'push') then []
+                when r.op = 'undo' then case when len(f.p) > 0 then list_concat(f.q, {_moved('p')}) else f.q end
+                when len(f.q) > 0 then f.q[1:len(f.q) - 1] else f.q end,
+            case when r.op = 'undo' and len(f.p) > 0 then f.p[-1].state
+                when r.op = 'redo' and len(f.q) > 0 then f.q[-1].state end
+        from f join r on r.mix = f.mix and r.n = f.n + 1)
+    select mix, ord, op, len(p)::bigint as past, len(q)::bigint as future, restored from f where n > 0"""
+
+
+@query("undo_redo", UNDO_SQL.format(log=LOG_SQL))
 def _(t):
     n = c("ord") % 7
     op = (
