@@ -5,6 +5,7 @@ from timelane.plans import (  # noqa: F401
     mixes,
     overlaps,
     records,
+    snapshots,
     states,
     streams,
 )
