@@ -37,6 +37,20 @@ FILES_SQL = f"""numbered as (select *, row_number() over (partition by l_orderke
             + 8 * sum(chunk_count) as body, ok % 13 <> 5 as good from streams group by ok, part)"""
 
 
+def put(value, size):
+    """Hex of an unsigned number in the file's byte order."""
+    return F.when(c("little"), little_hex(value, size)).otherwise(big_hex(value, size))
+
+
+def record(kind, size, at):
+    """Hex of a chunk record: type:8 size:28 offset:28, all sizes here below 16 MiB."""
+    value = F.lit(kind << 24).cast("bigint") + F.shiftright(size, 4)
+    low = F.shiftleft(size % 16, 28) + at
+    return F.when(
+        c("little"), F.concat(little_hex(low, 4), little_hex(value, 4))
+    ).otherwise(F.concat(big_hex(value, 4), big_hex(low, 4)))
+
+
 def container_files(t):
     """Bytes of the derived containers, keyed by order and part."""
     line = F.struct("l_partkey", "l_suppkey", "l_linenumber", "l_quantity")
@@ -46,9 +60,6 @@ def container_files(t):
     )
     n = F.size("lines")
 
-    def put(value, size):
-        return F.when(c("little"), little_hex(value, size)).otherwise(big_hex(value, size))
-
     def chunks_of(x):
         return F.when(x["l_linenumber"] % 3 == 0, 1).otherwise(2)
 
@@ -59,14 +70,6 @@ def container_files(t):
     skipped = F.when(c("flags") % 2 == 1, n * 2).otherwise(0)
     rows = rows.withColumn("body", 16 + skipped + 4 * n + 8 * total)
 
-    def record(kind, size, at):
-        # type:8 size:28 offset:28, all sizes here below 16 MiB
-        value = F.lit(kind << 24).cast("bigint") + F.shiftright(size, 4)
-        low = F.shiftleft(size % 16, 28) + at
-        return F.when(
-            c("little"), F.concat(little_hex(low, 4), little_hex(value, 4))
-        ).otherwise(F.concat(big_hex(value, 4), big_hex(low, 4)))
-
     def records(x, i):
         at = (c("body") + i * 20).cast("bigint")
         fmt = record(C.CHUNK_FORMAT, F.lit(20).cast("bigint"), at)
@@ -182,6 +185,91 @@ def _(t):
     )
 
 
+# The same lines as channels of multi-channel containers: one stream, a stream format, and two blocks, of
+# which the second is cut short behind its headers.
+
+SPARE = 16
+MULTI_SQL = f"""{FILES_SQL}, lines as (select l_orderkey as ok, n // {STREAMS_PER_FILE} as part,
+        n % {STREAMS_PER_FILE} as channel, l_partkey, l_suppkey, l_linenumber, l_quantity from numbered),
+    multi as (select ok, part, count(*) as channels, 24 * count(*) + {SPARE} as block_size,
+        48 + 16 * count(*) as data_offset from lines group by ok, part)"""
+
+
+def multi_files(t):
+    line = F.struct("l_partkey", "l_suppkey", "l_linenumber", "l_quantity")
+    rows = collect_parts(t.lineitem, "l_orderkey", LINE_ORDER, line, "lines", STREAMS_PER_FILE).withColumn(
+        "little", c("l_orderkey") % 2 == 0)
+    n = F.size("lines").cast("bigint")
+    block, formats = n * 24 + SPARE, n * 16 + 12
+
+    def channel(x):
+        return F.concat(
+            put(x["l_partkey"] * 131071 % 536870912, 4), put((x["l_quantity"] * 100).cast("bigint"), 4),
+            put(x["l_suppkey"] % 100, 2), put(F.lit(32000), 2), big_hex(x["l_partkey"] % 9, 1), F.lit("00" * 3))
+
+    def headers(at):
+        return F.array_join(F.transform("lines", lambda x: F.concat(
+            F.lit("00" * 4), little_hex(x["l_linenumber"] + at, 4), little_hex(x["l_suppkey"] % 3, 4),
+            little_hex((x["l_quantity"] * 10).cast("bigint") + at, 4), F.lit("00" * 4),
+            little_hex(x["l_partkey"] % 50, 4))), "")
+
+    flags = F.when(c("l_orderkey") % 3 == 0, 12).otherwise(4)
+    text = F.concat(
+        F.when(c("little"), F.lit("41444154")).otherwise(F.lit("54414441")), put(F.lit(1), 2), put(flags, 2),
+        put(F.lit(1), 4), put(formats + 36, 4), put(F.lit((2 << 29) + 77), 4),
+        record(C.CHUNK_STREAM_FORMAT, formats, F.lit(36).cast("bigint")),
+        record(C.CHUNK_DATA, block + n * 24, formats + 36),
+        put(F.lit(2), 4), put(block, 4), put(n, 4), F.array_join(F.transform("lines", channel), ""),
+        headers(F.lit(0)), F.lit("00" * SPARE), headers(F.lit(1)),
+    )
+    ensure_checkpoint_dir(t.spark)
+    return rows.select(c("l_orderkey").alias("ok"), "part", F.unhex(text).alias("content")).checkpoint()
+
+
+@query(
+    "stream_format",
+    f"""with {MULTI_SQL} select ok, part, channel, 2::bigint as block_count, block_size, channels as channel_count,
+        l_partkey * 131071 % 536870912 as id, cast(l_quantity * 100 as bigint) as samples,
+        l_suppkey % 100 as headroom, 32000 as sample_rate, l_partkey % 9 as codec_id
+    from lines join multi using (ok, part)""",
+)
+def _(t):
+    chunks = C.container_chunks(C.container_index(multi_files(t)), KEYS)
+    found = C.stream_format(chunks, KEYS).select(
+        *KEYS, "block_count", "block_size", "channel_count", F.posexplode("channels").alias("channel", "ch"))
+    numbers = ("channel", "block_count", "block_size", "channel_count", "id", "samples", "headroom", "codec_id")
+    return found.select(*found.columns[:-1], "ch.*").select(
+        *KEYS, *[c(x).cast("bigint").alias(x) for x in numbers], c("sample_rate").cast("int").alias("sample_rate"))
+
+
+@query(
+    "multi_channel_streams",
+    f"""with {MULTI_SQL} select ok, part, channel as idx, l_partkey * 131071 % 536870912 as hash,
+        case l_partkey % 9 when 0 then 'pcm' when 4 then 'adpcm' when 7 then 'mp3' else 'unknown' end as codec,
+        cast(l_quantity * 100 as bigint) as sample_count, cast(l_quantity * 100 as bigint) / 32000::double
+            as duration_seconds, 'mc-channel' as layout, ok % 3 = 0 as encrypted, data_offset,
+        block_size + 24 * channels as data_size, 2::bigint as block_count
+    from lines join multi using (ok, part)""",
+)
+def _(t):
+    return C.playable_streams(C.container_index(multi_files(t)), KEYS).select(
+        "ok", "part", "idx", "hash", "codec", "sample_count", "duration_seconds", "layout", "encrypted",
+        "data_offset", "data_size", "block_count")
+
+
+@query(
+    "block_headers",
+    f"""with {MULTI_SQL} select ok, part, block, channel, data_offset + block * block_size as block_start,
+        case block when 0 then block_size else 24 * channels end as block_length,
+        l_linenumber + block as sub_blocks, l_suppkey % 3 as discard,
+        cast(l_quantity * 10 as bigint) + block as sample_count, l_partkey % 50 as audio_bytes
+    from lines join multi using (ok, part), (select unnest(range(2)) as block)""",
+)
+def _(t):
+    found = C.block_headers(multi_files(t), KEYS)
+    return found.select("ok", "part", *[c(x).cast("bigint").alias(x) for x in found.columns[2:]])
+
+
 # Archives: one per nation and 50 customers, a root directory, a folder and files.
 PER_ARCHIVE = 50
 ARCHIVE_SQL = f"""{PLACED_SQL}, leaves as (select mix as nation, idx // {PER_ARCHIVE} as part,
