@@ -13,11 +13,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from timelane.llm.pieces import piece_encoder
+from timelane.llm.pieces import KEPT_PIECES, piece_encoder
 from timelane.llm.store import stored
 from timelane.llm.tokens import _SHOWN, encoder
 
@@ -26,7 +27,7 @@ RANGE = 1 << 16
 """Bytes of a range; a text of at most so many is a single fragment."""
 FAN = 16
 """Fragments composed in one task at each level of the tree."""
-BUNDLE = 4_000_000
+BUNDLE = 1_500_000
 """Tokens of both vocabularies in one stored row of the second pass."""
 _CUT = re.compile(r"(?<=\S)[ \n](?=\S)")
 """Places where both vocabularies begin a token whatever stands around them."""
@@ -36,7 +37,7 @@ class Pair:
     """The two vocabularies, with the bytes that their ids stand for."""
 
     def __init__(self, left: str, right: str):
-        self.left, self.right = encoder(left, plain=True), piece_encoder(right)
+        self.left, self.right = encoder(left, plain=True, kept=KEPT_PIECES), piece_encoder(right)
         names = self.left.tokenizer.get_vocab()
         self.left_size = max(names.values()) + 1
         self.left_lengths = np.zeros(self.left_size, np.int64)
@@ -45,9 +46,8 @@ class Pair:
         self.right_lengths = self.right.vocabulary.byte_lengths()
         self.right_size = len(self.right_lengths)
         self.kind = np.dtype("<u2" if max(self.left_size, self.right_size) <= 1 << 16 else "<u4")
-        ids = [str(i) for i in range(max(self.left_size, self.right_size))]
-        self.marked = np.array(
-            [f"{i}," for i in ids] + [f"{i}|" for i in ids] + [f"{i};" for i in ids], object)
+        ids = range(max(self.left_size, self.right_size))
+        self.marked = pa.array([f"{i}{mark}" for mark in ",|;" for i in ids])
 
     def tokens(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
         """Ids of ``text`` (a space in front included) in both; None where the tokens' bytes
@@ -62,6 +62,13 @@ class Pair:
         same = self.left_lengths[a].sum() == size and self.right_lengths[b].sum() == size
         return (a, b) if same else None
 
+    def without_texts(self) -> Pair:
+        """The same, for work on ids only: what was remembered of texts is given back."""
+        for side in (self.left, self.right):
+            side.first.clear()
+            side.later.clear()
+        return self
+
     def ends(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return np.cumsum(self.left_lengths[a]), np.cumsum(self.right_lengths[b])
 
@@ -75,22 +82,11 @@ def pair_of(left: str, right: str) -> Pair:
     return Pair(left, right)
 
 
-def _shared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Which of the rising ``x`` are in the rising ``y``."""
-    if not len(y):
-        return np.zeros(len(x), bool)
-    return y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x
-
-
-def links_of(a: np.ndarray, b: np.ndarray, ea: np.ndarray, eb: np.ndarray):
-    """Left and right index of every pair of tokens whose bytes overlap.
-
-    Between two neighbouring ends lie the bytes of just one token of each kind, and a pair
-    overlaps in one such stretch only, so there are as many links as different ends.
-    """
-    ends = np.sort(np.concatenate([ea, eb]), kind="stable")
-    ends = ends[np.r_[True, ends[1:] != ends[:-1]]] if len(ends) else ends
-    return ends, np.searchsorted(ea, ends), np.searchsorted(eb, ends)
+def _marks(ends: np.ndarray, size: int) -> np.ndarray:
+    """A byte map of where tokens end; place 0 is before the first byte."""
+    found = np.zeros(size + 1, bool)
+    found[ends] = True
+    return found
 
 
 # Fragments. (pre_a, pre_b, a, b, suf_a, suf_b, first): ids before the first common end, in closed
@@ -152,7 +148,7 @@ def fragment(pair: Pair, low: int, high: int, begin: int, text: str, part: int)
         own = (ends > low) & (ends <= high)
         sides.append((ids[own], ends[own]))
     (a, ea), (b, eb) = sides
-    common = ea[_shared(ea, eb)]
+    common = np.intersect1d(ea, eb, assume_unique=True)
     out = {"first": part if len(common) else None, "ok": True}
     for side, (ids, ends) in zip("ab", sides):
         if len(common):
@@ -164,7 +160,7 @@ def fragment(pair: Pair, low: int, high: int, begin: int, text: str, part: int)
     return out
 
 
-# Bundles: the closed groups of many texts in one stored row.
+# Bundles: the closed groups of many texts in one stored row; ids are compressed.
 
 _RECORDS = "rows array<bigint>, places array<bigint>, n_a array<bigint>, n_b array<bigint>, a binary, b binary"
 
@@ -196,7 +192,8 @@ class _Packer:
             return None
         key, row, place, a, b = zip(*self.rows)
         counts = [[len(x) // self.width for x in side] for side in (a, b)]
-        values = [list(key), list(row), list(place), *counts, b"".join(a), b"".join(b)]
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        values = [list(key), list(row), list(place), *counts, squeeze(b"".join(a)), squeeze(b"".join(b))]
         self.rows, self.size = [], 0
         return pa.RecordBatch.from_arrays(
             [pa.array([v], f.type) for v, f in zip(values, self.schema)], schema=self.schema)
@@ -333,16 +330,25 @@ def _long_bundles(fragments: DataFrame, key: str, width: int) -> DataFrame:
 
 
 class _Bundle:
-    """One bundle's tokens as one run of bytes: every record begins and ends at a common end."""
+    """One bundle's tokens as one run of bytes: every record begins and ends at a common end.
+
+    Between two neighbouring ends lie the bytes of just one token of each kind, and a pair
+    overlaps in one such stretch only, so there are as many links as different ends.
+    """
 
     def __init__(self, pair: Pair, row: dict):
-        self.a, self.b = (np.frombuffer(row[x], pair.kind) for x in "ab")
-        self.ea, self.eb = pair.ends(self.a, self.b)
+        expand = zstandard.ZstdDecompressor().decompress
+        self.a, self.b = (np.frombuffer(expand(row[x]), pair.kind) for x in "ab")
+        ea, eb = pair.ends(self.a, self.b)
+        size = int(ea[-1]) if len(ea) else 0
+        in_a, in_b = _marks(ea, size), _marks(eb, size)
+        self.last_a, self.last_b = in_b[ea], in_a[eb]  # whether a token closes a group
         self.n_a, self.n_b = (np.array(row[x], np.int64) for x in ("n_a", "n_b"))
-        self.ends, la, lb = links_of(self.a, self.b, self.ea, self.eb)
+        self.ends = np.flatnonzero(in_a | in_b)
+        self.common = np.flatnonzero(in_a & in_b)
+        la, lb = (np.cumsum(m[self.ends]) - m[self.ends] for m in (in_a, in_b))
         self.pairs = self.a[la].astype(np.int64) * pair.right_size + self.b[lb]
-        self.common = self.ea[_shared(self.ea, self.eb)]
-        self.limits = np.r_[0, self.ea][np.r_[0, np.cumsum(self.n_a)]]  # bytes before each record
+        self.limits = np.r_[0, ea][np.r_[0, np.cumsum(self.n_a)]]  # bytes before each record
 
     def per_record(self, values: np.ndarray, ends: np.ndarray) -> np.ndarray:
         run = np.r_[0, np.cumsum(values)]
@@ -352,15 +358,18 @@ class _Bundle:
     def texts(self, pair: Pair) -> list[str]:
         """Groups of each record as ``a1,a2|b1;a3|b2,b3``."""
         width = len(pair.marked) // 3
-        ga, gb = (np.searchsorted(self.common, e) for e in (self.ea, self.eb))
-        last_a, last_b = _shared(self.ea, self.eb), _shared(self.eb, self.ea)
-        codes = np.empty(len(self.a) + len(self.b), np.int64)
-        a_upto = np.searchsorted(ga, np.arange(len(self.common) + 1))  # left tokens before a group
-        b_upto = np.searchsorted(gb, np.arange(len(self.common) + 1))
-        codes[np.arange(len(self.a)) + b_upto[ga]] = self.a.astype(np.int64) + np.where(last_a, width, 0)
-        codes[np.arange(len(self.b)) + a_upto[gb + 1]] = self.b.astype(np.int64) + np.where(last_b, 2 * width, 0)
-        at = np.r_[0, np.cumsum(self.n_a + self.n_b)]
-        return ["".join(pair.marked[codes[x:y]])[:-1] for x, y in zip(at[:-1], at[1:])]
+        ga, gb = (np.cumsum(x) - x for x in (self.last_a, self.last_b))  # group of each token
+        a_upto = np.r_[0, np.flatnonzero(self.last_a) + 1]  # left tokens before each group
+        b_upto = np.r_[0, np.flatnonzero(self.last_b) + 1]
+        codes = np.empty(len(self.a) + len(self.b), np.int32)
+        codes[np.arange(len(self.a)) + b_upto[ga]] = self.a + self.last_a.astype(np.int32) * width
+        codes[np.arange(len(self.b)) + a_upto[gb + 1]] = self.b + self.last_b.astype(np.int32) * (2 * width)
+        parts = pair.marked.take(pa.array(codes))  # strings taken one after another lie joined
+        _, where, data = parts.buffers()
+        joined = data.to_pybytes() if data is not None else b""
+        where = np.frombuffer(where, np.int32)[: len(parts) + 1] if len(parts) else np.zeros(1, np.int32)
+        at = where[np.r_[0, np.cumsum(self.n_a + self.n_b)]].tolist()
+        return [joined[x : y - 1].decode() if y > x else "" for x, y in zip(at[:-1], at[1:])]
 
 
 def _pair_counts(bundles: DataFrame, left: str, right: str) -> DataFrame:
@@ -369,7 +378,7 @@ def _pair_counts(bundles: DataFrame, left: str, right: str) -> DataFrame:
     arrow = _arrow(StructType.fromDDL(schema))
 
     def count(batches):
-        pair = pair_of(left, right)
+        pair = pair_of(left, right).without_texts()
         for batch in batches:
             for row in batch.to_pylist():
                 found, n = np.unique(_Bundle(pair, row).pairs, return_counts=True)
@@ -389,7 +398,7 @@ def _resolved(bundles: DataFrame, known: DataFrame, key: str, left: str, right:
     arrow = _arrow(schema)
 
     def resolve(one: pa.Table, answers: pa.Table) -> pa.Table:
-        pair = pair_of(left, right)
+        pair = pair_of(left, right).without_texts()
         out = []
         order = np.argsort(answers["pair"].to_numpy())
         pairs, counts, best = (answers[x].to_numpy()[order] for x in ("pair", "total", "best"))
@@ -432,7 +441,7 @@ def align_tokens(
 
     Texts above ``size`` bytes are cut into ranges that spread over tasks (a run without any
     place to cut, such as one word, stays whole). Counts are summed per bundle of about
-    four million tokens, met with the corpus's once per bundle and pair, so neither a common pair
+    one and a half million tokens, met with the corpus's once per bundle and pair, so neither a common pair
     nor a long text makes a large task; the best count of each right id is broadcast, at most one
     row per id of the vocabulary. ``groups`` of one text is one value, as the text is.
     """

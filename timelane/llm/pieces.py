@@ -15,7 +15,7 @@ import numpy as np
 
 SPACE = "▁"
 """What the vocabulary's strings have in place of a space; in a text it is a space too."""
-KEPT_PIECES = 700_000
+KEPT_PIECES = 450_000
 """Pre-tokens a Python worker remembers; others are merged each time they occur."""
 _LONGEST_KEPT = 48
 _RUNS = re.compile(" +[^ ]*|[^ ]+")

@@ -22,10 +22,11 @@ _LATIN_END = "ɐ"
 class _Pieces(dict):
     """Ids of a piece with a space before it, as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, tokenizer, first: "_Pieces | None" = None):
+    def __init__(self, tokenizer, first: "_Pieces | None" = None, kept: int = KEPT_PIECES):
         """``first``: the pieces without a space before them, if these have one."""
         super().__init__()
         self.tokenizer, self.lead, self.first = tokenizer, " " if first is not None else "", first
+        self.kept = kept
 
     def __missing__(self, piece: str) -> bytes:
         above, line, below = piece.partition("\n")
@@ -37,7 +38,7 @@ class _Pieces(dict):
             ids = self[body] + self._run(mark) if mark else self._run(self.lead + body)
         else:
             ids = _packed(self.tokenizer.encode(self.lead + piece, add_special_tokens=False).ids)
-        if len(self) < KEPT_PIECES and len(piece) <= _LONGEST_KEPT:
+        if len(self) < self.kept and len(piece) <= _LONGEST_KEPT:
             self[piece] = ids
         return ids
 
@@ -64,14 +65,15 @@ def _packed(ids: list[int]) -> bytes:
 class Encoder:
     """Encodes whole texts with one vocabulary file of the byte-level kind."""
 
-    def __init__(self, path: str, plain: bool = False):
-        """``plain``: strings of special tokens inside a text are ordinary text."""
+    def __init__(self, path: str, plain: bool = False, kept: int = KEPT_PIECES):
+        """``plain``: strings of special tokens inside a text are ordinary text. ``kept``: how
+        many pieces are remembered."""
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = plain
-        self.first = _Pieces(self.tokenizer)
-        self.later = _Pieces(self.tokenizer, self.first)
+        self.first = _Pieces(self.tokenizer, None, kept)
+        self.later = _Pieces(self.tokenizer, self.first, kept)
 
     def encode(self, text: str | None) -> bytes:
         """The ids of ``text``, four little-endian bytes each."""
@@ -88,6 +90,6 @@ class Encoder:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str, plain: bool = False) -> Encoder:
+def encoder(path: str, plain: bool = False, kept: int = KEPT_PIECES) -> Encoder:
     """One encoder a Python worker, file and reading of special strings."""
-    return Encoder(path, plain)
+    return Encoder(path, plain, kept)
