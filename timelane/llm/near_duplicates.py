@@ -43,6 +43,8 @@ SMALL = 512
 SMALL_SHINGLES = 1 << 20
 """Other nodes up to this size are compared in one task, which holds their sets (8 MB)."""
 LEADERS = 6
+FIRST_TREES = 2
+"""Trees that are opened before the others."""
 FIELD_BITS = 27
 _SIGN = np.random.default_rng(5).integers(0, 1 << 31, (2, SIGNATURE), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _ALONE = np.uint64(0x5851F42D4C957F2D)
@@ -155,9 +157,9 @@ def _children(node: np.ndarray, row: np.ndarray, sign: np.ndarray, similarity: f
     return mix(of ^ mix(token)), row
 
 
-def _branch(df: DataFrame, levels: int, similarity: float, trees: int | None) -> DataFrame:
-    """Rows (node, text, shingles) some levels below; from the roots of ``trees`` trees, or from
-    ``node``."""
+def _branch(df: DataFrame, levels: int, similarity: float, trees: tuple[int, int] | None) -> DataFrame:
+    """Rows (node, text, shingles) some levels below; from the roots of the trees numbered so, or
+    from ``node``."""
     def down(batches):
         for batch in batches:
             if not batch.num_rows:
@@ -168,8 +170,8 @@ def _branch(df: DataFrame, levels: int, similarity: float, trees: int | None) ->
             if trees is None:
                 node = batch.column("node").to_numpy().view(np.uint64)
             else:
-                node = mix(np.repeat(np.arange(1, trees + 1, dtype=np.uint64), len(text)))
-                row = np.tile(row, trees)
+                node = mix(np.repeat(np.arange(*trees, dtype=np.uint64), len(text)))
+                row = np.tile(row, trees[1] - trees[0])
             for _ in range(levels):
                 node, row = _children(node, row, sign, similarity)
             yield pa.RecordBatch.from_arrays(
@@ -253,16 +255,31 @@ def _search(records, signs, key, text, shingle, similarity, wanted, recall):
                 found.select(c("node").alias("a"), c("component").alias("b")))
             found = stored(components(known))
 
+    def hold(texts: DataFrame) -> None:
+        """Have the full sets of ``texts`` at hand."""
+        nonlocal sets
+        if sets is not None:
+            texts = texts.join(sets.select(c("text").alias("_t")).hint("merge"), c("text") == c("_t"), "left_anti")
+        more = _candidate_sets(records, texts, key, text, shingle, spark)
+        sets = more if sets is None else sets.unionByName(more)
+
+    # A few trees first, where texts meet the leaders of their nodes only: a group of near copies is
+    # one component then, and its nodes in all trees are finished before they give pairs.
+    first = stored(_open_nodes(_branch(signs, FIRST_DEPTH, wanted, (1, FIRST_TREES + 1)), None, False))
+    if not first.isEmpty():
+        hold(first.select("text"))
+        link(_confirm(_alike(_leader_pairs(first), signs, wanted), sets, similarity))
+
     while search < searches_for(recall, wanted, trees, reached) and (search == 0 or wide is not None):
         if search:
             signs = stored(_new_signs(sets, wide, search))
-        active = _branch(signs, FIRST_DEPTH, wanted, trees)
+        active = _branch(signs, FIRST_DEPTH, wanted, (1, trees + 1))
         for depth in range(FIRST_DEPTH, DEEPEST + 1):
             rows = stored(_open_nodes(active, found, depth == DEEPEST))
             if rows.isEmpty():
                 break
-            if sets is None:
-                sets = _candidate_sets(records, rows.select("text"), key, text, shingle, spark)
+            if depth == FIRST_DEPTH and search == 0:  # what is below or searched again stands in these
+                hold(rows.select("text"))
             tiny = c("size") <= TINY
             small = ~tiny & ~_large()
             pairs = _node_pairs(rows.where(tiny)).unionByName(_leader_pairs(rows.where(~tiny))).distinct()
