@@ -220,16 +220,28 @@ def judge(measured: DataFrame, limits: DataFrame, groups: Sequence[str] = ("lang
     )
 
 
+MOST_GROUPS = 200_000
+"""Groups whose limits are sent to every task; with more, the measured rows are exchanged."""
+
+
 def quality_rules(
     records: DataFrame, *, text: str = "text", groups: Sequence[str] = ("lang", "source")
 ) -> DataFrame:
     """All columns of ``records`` with ``measures``, ``base_failed`` and ``kept``.
 
     Works on saved mix files with their session's language and origin, or on any table with a
-    text and two columns to group by. The measured rows are written once, so no text is measured
-    twice and none is shuffled. Nulls in a group column are a group; an empty table gives no
-    rows.
+    text and two columns to group by. Texts are measured twice, for the limits and for the
+    verdict, which costs less than to write or to exchange them: the measures without texts are
+    stored, the limits of the counted groups are broadcast, and no text moves. Nulls in a
+    group column are a group; an empty table gives no rows.
     """
-    measured = stored(measure_texts(records, text=text))
-    limits = adaptive_limits(quantile_sketches(measured, groups), len(groups))
-    return judge(measured, limits, groups)
+    narrow = measure_texts(records.select(*[c(f"`{n}`") for n in dict.fromkeys([text, *groups])]), text=text)
+    measured = stored(narrow.select(*[c(f"`{g}`").cast("string").alias(f"g{i}") for i, g in enumerate(groups)], "measures"))
+    own = [f"g{i}" for i in range(len(groups))]
+    limits = stored(adaptive_limits(quantile_sketches(measured, own), len(groups)))
+    if limits.count() <= MOST_GROUPS:
+        limits = F.broadcast(limits)
+    # The row number keeps Spark from measuring a text again for every use of its measures.
+    whole = measure_texts(records, text=text).withColumn("_once", F.monotonically_increasing_id())
+    judged = judge(whole, limits, groups)
+    return judged.withColumn("kept", c("kept") & (c("_once") >= 0)).drop("_once")

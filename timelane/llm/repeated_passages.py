@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from timelane.llm.bits import bit_field, bits_for
-from timelane.llm.store import stored
+from timelane.llm.store import small_ids, stored
 from timelane.llm.words import SPACED, Words, mix, shingle_sums, window_starts, word_slices
 
 c = F.col
@@ -208,8 +208,13 @@ def remove_repeated(records: DataFrame, *, key: str = "mix", text: str = "text",
     names = [n for n in records.columns if n.lower() not in ("n_words", "n_removed")]
     spans = repeated_spans(records, key=key, text=text, window=window)
     # At most one span a word of the text itself.
-    cuts = spans.groupBy(c(key).alias("_cut_key")).agg(F.collect_list(F.struct("first", "size")).alias("_cuts"))
-    rows = records.select(*[c(f"`{n}`") for n in names]).join(cuts, c(f"`{key}`") == c("_cut_key"), "left").drop("_cut_key")
+    cuts = stored(spans.groupBy(c(key).alias("_cut_key")).agg(F.collect_list(F.struct("first", "size")).alias("_cuts")))
+    touched = small_ids(cuts.select(c("_cut_key").alias("_id")))
+    given = records.select(*[c(f"`{n}`") for n in names])
+    # Only texts that lose words meet their spans by exchange.
+    some = given.join(touched, c(f"`{key}`") == c("_id"), "left_semi").join(cuts, c(f"`{key}`") == c("_cut_key"))
+    other = given.join(touched, c(f"`{key}`") == c("_id"), "left_anti")
+    rows = some.drop("_cut_key").unionByName(other.withColumn("_cuts", F.lit(None).cast(cuts.schema["_cuts"].dataType)))
     place_of = names.index(next(n for n in names if n.lower() == text.lower()))
 
     def cut(batches):
