@@ -101,3 +101,14 @@ def test_one_url_with_most_captures(spark):
     rows = [(i, "http://hot.com/", i // 3, i % 7 != 0, "e", None, {}, "s") for i in range(3000)]
     got = {r["record_id"]: r["target_id"] for r in resolve_revisits(spark.createDataFrame(rows, CAPTURES)).collect()}
     assert got == {i: i - i % 7 for i in range(3000) if i % 7}
+
+
+def test_weak_tags_and_shared_ids(spark):
+    """Tags are compared weakly, and an id under two URLs gives each its own headers."""
+    rows = [
+        (1, "http://x.com/a", 10, False, 'W/"e"', None, {"k": "a"}, "s"), (1, "http://x.com/b", 5, False, '"f"', None, {"k": "b"}, "s"),
+        (2, "http://x.com/a", 20, True, '"e"', None, {}, None), (3, "http://x.com/b", 20, True, 'W/"f"', None, {}, None),
+        (4, "http://x.com/b", 21, True, 'W/"e"', None, {}, None),
+    ]
+    out = {r["record_id"]: (r["status"], r["headers"]) for r in resolve_revisits(spark.createDataFrame(rows, CAPTURES)).collect()}
+    assert out == {2: ("resolved", {"k": "a"}), 3: ("resolved", {"k": "b"}), 4: ("etag_differs", None)}

@@ -231,7 +231,8 @@ def captures(pages: DataFrame) -> DataFrame:
         headers(Content_Type=F.lit("text/html"), Content_Length=size, Date=at.cast("string")).alias("headers"))
     again = pages.select(
         (c("page_id") * 2 + 1).alias("record_id"), "url", later.alias("time"), F.lit(True).alias("revisit"),
-        F.when(c("page_id") % 7 != 0, common["etag"]).alias("etag"), common["last_modified"].alias("last_modified"),
+        F.when(c("page_id") % 7 != 0, F.concat(F.when(c("page_id") % 3 == 0, "W/").otherwise(""), common["etag"]))
+        .alias("etag"), common["last_modified"].alias("last_modified"),
         headers(Content_Length=F.lit("0"), Date=later.cast("string"), Age=F.lit("1")).alias("headers"))
     return first.unionByName(again)
 

@@ -88,16 +88,18 @@ def resolve_revisits(captures: DataFrame) -> DataFrame:
                 F.coalesce("own", "carried").alias("target_id"))
         .distinct()
     )
-    full = rows.where("not revisit").groupBy(c("record_id").alias("_full")).agg(
-        F.min_by(F.struct("etag", "last_modified", "headers"), "time").alias("full"))
+    # Of responses with one id and URL the earliest counts, of these the one with the least validators.
+    first = F.struct("time", "etag", "last_modified")
+    full = rows.where("not revisit").groupBy(c("record_id").alias("_full"), c("canonical").alias("_of")).agg(
+        F.min_by(F.struct("etag", "last_modified", "headers"), first).alias("full"))
     asked = rows.where("revisit").join(
         found, (c("record_id") == c("_id")) & (c("time") == c("_t")) & (c("canonical") == c("_u")), "left")
-    joined = asked.join(full, c("target_id") == c("_full"), "left")
+    joined = asked.join(full, (c("target_id") == c("_full")) & (c("canonical") == c("_of")), "left")
+    mine, theirs = (F.regexp_replace(x, "^W/", "") for x in ("etag", "full.etag"))  # compared weakly
     status = (
         F.when(c("canonical").isNull(), "no_url").when(c("time").isNull(), "no_time")
         .when(c("target_id").isNull(), "no_response")
-        .when(c("etag") == c("full.etag"), "resolved")
-        .when(c("etag") != c("full.etag"), "etag_differs")
+        .when(mine == theirs, "resolved").when(mine != theirs, "etag_differs")
         .when(c("last_modified") == c("full.last_modified"), "resolved")
         .when(c("last_modified") != c("full.last_modified"), "date_differs")
         .otherwise("no_validator")
