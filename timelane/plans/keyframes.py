@@ -335,12 +335,12 @@ def _(t):
     "encode_keyframes",
     f"""with {NORMAL_SQL} select series, count(*) as items, string_agg(cast(floor(time * 100 + 0.5) as bigint) || ',' ||
             cast(floor(gain * 100 + 0.5) as bigint) || ',' ||
-            case easing when 'hold' then 1 else 0 end, ',' order by time) as flat
+            case easing when 'hold' then 1 else 0 end, ',' order by time) as flat, null::varchar as reason
     from nk group by series""",
 )
 def _(t):
     lists = K.encode_keyframes(normal(t), "series")
-    return lists.select("series", "items", F.array_join("flat", ",").alias("flat"))
+    return lists.select("series", "items", F.array_join("flat", ",").alias("flat"), "reason")
 
 
 @query(

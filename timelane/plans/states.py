@@ -223,13 +223,13 @@ def _(t):
     js as (select mix, '{{"v":2,"m":[' || string_agg(m, ',' order by pair) || '],"g":[' ||
         string_agg(g, ',' order by pair) || '],"p":[' || string_agg(p, ',' order by pair) ||
         '],"M":80}}' as j from vals group by mix)
-    select mix, rtrim(to_base64(encode(j)), '=') as payload from js""",
+    select mix, rtrim(to_base64(encode(j)), '=') as payload, null::varchar as reason from js""",
 )
 def _(t):
     placed = M.positions(members(t), "mix", "track")
     lists = M.compact_lists(M.compact_state(placed, "mix"), "mix")
     text = S.state_json(c("m"), c("g"), c("p"), F.lit(80))
-    return lists.select("mix", S.write_compact_state(text).alias("payload"))
+    return lists.select("mix", S.write_compact_state(text).alias("payload"), "reason")
 
 
 @query(
